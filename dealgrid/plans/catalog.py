@@ -257,3 +257,87 @@ def _q(c): return rk.top_n(rk.score_leads(c.leads), "rank", 10)
 
 @query("top10_deals")
 def _q(c): return rk.top_n(rk.score_deals(c.deals, c.reps), "risk_rank", 10)
+
+
+# -- 2.C/2.D/2.E/2.I page data on rule scores --------------------------------------
+from dealgrid.operators import presentation as pr  # noqa: E402
+
+
+def _lead_scores(c: CRM) -> DataFrame:
+    return pr.lead_scores(c.leads, rk.score_leads(c.leads))
+
+
+def _deal_risk(c: CRM) -> DataFrame:
+    active = fe.active_deals(c.deals, c.reps, c.engagement)
+    scores = rk.score_open_deals(fe.open_deal_features(c.deals, c.engagement), c.deals, c.reps)
+    return pr.deal_risk_table(active, scores)
+
+
+@query("score_leads_listed")
+def _q(c):
+    won_lead_ids = c.deals.where(F.col("outcome") == "closed_won").select("lead_id")
+    return rk.score_leads(c.leads, lead_ids=won_lead_ids)
+
+
+@query("lead_scores")
+def _q(c): return _lead_scores(c)
+
+
+@query("lead_filters")
+def _q(c): return pr.apply_filters(_lead_scores(c), source="referral", industry="All", size="51-200")
+
+
+@query("filter_options")
+def _q(c): return pr.filter_options(_lead_scores(c))
+
+
+@query("lead_priority_table")
+def _q(c): return pr.lead_priority_table(_lead_scores(c))
+
+
+@query("lead_cards")
+def _q(c): return pr.lead_cards(_lead_scores(c))
+
+
+@query("lead_cards_filtered")
+def _q(c): return pr.lead_cards(pr.apply_filters(_lead_scores(c), industry="biotech"))
+
+
+@query("score_by_source")
+def _q(c): return pr.score_by_source(_lead_scores(c))
+
+
+@query("score_distribution_leads")
+def _q(c): return pr.score_distribution(rk.score_leads(c.leads), "score")
+
+
+@query("score_distribution_deals")
+def _q(c): return pr.score_distribution(rk.score_deals(c.deals, c.reps), "risk_score")
+
+
+@query("deal_risk_table")
+def _q(c): return _deal_risk(c)
+
+
+@query("risk_cards")
+def _q(c): return pr.risk_cards(_deal_risk(c))
+
+
+@query("risk_alerts")
+def _q(c): return pr.risk_alerts(_deal_risk(c))
+
+
+@query("deal_risk_display")
+def _q(c): return pr.deal_risk_display(_deal_risk(c))
+
+
+@query("latest_insights")
+def _q(c):
+    return c.insights.orderBy(F.col("generated_at").desc(), F.col("id").desc()).limit(3) \
+        .select("id", "insight_type", "summary", "generated_at")
+
+
+@query("insight_cards")
+def _q(c):
+    latest = c.insights.orderBy(F.col("generated_at").desc(), F.col("id").desc()).limit(3)
+    return pr.insight_cards(latest)
