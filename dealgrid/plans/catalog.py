@@ -341,3 +341,42 @@ def _q(c):
 def _q(c):
     latest = c.insights.orderBy(F.col("generated_at").desc(), F.col("id").desc()).limit(3)
     return pr.insight_cards(latest)
+
+
+# -- 2.K retrieval ------------------------------------------------------------------
+from dealgrid.operators import retrieval as rv  # noqa: E402
+
+
+@query("scan_documents")
+def _q(c): return rv.documents_view(c.extra["tables"].documents)
+
+
+@query("chunk_documents")
+def _q(c): return rv.chunk_documents(rv.documents_view(c.extra["tables"].documents),
+                                     source_col="source_file")
+
+
+@query("chunk_stats")
+def _q(c): return rv.chunk_stats(rv.documents_view(c.extra["tables"].documents),
+                                 source_col="source_file")
+
+
+@query("topk_cosine")
+def _q(c): return rv.vector_hits(c.extra["tables"].embeddings)
+
+
+@query("retrieval_sources")
+def _q(c): return rv.retrieval_sources(rv.vector_hits(c.extra["tables"].embeddings))
+
+
+@query("text_topk")
+def _q(c):
+    hits, _ = rv.text_hits(c.extra["tables"].documents, c.extra["tables"].benchmark)
+    return hits.select("question_id", "rank", "chunk_id", "source_file",
+                       F.round("similarity", 6).alias("similarity"))
+
+
+@query("context_assembly")
+def _q(c):
+    hits, qtext = rv.text_hits(c.extra["tables"].documents, c.extra["tables"].benchmark)
+    return rv.context_assembly(hits, qtext)
