@@ -380,3 +380,99 @@ def _q(c):
 def _q(c):
     hits, qtext = rv.text_hits(c.extra["tables"].documents, c.extra["tables"].benchmark)
     return rv.context_assembly(hits, qtext)
+
+
+# -- 2.L snapshot and insights ---------------------------------------------------------
+from dealgrid.operators import insights as ins  # noqa: E402
+from dealgrid.session import scratch_path  # noqa: E402
+from dealgrid.sources import files as io  # noqa: E402
+
+
+def _snapshot(c: CRM, scope: str = "closed") -> DataFrame:
+    spark = c.leads.sparkSession
+    scores = rk.score_deals(c.deals, c.reps) if scope == "closed" else _deal_risk(c)
+    return ins.snapshot(spark, c.customers, c.deals, c.leads, scores, scope=scope)
+
+
+@query("metrics_snapshot")
+def _q(c): return ins.snapshot_leaves(_snapshot(c))
+
+
+@query("snapshot_at_risk_open")
+def _q(c): return ins.snapshot_leaves(_snapshot(c, "open")).where(F.col("leaf").startswith("deals_at_risk"))
+
+
+@query("rule_insights")
+def _q(c): return ins.rule_insights(_snapshot(c))
+
+
+@query("parse_insights")
+def _q(c): return ins.parse_insights(ins.render_responses(ins.rule_insights(_snapshot(c))))[0]
+
+
+@query("parse_insights_rejects")
+def _q(c): return ins.parse_insights(ins.render_responses(ins.rule_insights(_snapshot(c))))[1]
+
+
+def _appended(c: CRM) -> DataFrame:
+    spark = c.leads.sparkSession
+    path = scratch_path(spark, "insights")
+    io.write_parquet(c.insights, path)
+    table = spark.read.parquet(path)
+    snap = _snapshot(c)
+    as_of = table.agg(F.date_trunc("day", F.max("generated_at")) + F.expr("INTERVAL 1 DAY")).scalar()
+    new = ins.append_insights(table, ins.rule_insights(snap), ins.snapshot_json(snap), as_of)
+    io.write_parquet(new, path, mode="append")
+    return spark.read.parquet(path)
+
+
+@query("insights_append")
+def _q(c): return _appended(c).select("id", "generated_at", "insight_type", "summary")
+
+
+@query("latest_insights_after_append")
+def _q(c):
+    t = _appended(c)
+    return t.orderBy(F.col("generated_at").desc(), F.col("id").desc()).limit(3) \
+        .select("id", "insight_type", "summary", "generated_at")
+
+
+# -- 2.A sources and sinks ---------------------------------------------------------
+@query("csv_round_trip_leads")
+def _q(c):
+    spark = c.leads.sparkSession
+    path = scratch_path(spark, "csv-leads")
+    io.write_csv(c.leads, path)
+    return io.read_table(spark, path, "leads")
+
+
+@query("csv_round_trip_deals")
+def _q(c):
+    spark = c.leads.sparkSession
+    path = scratch_path(spark, "csv-deals")
+    io.write_csv(c.deals, path)
+    return io.read_table(spark, path, "deals")
+
+
+@query("feature_table_replace")
+def _q(c):
+    spark = c.leads.sparkSession
+    path = scratch_path(spark, "lead-features")
+    io.write_parquet(fe.lead_features(c.leads), path)
+    io.write_parquet(fe.lead_features(c.leads), path)  # replace: idempotent
+    return spark.read.parquet(path)
+
+
+@query("full_refresh_load")
+def _q(c):
+    spark = c.leads.sparkSession
+    return io.full_refresh(spark, c.as_dict(), scratch_path(spark, "crm"))
+
+
+@query("load_reconciliation")
+def _q(c):
+    spark = c.leads.sparkSession
+    out = scratch_path(spark, "crm")
+    io.full_refresh(spark, c.as_dict(), out).collect()
+    loaded = {n: spark.read.parquet(f"{out}/{n}") for n in io.LOAD_ORDER}
+    return io.reconcile(c.as_dict(), loaded)
