@@ -476,3 +476,136 @@ def _q(c):
     io.full_refresh(spark, c.as_dict(), out).collect()
     loaded = {n: spark.read.parquet(f"{out}/{n}") for n in io.LOAD_ORDER}
     return io.reconcile(c.as_dict(), loaded)
+
+
+# -- 2.J machine learning --------------------------------------------------------------
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from dealgrid.operators import ml  # noqa: E402
+
+_MODELS: dict[tuple, tuple] = {}
+
+
+def _trained(c: CRM, which: str):
+    """Train once per (application, data folder, model); reused by the ML queries."""
+    spark = c.leads.sparkSession
+    key = (spark.sparkContext.applicationId, c.extra["tables"].sf_dir, which)
+    if key not in _MODELS:
+        if which == "leads":
+            feats, cols, label, idc = fe.lead_features(c.leads), LEAD_FEATURE_COLS, "converted", "lead_id"
+        else:
+            feats, cols, label, idc = (fe.deal_features(c.deals, c.engagement), DEAL_FEATURE_COLS,
+                                       "is_at_risk", "deal_id")
+        model, train, test, metrics = ml.train_model(feats, cols, label, idc)
+        _MODELS[key] = (model, train, test, metrics.cache(), feats, cols, idc)
+    return _MODELS[key]
+
+
+def _rule_scored_leads(c: CRM) -> DataFrame:
+    return c.leads.select(rk.lead_rule_score().alias("score"),
+                          F.col("converted").cast("int").alias("label"))
+
+
+def _rule_scored_deals(c: CRM) -> DataFrame:
+    scores = rk.score_deals(c.deals, c.reps)
+    labels = c.deals.select("deal_id", (F.col("outcome") == "closed_lost").cast("int").alias("label"))
+    return scores.join(labels, "deal_id").select(F.col("risk_score").alias("score"), "label")
+
+
+@query("auc_rule_leads")
+def _q(c):
+    s = _rule_scored_leads(c)
+    return ml.auc_rank_sum(s).select(
+        "roc_auc", ml.binary_metrics(s).select(F.struct("precision", "recall", "f1")).scalar().alias("m")
+    ).select("roc_auc", "m.precision", "m.recall", "m.f1")
+
+
+@query("auc_rule_deals")
+def _q(c):
+    s = _rule_scored_deals(c)
+    return ml.auc_rank_sum(s).select(
+        "roc_auc", ml.binary_metrics(s).select(F.struct("precision", "recall", "f1")).scalar().alias("m")
+    ).select("roc_auc", "m.precision", "m.recall", "m.f1")
+
+
+@query("classification_report_rule_leads")
+def _q(c): return ml.classification_report(_rule_scored_leads(c), names=("not_converted", "converted"))
+
+
+@query("classification_report_rule_deals")
+def _q(c): return ml.classification_report(_rule_scored_deals(c), names=("won", "at_risk"))
+
+
+@query("feature_matrix_leads")
+def _q(c):
+    fm = ml.feature_matrix(fe.lead_features(c.leads), LEAD_FEATURE_COLS, "converted", "lead_id")
+    return fm.select("lead_id", vector_to_array("features").alias("features"), "label")
+
+
+@query("feature_matrix_deals")
+def _q(c):
+    fm = ml.feature_matrix(fe.deal_features(c.deals, c.engagement), DEAL_FEATURE_COLS, "is_at_risk",
+                           "deal_id")
+    return fm.select("deal_id", vector_to_array("features").alias("features"), "label")
+
+
+@query("stratified_split_leads")
+def _q(c):
+    fm = ml.stratified_split(fe.lead_features(c.leads), "lead_id")
+    return fm.groupBy("converted", "is_test").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("train_lead_model")
+def _q(c):
+    model, train, test, metrics, *_ = _trained(c, "leads")
+    return ml.run_record("lead_scoring", train, test, metrics)
+
+
+@query("train_deal_model")
+def _q(c):
+    model, train, test, metrics, *_ = _trained(c, "deals")
+    return ml.run_record("deal_risk", train, test, metrics)
+
+
+@query("feature_importances_leads")
+def _q(c):
+    model, *_ = _trained(c, "leads")
+    return ml.feature_importances(model, LEAD_FEATURE_COLS)
+
+
+@query("feature_importances_deals")
+def _q(c):
+    model, *_ = _trained(c, "deals")
+    return ml.feature_importances(model, DEAL_FEATURE_COLS)
+
+
+@query("score_leads_model")
+def _q(c):
+    model, _, _, _, feats, cols, idc = _trained(c, "leads")
+    return ml.score(model, feats, cols, idc, "score", "rank")
+
+
+@query("score_deals_model")
+def _q(c):
+    model, _, _, _, feats, cols, idc = _trained(c, "deals")
+    return ml.score(model, feats, cols, idc, "risk_score", "risk_rank")
+
+
+@query("score_open_deals_model")
+def _q(c):
+    model, _, _, _, _, cols, idc = _trained(c, "deals")
+    open_feats = fe.open_deal_features(c.deals, c.engagement)
+    scores = ml.score(model, open_feats, cols, idc, "risk_score", "risk_rank")
+    return pr.deal_risk_table(fe.active_deals(c.deals, c.reps, c.engagement), scores)
+
+
+@query("model_save_load")
+def _q(c):
+    spark = c.leads.sparkSession
+    model, _, _, _, feats, cols, idc = _trained(c, "leads")
+    base = scratch_path(spark, "models/lead_scoring")
+    ml.save_model(model, spark, base)
+    ml.save_model(model, spark, base)
+    latest = ml.load_latest(spark, base)
+    return ml.score(latest, feats, cols, idc, "score", "rank").withColumn(
+        "version", F.lit(ml.list_versions(spark, base)[-1]))
