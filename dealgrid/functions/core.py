@@ -52,22 +52,23 @@ def money(col: Column | str) -> Column:
     return F.concat(F.lit("$"), F.format_number(c.cast("double"), 0))
 
 
-# Whitespace exactly as Python's ``str.split()`` sees it (str.isspace): ASCII
-# \t \n \v \f \r, the separators \x1c-\x1f, space, and the Unicode spaces.
-# Written with \x{..} escapes, which Java and RE2 both accept.
-WS_CLASS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+# Whitespace exactly as Python's ``str.split()`` / ``str.strip()`` see it: the
+# characters for which ``str.isspace()`` is true (none lies above U+3000).
+WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+# The same 29 characters as a Java regex class (``\s`` is ASCII
+# [ \t\n\x0B\f\r] in Java); ranges keep the matcher fast.
+WS_CLASS = (r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def split_words(col: Column | str) -> Column:
-    """Python ``text.split()``: array of words, empty array for blank text."""
+    """Python ``text.split()``: one regex split on whitespace runs, then the empty
+    strings a leading or trailing run (or an empty text) leaves are removed."""
     c = F.col(col) if isinstance(col, str) else col
-    stripped = F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, f"{WS_CLASS}+"))
+    return F.array_remove(F.split(c, f"{WS_CLASS}+"), "")
 
 
 def strip_ws(col: Column | str) -> Column:
-    """Python ``str.strip()``."""
+    """Python ``str.strip()``: a character-set trim, no regex."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))

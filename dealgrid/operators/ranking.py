@@ -10,7 +10,7 @@ each partition's offset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealgrid.schemas import (BASE_WIN_RATE, COMPANY_SIZE_MULTIPLIERS, CONVERSION_CAP,
@@ -120,13 +120,19 @@ def score_leads(leads: DataFrame, lead_ids: DataFrame | None = None) -> DataFram
     return global_row_number(scored, [F.col("score").desc(), F.col("lead_id").asc()], "rank")
 
 
-def score_deals(deals: DataFrame, reps: DataFrame, deal_ids: DataFrame | None = None) -> DataFrame:
-    """(deal_id, risk_score, risk_rank) for closed deals (or the listed ones)."""
+def deal_risk_scores(deals: DataFrame, reps: DataFrame,
+                     deal_ids: DataFrame | None = None) -> DataFrame:
+    """(deal_id, risk_score) for closed deals (or the listed ones), unranked."""
     closed = deals.where(F.col("outcome") != "open")
     closed = _restrict(closed, "deal_id", deal_ids)
     d = with_overperformer(closed, reps)
     stale = F.datediff("close_date", "last_contact_date")
-    scored = d.select("deal_id", deal_rule_risk(stale, F.col("_over")).alias("risk_score"))
+    return d.select("deal_id", deal_rule_risk(stale, F.col("_over")).alias("risk_score"))
+
+
+def score_deals(deals: DataFrame, reps: DataFrame, deal_ids: DataFrame | None = None) -> DataFrame:
+    """(deal_id, risk_score, risk_rank) for closed deals (or the listed ones)."""
+    scored = deal_risk_scores(deals, reps, deal_ids)
     return global_row_number(scored, [F.col("risk_score").desc(), F.col("deal_id").asc()],
                              "risk_rank")
 
@@ -146,9 +152,3 @@ def top_n(ranked: DataFrame, rank_col: str, n: int = 10) -> DataFrame:
     return ranked.orderBy(rank_col).limit(n)
 
 
-def priority_label(score: Column) -> Column:
-    return F.when(score >= 0.7, "High").when(score >= 0.4, "Medium").otherwise("Low")
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

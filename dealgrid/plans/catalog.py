@@ -27,9 +27,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
+_VIEWS: dict[tuple, CRM] = {}
+
+
+def crm_for(spark: SparkSession, sf_dir: str) -> CRM:
+    """The CRM views of a data folder, defined once per session and reused (the
+    DataFrames are plans; reuse saves re-analysis, not data)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _VIEWS:
+        _VIEWS[key] = build_crm(spark, sf_dir)
+    return _VIEWS[key]
+
+
 def query(name: str):
     def deco(fn: Callable[[CRM], DataFrame]) -> Callable[[CRM], DataFrame]:
-        REGISTRY[name] = lambda spark, sf_dir: fn(build_crm(spark, sf_dir))
+        REGISTRY[name] = lambda spark, sf_dir: fn(crm_for(spark, sf_dir))
         return fn
     return deco
 
@@ -267,6 +279,12 @@ def _lead_scores(c: CRM) -> DataFrame:
     return pr.lead_scores(c.leads, rk.score_leads(c.leads))
 
 
+def _lead_scores_unranked(c: CRM) -> DataFrame:
+    """Leads with their score, for aggregates that do not need the rank."""
+    return c.leads.select("lead_id", "source", "company_size", "industry", "converted",
+                          rk.lead_rule_score().alias("score"))
+
+
 def _deal_risk(c: CRM) -> DataFrame:
     active = fe.active_deals(c.deals, c.reps, c.engagement)
     scores = rk.score_open_deals(fe.open_deal_features(c.deals, c.engagement), c.deals, c.reps)
@@ -296,23 +314,23 @@ def _q(c): return pr.lead_priority_table(_lead_scores(c))
 
 
 @query("lead_cards")
-def _q(c): return pr.lead_cards(_lead_scores(c))
+def _q(c): return pr.lead_cards(_lead_scores_unranked(c))
 
 
 @query("lead_cards_filtered")
-def _q(c): return pr.lead_cards(pr.apply_filters(_lead_scores(c), industry="biotech"))
+def _q(c): return pr.lead_cards(pr.apply_filters(_lead_scores_unranked(c), industry="biotech"))
 
 
 @query("score_by_source")
-def _q(c): return pr.score_by_source(_lead_scores(c))
+def _q(c): return pr.score_by_source(_lead_scores_unranked(c))
 
 
 @query("score_distribution_leads")
-def _q(c): return pr.score_distribution(rk.score_leads(c.leads), "score")
+def _q(c): return pr.score_distribution(_lead_scores_unranked(c), "score")
 
 
 @query("score_distribution_deals")
-def _q(c): return pr.score_distribution(rk.score_deals(c.deals, c.reps), "risk_score")
+def _q(c): return pr.score_distribution(rk.deal_risk_scores(c.deals, c.reps), "risk_score")
 
 
 @query("deal_risk_table")
@@ -390,7 +408,7 @@ from dealgrid.sources import files as io  # noqa: E402
 
 def _snapshot(c: CRM, scope: str = "closed") -> DataFrame:
     spark = c.leads.sparkSession
-    scores = rk.score_deals(c.deals, c.reps) if scope == "closed" else _deal_risk(c)
+    scores = rk.deal_risk_scores(c.deals, c.reps) if scope == "closed" else _deal_risk(c)
     return ins.snapshot(spark, c.customers, c.deals, c.leads, scores, scope=scope)
 
 
@@ -507,7 +525,7 @@ def _rule_scored_leads(c: CRM) -> DataFrame:
 
 
 def _rule_scored_deals(c: CRM) -> DataFrame:
-    scores = rk.score_deals(c.deals, c.reps)
+    scores = rk.deal_risk_scores(c.deals, c.reps)
     labels = c.deals.select("deal_id", (F.col("outcome") == "closed_lost").cast("int").alias("label"))
     return scores.join(labels, "deal_id").select(F.col("risk_score").alias("score"), "label")
 

@@ -14,7 +14,7 @@ broadcast and meets the deals on the order key (AQE splits a hot key).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,18 +175,48 @@ def _insights(t: Tables) -> DataFrame:
         F.col("props").alias("data_snapshot"))
 
 
-@dataclass
 class CRM:
-    """The CRM tables as lazy DataFrames."""
+    """The CRM tables as lazy DataFrames: each view is defined on first use."""
 
-    reps: DataFrame
-    leads: DataFrame
-    deals: DataFrame
-    engagement: DataFrame
-    customers: DataFrame
-    engagement_raw: DataFrame | None = None
-    insights: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.tables = Tables(spark, sf_dir)
+        self.extra = {"tables": self.tables}
+
+    @cached_property
+    def _leads_k(self) -> DataFrame:
+        return _leads(_lead_base(self.tables))
+
+    @cached_property
+    def _deals_k(self) -> DataFrame:
+        return _deals(self._leads_k, self.tables)
+
+    @cached_property
+    def reps(self) -> DataFrame:
+        return _reps(self.tables)
+
+    @cached_property
+    def leads(self) -> DataFrame:
+        return self._leads_k.select(*LEAD_COLS)
+
+    @cached_property
+    def deals(self) -> DataFrame:
+        return self._deals_k.select(*DEAL_COLS)
+
+    @cached_property
+    def engagement(self) -> DataFrame:
+        return _engagement(self._deals_k, self.tables, raw=False)
+
+    @cached_property
+    def engagement_raw(self) -> DataFrame:
+        return _engagement(self._deals_k, self.tables, raw=True)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return _customers(self._deals_k)
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return _insights(self.tables)
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {"reps": self.reps, "leads": self.leads, "deals": self.deals,
@@ -200,16 +230,4 @@ DEAL_COLS = ["deal_id", "lead_id", "rep_id", "product", "stage", "created_at",
 
 
 def build_crm(spark: SparkSession, sf_dir: str) -> CRM:
-    t = Tables(spark, sf_dir)
-    leads_k = _leads(_lead_base(t))
-    deals_k = _deals(leads_k, t)
-    return CRM(
-        reps=_reps(t),
-        leads=leads_k.select(*LEAD_COLS),
-        deals=deals_k.select(*DEAL_COLS),
-        engagement=_engagement(deals_k, t, raw=False),
-        customers=_customers(deals_k),
-        engagement_raw=_engagement(deals_k, t, raw=True),
-        insights=_insights(t),
-        extra={"tables": t},
-    )
+    return CRM(spark, sf_dir)
