@@ -123,6 +123,20 @@ def last_month_start(as_of: Column) -> Column:
     return F.add_months(F.trunc(as_of, "month"), -1)
 
 
+def deal_velocity_sql(deals: DataFrame, as_of: dt.date) -> DataFrame:
+    """The same query through the SQL API with a bound date parameter."""
+    return deals.sparkSession.sql(
+        """SELECT trunc(close_date, 'month') AS month,
+                  CAST(sum(datediff(close_date, created_at)) AS BIGINT) AS _s,
+                  count(datediff(close_date, created_at)) AS _n
+           FROM {deals}
+           WHERE outcome != 'open' AND close_date >= add_months(trunc(:as_of, 'month'), -1)
+           GROUP BY 1""", args={"as_of": as_of}, deals=deals) \
+        .where(F.col("_n") > 0) \
+        .select("month", half_up_ratio("_s", "_n", 0).cast("long").alias("avg_velocity_days")) \
+        .orderBy("month")
+
+
 def deal_velocity(deals: DataFrame, as_of: dt.date | Column | None = None) -> DataFrame:
     """(month, avg_velocity_days) for deals closed since the first day of last
     month (relative to ``as_of``; default: the latest close date in the data)."""
@@ -307,10 +321,13 @@ def cold_window_reply(engagement: DataFrame, deals: DataFrame) -> DataFrame:
     deal's end versus earlier events."""
     lost = deals.where(F.col("outcome") == "closed_lost").select(
         "deal_id", F.coalesce("close_date", "last_contact_date").alias("_end"))
-    j = engagement.join(lost, "deal_id")
+    # events counted per (deal, day) first: the join sees one row per active day
+    per_day = engagement.groupBy("deal_id", "timestamp").agg(
+        F.count(F.lit(1)).alias("_e"), count_if(F.col("event_type") == "email_reply").alias("_r"))
+    j = per_day.join(lost, "deal_id")
     cold = F.col("timestamp") >= F.date_sub("_end", 7)
-    agg = j.groupBy(cold.alias("cold_window")).agg(
-        F.count(F.lit(1)).alias("events"), count_if(F.col("event_type") == "email_reply").alias("_r"))
+    agg = j.groupBy(cold.alias("cold_window")).agg(F.sum("_e").cast("long").alias("events"),
+                                                    F.sum("_r").alias("_r"))
     return agg.select("cold_window", "events", half_up_ratio("_r", "events", 3).alias("reply_share"))
 
 

@@ -206,9 +206,12 @@ def foreign_keys(t: dict[str, DataFrame]) -> DataFrame:
     """Orphans of every declared foreign key: (table_name, column_name, ref_table, orphan_rows)."""
     out = None
     for table, col, ref, ref_col in FOREIGN_KEYS:
-        parent = t[ref].select(F.col(ref_col).alias("_k"))
-        orphans = t[table].join(parent, F.col(col) == F.col("_k"), "left_anti")
-        part = orphans.agg(F.count(F.lit(1)).cast("long").alias("orphan_rows")).select(
+        # child rows are counted per key first (combined map-side), so a key
+        # holding a large share of the rows reaches the anti join as one row
+        child = t[table].groupBy(F.col(col).alias("_c")).agg(F.count(F.lit(1)).alias("_rows"))
+        parent = t[ref].select(F.col(ref_col).alias("_k")).distinct()
+        orphans = child.join(parent, F.col("_c") == F.col("_k"), "left_anti")
+        part = orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("orphan_rows")).select(
             F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
             F.lit(ref).alias("ref_table"), "orphan_rows")
         out = part if out is None else out.unionByName(part)

@@ -173,6 +173,10 @@ def _q(c): return me.pipeline_summary(c.deals)
 def _q(c): return me.deal_velocity(c.deals)
 
 
+@query("deal_velocity_sql")
+def _q(c): return me.deal_velocity_sql(c.deals, dt.date(2001, 9, 15))
+
+
 @query("channel_conversion_top")
 def _q(c): return me.channel_conversion_top(c.leads)
 
@@ -394,6 +398,27 @@ def _q(c):
                        F.round("similarity", 6).alias("similarity"))
 
 
+@query("embed_chunks")
+def _q(c):
+    chunks = rv.chunk_documents(rv.documents_view(c.extra["tables"].documents), source_col="source_file")
+    model = rv.fit_embedder(chunks)
+    return rv.embed(model, chunks).select("chunk_id", "source_file", "chunk_index", "embedding")
+
+
+@query("vector_collection_rebuild")
+def _q(c):
+    spark = c.leads.sparkSession
+    chunks = rv.chunk_documents(rv.documents_view(c.extra["tables"].documents), source_col="source_file")
+    coll = rv.embed(rv.fit_embedder(chunks), chunks).select(
+        F.col("chunk_id").alias("id"), "embedding", "document",
+        F.struct("source_file", "chunk_index").alias("metadata"))
+    path = scratch_path(spark, "collection")
+    io.write_parquet(coll, path)
+    io.write_parquet(coll, path)  # rebuild: drop and write again, same rows
+    return spark.read.parquet(path).select("id", "metadata.source_file", "metadata.chunk_index",
+                                           F.size("embedding").alias("dim"))
+
+
 @query("context_assembly")
 def _q(c):
     hits, qtext = rv.text_hits(c.extra["tables"].documents, c.extra["tables"].benchmark)
@@ -412,6 +437,10 @@ def _snapshot(c: CRM, scope: str = "closed") -> DataFrame:
     return ins.snapshot(spark, c.customers, c.deals, c.leads, scores, scope=scope)
 
 
+@query("snapshot_json")
+def _q(c): return ins.snapshot_json(_snapshot(c))
+
+
 @query("metrics_snapshot")
 def _q(c): return ins.snapshot_leaves(_snapshot(c))
 

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The application this library re-expresses has no streaming operator (no
+watermark, window, session or state code); its only schedule is a daily batch
+of the snapshot/insight job.  That job is ``dealgrid.operators.insights`` run
+as a batch; nothing here re-implements a scheduler.
+"""
