@@ -5,8 +5,18 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dealgrid.operators import quality as dq
+from pyspark.sql import types as T
+
 from dealgrid.schemas import CUSTOMERS, DEALS, ENGAGEMENT, LEADS
 
+
+def _nullable(schema):
+    """Micro-frames must be able to hold the bad values the checks look for."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
+LEADS, DEALS, ENGAGEMENT, CUSTOMERS = map(_nullable, (LEADS, DEALS, ENGAGEMENT, CUSTOMERS))
+
 D = dt.date
 TODAY = D(2024, 6, 1)
 
