@@ -91,9 +91,11 @@ def open_deal_features(deals: DataFrame, engagement: DataFrame) -> DataFrame:
 def active_deals(deals: DataFrame, reps: DataFrame, engagement: DataFrame) -> DataFrame:
     """Open deals with rep name and engagement summary, oldest contact first."""
     opened = deals.where(F.col("outcome") == "open")
+    # engagement first: both sides are keyed by deal_id (co-located when the
+    # tables are bucketed by it); the rep dimension is joined afterwards
+    j = _with_engagement(opened, engagement)
     r = reps.select(F.col("rep_id").alias("_rid"), F.col("name").alias("rep_name"))
-    j = opened.join(r, opened.rep_id == r._rid, "inner")
-    j = _with_engagement(j, engagement)
+    j = j.join(r, j.rep_id == r._rid, "inner")
     return j.select(
         "deal_id", "rep_id", "rep_name", "product", "stage", "value", "created_at",
         "last_contact_date",

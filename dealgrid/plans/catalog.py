@@ -516,6 +516,17 @@ def _q(c):
     return io.full_refresh(spark, c.as_dict(), scratch_path(spark, "crm"))
 
 
+@query("active_deals_bucketed")
+def _q(c):
+    """The flagship on a bucketed copy of the CRM tables (co-located deal joins)."""
+    import uuid
+    spark = c.leads.sparkSession
+    t = io.write_bucketed(spark, c.as_dict(), scratch_path(spark, "crm-bucketed"),
+                          n_buckets=int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          prefix=f"crm_{uuid.uuid4().hex[:8]}")
+    return fe.active_deals(t["deals"], t["reps"], t["engagement"])
+
+
 @query("load_reconciliation")
 def _q(c):
     spark = c.leads.sparkSession

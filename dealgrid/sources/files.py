@@ -66,3 +66,23 @@ def reconcile(source: dict[str, DataFrame], loaded: dict[str, DataFrame]) -> Dat
                         d.select("loaded_rows").scalar().alias("loaded_rows"))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("ok", F.col("source_rows") == F.col("loaded_rows"))
+
+
+BUCKET_KEYS = {"deals": "deal_id", "engagement": "deal_id"}
+
+
+def write_bucketed(spark: SparkSession, tables: dict[str, DataFrame], base: str,
+                   n_buckets: int, prefix: str) -> dict[str, DataFrame]:
+    """Write the CRM tables as external tables under ``base``; deals and
+    engagement are bucketed and sorted by deal_id into the same number of
+    buckets, so joins and per-deal aggregations between them need no shuffle.
+    Returns the tables read back from the catalog."""
+    out = {}
+    for name, df in tables.items():
+        table = f"{prefix}_{name}"
+        w = df.write.mode("overwrite").option("path", f"{base.rstrip('/')}/{name}")
+        if name in BUCKET_KEYS:
+            w = w.bucketBy(n_buckets, BUCKET_KEYS[name]).sortBy(BUCKET_KEYS[name])
+        w.format("parquet").saveAsTable(table)
+        out[name] = spark.table(table)
+    return out

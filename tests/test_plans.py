@@ -70,3 +70,16 @@ def test_only_bounded_sides_are_broadcast(spark):
                 assert "orders.parquet" not in sub or bounded, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bucketed_deal_join_needs_no_shuffle(spark):
+    from __spark_entry__ import queries
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries()["active_deals_bucketed"](spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+        assert not re.search(r"Exchange hashpartitioning\(deal_id", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
