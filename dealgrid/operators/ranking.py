@@ -36,14 +36,14 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank") ->
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out = numbered.join(F.broadcast(offsets), part == offsets._part)
     return out.withColumn(name, (F.col("_off") + F.col("_pos").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-                          .cast("int")).drop("_pos", "_part", "_off")
+                          .cast("long")).drop("_pos", "_part", "_off")
 
 
 def dense_codes(df: DataFrame, col: str, name: str) -> DataFrame:
     """(value, code): 0-based position of each distinct non-NULL value in sorted order."""
     vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
     ranked = global_row_number(vals, [F.col("value").asc()], "_r")
-    return ranked.select("value", (F.col("_r") - 1).alias(name))
+    return ranked.select("value", (F.col("_r") - 1).cast("int").alias(name))
 
 
 # ---------------------------------------------------------------------------

@@ -109,3 +109,30 @@ def test_starter_churns_more_than_enterprise(crm):
     share = {r["key"]: r["value"] for r in me.churn_profile(crm.customers)
              .where("metric = 'churn_share'").collect()}
     assert share["starter"] > share["enterprise"]
+
+
+def test_hot_deal_holding_a_third_of_events(spark):
+    """Per-deal aggregation and the window checks stay exact when one deal holds
+    a third of all events (they are combined map-side before any join)."""
+    from dealgrid.operators import features as fe
+    from dealgrid.operators import quality as dq
+    from dealgrid.schemas import ENGAGEMENT
+    n = 3000
+    ev = spark.range(n).select(
+        F.format_string("E%d", "id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.format_string("D%d", F.col("id") % 50))
+        .alias("deal_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("meeting")).otherwise(F.lit("call")).alias("event_type"),
+        F.date_add(F.lit(D(2024, 1, 1)), (F.col("id") % 40).cast("int")).alias("timestamp"),
+        F.lit("zoom").alias("channel"))
+    ev = spark.createDataFrame(ev.rdd, ENGAGEMENT)
+    per = {r["deal_id"]: r["engagement_count"] for r in fe.engagement_per_deal(ev).collect()}
+    assert per["HOT"] == n // 3
+    deals = spark.createDataFrame(
+        [("HOT", "L", "R", "p", "closed_won", D(2024, 1, 10), D(2024, 1, 20), D(2024, 1, 25), 1, "closed_won")],
+        DEALS)
+    c = {r["check_name"]: r["bad_rows"] for r in dq.validate_engagement(ev, deals).collect()}
+    hot_days = [(i % 40) for i in range(0, n, 3)]
+    assert c["before_deal_start"] == sum(1 for d in hot_days if d < 9)
+    assert c["after_deal_end"] == sum(1 for d in hot_days if d > 24)
+    assert c["missing_deal"] == n - n // 3
