@@ -43,11 +43,22 @@ def feature_matrix(features: DataFrame, feature_cols: list[str], label: str,
 
 
 def stratified_split(df: DataFrame, id_col: str, test_size: float = TEST_SIZE,
-                     seed: int = SEED) -> DataFrame:
-    """Adds ``is_test``: a hash of (seed, id) below the cut.  Every class gets the
-    same share in expectation and a row's side does not depend on partitioning."""
-    cut = int(round(test_size * 10000))
-    return df.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10000)) < cut)
+                     seed: int = SEED, label: str | None = None) -> DataFrame:
+    """Adds ``is_test`` from a hash of (seed, id), so a row's side does not depend
+    on partitioning or order.  Without ``label`` the cut is the fixed share of
+    the hash range (each class gets the share in expectation); with ``label``
+    each class gets its own cut at the ``test_size`` quantile of its hashes
+    (``percentile_approx``, one row per class, broadcast), so every class is
+    split in the same proportion."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    if label is None:
+        cut = int(round(test_size * 10000))
+        return df.withColumn("is_test", F.pmod(h, F.lit(10000)) < cut)
+    hashed = df.withColumn("_h", h)
+    cuts = hashed.groupBy(F.col(label).alias("_y")).agg(
+        F.percentile_approx("_h", test_size, 100000).alias("_cut"))
+    j = hashed.join(F.broadcast(cuts), hashed[label].eqNullSafe(cuts._y), "left")
+    return j.withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_y", "_cut")
 
 
 def with_class_weight(train: DataFrame, label: str = "label") -> DataFrame:
@@ -221,7 +232,7 @@ def load_latest(spark: SparkSession, base: str) -> PipelineModel:
 def train_model(features: DataFrame, feature_cols: list[str], label: str, id_col: str,
                 params: dict | None = None):
     """Returns (model, train, test, metrics)."""
-    fm = stratified_split(feature_matrix(features, feature_cols, label, id_col), id_col)
+    fm = stratified_split(feature_matrix(features, feature_cols, label, id_col), id_col, label="label")
     train = with_class_weight(fm.where(~F.col("is_test")))
     test = fm.where(F.col("is_test"))
     model = train_gbt(train, params)

@@ -609,10 +609,23 @@ def _q(c):
 
 @query("stratified_split_leads")
 def _q(c):
-    fm = ml.stratified_split(fe.lead_features(c.leads), "lead_id")
+    fm = ml.stratified_split(fe.lead_features(c.leads), "lead_id", label="converted")
     return fm.groupBy("converted", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("top10_leads_model")
+def _q(c):
+    model, _, _, _, feats, cols, idc = _trained(c, "leads")
+    return rk.top_n(ml.score(model, feats, cols, idc, "score", "rank"), "rank", 10)
+
+
+@query("score_distribution_leads_model")
+def _q(c):
+    model, _, _, _, feats, cols, idc = _trained(c, "leads")
+    return pr.score_distribution(ml.predict(model, ml.feature_matrix(feats, cols, "converted", idc),
+                                            idc), "score")
+
+
 @query("train_lead_model")
 def _q(c):
     model, train, test, metrics, *_ = _trained(c, "leads")

@@ -51,3 +51,15 @@ def test_split_is_stratified_in_expectation(spark):
         part = s.where(F.col("y") == y)
         share = part.where("is_test").count() / part.count()
         assert abs(share - 0.2) < 0.02
+
+
+def test_split_exact_per_class(spark):
+    df = spark.range(20000).select(F.col("id").cast("string").alias("k"),
+                                   (F.col("id") % 10 == 0).cast("int").alias("y"))
+    s = ml.stratified_split(df, "k", label="y")
+    for y in (0, 1):
+        part = s.where(F.col("y") == y)
+        share = part.where("is_test").count() / part.count()
+        assert abs(share - 0.2) < 0.002
+    again = ml.stratified_split(df.repartition(7), "k", label="y")
+    assert sorted(s.where("is_test").select("k").collect()) == sorted(again.where("is_test").select("k").collect())
