@@ -2,10 +2,11 @@
 
 Top-k plan: the question set is checked for size and broadcast (in batches
 when it is larger than the bound); each corpus partition is scored against it
-with one matrix product per Arrow batch (``mapInPandas``), keeping only the
-best candidates per question (ties at the cut kept).  The candidates -- at most
-about k per question per batch -- are reduced to the global top k with a
-``row_number`` per question.  No question x corpus pair ever becomes a row.
+with one matrix product per Arrow batch (``mapInPandas``), keeping a running
+top-k per question across the partition's batches (ties at the cut kept).  The
+candidates -- about k per question per partition -- are reduced to the global
+top k with a ``row_number`` per question (Spark applies the limit per task
+before the shuffle).  No question x corpus pair ever becomes a row.
 """
 
 from __future__ import annotations
@@ -115,9 +116,19 @@ def embed(model: PipelineModel, df: DataFrame, text_col: str = "document",
 # ---------------------------------------------------------------------------
 
 def _candidates_fn(bc, k: int):
+    """Per partition: a running top-k per question over all Arrow batches (ties
+    at the cut kept), emitted once at the end of the partition."""
+    def keep_best(ids, sims):
+        if len(ids) <= k:
+            return ids, sims
+        cut = np.partition(sims, len(sims) - k)[len(sims) - k]
+        sel = sims >= cut
+        return ids[sel], sims[sel]
+
     def fn(batches):
         q_ids, q_mat = bc.value
         qn = np.linalg.norm(q_mat, axis=1)
+        best = [(np.empty(0, dtype=object), np.empty(0)) for _ in range(len(q_ids))]
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -125,23 +136,18 @@ def _candidates_fn(bc, k: int):
             cn = np.linalg.norm(c, axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 sims = (c @ q_mat.T) / np.outer(cn, qn)
-            cids = pdf["_cid"].to_numpy()
-            out_q, out_c, out_s = [], [], []
-            kk = min(k, len(cids))
+            cids = pdf["_cid"].to_numpy(dtype=object)
             for j in range(len(q_ids)):
                 col = sims[:, j]
-                valid = ~np.isnan(col)
-                if not valid.any():
-                    continue
-                colv = np.where(valid, col, -np.inf)
-                cut = np.partition(colv, len(colv) - kk)[len(colv) - kk]
-                sel = np.nonzero(valid & (colv >= cut))[0]
-                out_q.append(np.full(len(sel), q_ids[j]))
-                out_c.append(cids[sel])
-                out_s.append(col[sel])
-            if out_q:
-                yield pd.DataFrame({"_qid": np.concatenate(out_q), "_cid": np.concatenate(out_c),
-                                    "_sim": np.concatenate(out_s)})
+                ok = ~np.isnan(col)
+                ids = np.concatenate([best[j][0], cids[ok]])
+                vals = np.concatenate([best[j][1], col[ok]])
+                best[j] = keep_best(ids, vals)
+        out_q = [np.full(len(b[0]), q_ids[j], dtype=object) for j, b in enumerate(best)]
+        if sum(len(x) for x in out_q):
+            yield pd.DataFrame({"_qid": np.concatenate(out_q),
+                                "_cid": np.concatenate([b[0] for b in best]),
+                                "_sim": np.concatenate([b[1] for b in best]).astype(np.float64)})
     return fn
 
 
