@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealgrid.operators import metrics as me
-from dealgrid.schemas import AT_RISK_THRESHOLD, INSIGHT_TYPES
+from dealgrid.schemas import AT_RISK_THRESHOLD
 
 INSIGHT_SCHEMA = "array<struct<insight_type:string,summary:string>>"
 
@@ -178,10 +178,6 @@ def parse_insights(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def known_type(col) -> F.Column:
-    return col.isin(*INSIGHT_TYPES)
-
-
 def append_insights(existing: DataFrame, new: DataFrame, snapshot_text: DataFrame,
                     generated_at) -> DataFrame:
     """Rows to append: ids continue after the largest existing id in position

@@ -56,7 +56,7 @@ def _unpivot(table: str, agg: DataFrame, checks: list[str]) -> DataFrame:
 
 # -- row flags ---------------------------------------------------------------
 
-def lead_flags(leads: DataFrame, as_of: dt.date) -> dict[str, Column]:
+def lead_flags(as_of: dt.date) -> dict[str, Column]:
     conv = F.col("converted") == F.lit(True)
     v = F.col("conversion_value")
     return {
@@ -151,7 +151,7 @@ def _with_deal_window(events: DataFrame, deals: DataFrame) -> DataFrame:
 # -- validators ----------------------------------------------------------------
 
 def validate_leads(leads: DataFrame, as_of: dt.date) -> DataFrame:
-    return _count_flags("leads", leads, lead_flags(leads, as_of))
+    return _count_flags("leads", leads, lead_flags(as_of))
 
 
 def validate_deals(deals: DataFrame, leads: DataFrame) -> DataFrame:
@@ -192,6 +192,26 @@ def validate_all(t: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
             .select("table_name", "check_name", "bad_rows", "message", "check_order"))
 
 
+def _failed(flags: dict[str, Column]) -> Column:
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]), lambda x: x.isNotNull())
+
+
+def quarantine(t: dict[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
+    """Row-level results: every row that fails at least one check, with the
+    names of the checks it fails (``failed_checks``), per table."""
+    deals = _with_lead_found(t["deals"], t["leads"])
+    events = _with_deal_window(t["engagement"], t["deals"])
+    out = {
+        "leads": t["leads"].withColumn("failed_checks", _failed(lead_flags(as_of))),
+        "deals": deals.withColumn("failed_checks", _failed(deal_flags()))
+                      .drop("_lid", "_lead_found"),
+        "engagement": events.withColumn("failed_checks", _failed(event_flags()))
+                            .drop("_did", "_deal_found", "_start", "_end"),
+        "customers": t["customers"].withColumn("failed_checks", _failed(customer_flags())),
+    }
+    return {k: v.where(F.size("failed_checks") > 0) for k, v in out.items()}
+
+
 def dq_report_totals(issues: DataFrame) -> DataFrame:
     """Issue count and bad-row count per table plus a grand total (table_name NULL)."""
     return issues.rollup("table_name").agg(

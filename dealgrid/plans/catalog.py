@@ -103,6 +103,14 @@ def _q(c): return dq.validate_engagement(c.engagement_raw, c.deals)
 def _q(c): return dq.validate_customers(c.customers)
 
 
+@query("dq_quarantine_engagement")
+def _q(c): return dq.quarantine(_dirty(c), DQ_AS_OF)["engagement"]
+
+
+@query("dq_quarantine_leads")
+def _q(c): return dq.quarantine(_dirty(c), DQ_AS_OF)["leads"]
+
+
 @query("dq_required_fields")
 def _q(c): return dq.required_fields(c.as_dict())
 
