@@ -85,7 +85,7 @@ def snapshot_leaves(snap: DataFrame) -> DataFrame:
     return out
 
 
-# FIXED VALUES: insight rule texts and precedence (lower = more important)
+# Insight rules of this library: type -> (precedence, lower = more important; text)
 RULES = {
     "deals": (1, "%d scored deals are above the %.1f risk threshold; open pipeline is $%s."),
     "mrr": (2, "MRR moved %.1f%% month over month, from $%s to $%s."),

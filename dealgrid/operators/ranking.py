@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dealgrid.schemas import (BASE_WIN_RATE, COMPANY_SIZE_MULTIPLIERS, CONVERSION_CAP,
                               INDUSTRY_MULTIPLIERS, N_OVERPERFORMERS, OVERPERFORMER_WIN_MULTIPLIER,
-                              SEASON_MULTIPLIERS, SOURCE_CONVERSION_RATES,
+                              PEAK_MONTHS, SLOW_MONTHS, SOURCE_CONVERSION_RATES,
                               STALE_CONTACT_DAYS, STALE_CONTACT_MULTIPLIER, WIN_CAP)
 from dealgrid.session import shared_dir
 
@@ -50,11 +50,12 @@ def dense_codes(df: DataFrame, col: str, name: str) -> DataFrame:
 # Rule scores (exact decimal arithmetic, rounded to 4 places)
 # ---------------------------------------------------------------------------
 
-def _dec(v: str) -> Column:
-    return F.lit(v).cast("decimal(3,2)")
+def _dec(v: float) -> Column:
+    """An exact decimal literal of a rule constant (via its shortest text form)."""
+    return F.lit(repr(float(v))).cast("decimal(3,2)")
 
 
-def _lookup(col: str, mapping: dict[str, str]) -> Column:
+def _lookup(col: str, mapping: dict[str, float]) -> Column:
     out = None
     for key, val in mapping.items():
         cond = F.col(col) == key
@@ -70,10 +71,10 @@ def lead_rule_score(source: str = "source", company_size: str = "company_size",
     p = _lookup(source, SOURCE_CONVERSION_RATES) * _lookup(company_size, COMPANY_SIZE_MULTIPLIERS) \
         * _lookup(industry, INDUSTRY_MULTIPLIERS)
     season = None
-    for mon, mult in SEASON_MULTIPLIERS.items():
+    for mon, mult in {**SLOW_MONTHS, **PEAK_MONTHS}.items():
         season = (F.when(m == mon, _dec(mult)) if season is None
                   else season.when(m == mon, _dec(mult)))
-    p = p * season.otherwise(_dec("1.00"))
+    p = p * season.otherwise(_dec(1.0))
     return F.round(F.least(p, _dec(CONVERSION_CAP)), 4).cast("double")
 
 

@@ -28,25 +28,25 @@ PRODUCTS = ["LIMS Software", "Lab Automation Platform", "Genomic Sequencing Tool
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: lead conversion rule (base rate by source, multipliers by
-# company size and industry, seasonal multipliers by month, cap)
-# ---------------------------------------------------------------------------
-SOURCE_CONVERSION_RATES = {"paid_search": "0.08", "organic": "0.14", "referral": "0.35",
-                           "outbound": "0.10", "event": "0.35"}
-COMPANY_SIZE_MULTIPLIERS = {"1-10": "0.4", "11-50": "0.8", "51-200": "1.9", "201-1000": "1.2"}
-INDUSTRY_MULTIPLIERS = {"pharma": "1.3", "biotech": "1.2", "medical_devices": "1.0",
-                        "diagnostics": "0.9", "hospital_system": "0.8", "cro": "0.7",
-                        "research_university": "0.5"}
-SEASON_MULTIPLIERS = {3: "0.5", 8: "0.5", 10: "1.4", 11: "1.4"}
-CONVERSION_CAP = "0.95"
+# company size and industry, slow and peak months, cap)
+SOURCE_CONVERSION_RATES = {"paid_search": 0.08, "organic": 0.14, "referral": 0.35,
+                           "outbound": 0.10, "event": 0.35}
+COMPANY_SIZE_MULTIPLIERS = {"1-10": 0.4, "11-50": 0.8, "51-200": 1.9, "201-1000": 1.2}
+INDUSTRY_MULTIPLIERS = {"pharma": 1.3, "biotech": 1.2, "medical_devices": 1.0,
+                        "diagnostics": 0.9, "hospital_system": 0.8, "cro": 0.7,
+                        "research_university": 0.5}
+SLOW_MONTHS = {3: 0.5, 8: 0.5}
+PEAK_MONTHS = {10: 1.4, 11: 1.4}
+CONVERSION_CAP = 0.95
 
 # FIXED VALUES: deal win rule (base win rate, stale-contact penalty after 14
 # days, first three reps as over-performers, cap)
-BASE_WIN_RATE = "0.55"
+BASE_WIN_RATE = 0.55
 STALE_CONTACT_DAYS = 14
-STALE_CONTACT_MULTIPLIER = "0.60"
+STALE_CONTACT_MULTIPLIER = 0.60
 N_OVERPERFORMERS = 3
-OVERPERFORMER_WIN_MULTIPLIER = "1.6"
-WIN_CAP = "0.95"
+OVERPERFORMER_WIN_MULTIPLIER = 1.6
+WIN_CAP = 0.95
 
 # FIXED VALUES: subscription tier by company size
 TIER_BY_SIZE = {"1-10": "starter", "11-50": "starter", "51-200": "growth", "201-1000": "enterprise"}

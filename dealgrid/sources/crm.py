@@ -159,8 +159,8 @@ def _reps(t: Tables) -> DataFrame:
         (800000 + F.pmod(key * 7919, F.lit(700000))).cast("int").alias("annual_quota"))
 
 
-# FIXED VALUES (test-data convention): event type of the given `events` table
-# -> insight type of the `insights` table
+# Test-data convention: event type of the given `events` table -> insight type
+# of the `insights` table
 EVENT_INSIGHT_TYPE = [("view", "mrr"), ("click", "churn"), ("purchase", "pipeline"),
                       ("signup", "leads"), ("error", "deals")]
 
