@@ -12,11 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.ml.functions import vector_to_array
+
 from dealgrid.operators import features as fe
+from dealgrid.operators import insights as ins
 from dealgrid.operators import metrics as me
+from dealgrid.operators import ml
+from dealgrid.operators import presentation as pr
 from dealgrid.operators import quality as dq
 from dealgrid.operators import ranking as rk
+from dealgrid.operators import retrieval as rv
 from dealgrid.schemas import DEAL_FEATURE_COLS, LEAD_FEATURE_COLS
+from dealgrid.session import scratch_path
+from dealgrid.sources import files as io
 from dealgrid.sources.crm import CRM, build_crm
 
 # Reference date for the "created in the future" check (a parameter of the
@@ -284,7 +292,6 @@ def _q(c): return rk.top_n(rk.score_deals(c.deals, c.reps), "risk_rank", 10)
 
 
 # -- 2.C/2.D/2.E/2.I page data on rule scores --------------------------------------
-from dealgrid.operators import presentation as pr  # noqa: E402
 
 
 def _lead_scores(c: CRM) -> DataFrame:
@@ -374,7 +381,6 @@ def _q(c):
 
 
 # -- 2.K retrieval ------------------------------------------------------------------
-from dealgrid.operators import retrieval as rv  # noqa: E402
 
 
 @query("scan_documents")
@@ -434,9 +440,6 @@ def _q(c):
 
 
 # -- 2.L snapshot and insights ---------------------------------------------------------
-from dealgrid.operators import insights as ins  # noqa: E402
-from dealgrid.session import scratch_path  # noqa: E402
-from dealgrid.sources import files as io  # noqa: E402
 
 
 def _snapshot(c: CRM, scope: str = "closed") -> DataFrame:
@@ -545,9 +548,7 @@ def _q(c):
 
 
 # -- 2.J machine learning --------------------------------------------------------------
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
-from dealgrid.operators import ml  # noqa: E402
 
 _MODELS: dict[tuple, tuple] = {}
 
