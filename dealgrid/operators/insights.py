@@ -32,10 +32,10 @@ def snapshot(spark: SparkSession, customers: DataFrame, deals: DataFrame, leads:
         F.struct("subscription_tier", "churn_rate_pct"))))).scalar()
     vel = me.deal_velocity(deals, as_of).select(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.col("month").cast("string"), "avg_velocity_days"))))).scalar()
-    top = me.channel_conversion(leads).select(
-        F.slice(F.array_sort(F.collect_list(F.struct(
-            (-F.col("conversion_rate_pct")).alias("k"), F.col("source"),
-            F.col("conversion_rate_pct")))), 1, 3).alias("a")).select(
+    # the three best channels first (TakeOrdered), then gathered: at most 3 rows
+    top = me.channel_conversion_top(leads, 3).select(F.slice(F.array_sort(F.collect_list(F.struct(
+        (-F.col("conversion_rate_pct")).alias("k"), F.col("source"),
+        F.col("conversion_rate_pct")))), 1, 3).alias("a")).select(
         F.transform("a", lambda s: F.struct(s["source"].alias("source"),
                                             s["conversion_rate_pct"].alias("conversion_rate_pct")))
     ).scalar()

@@ -86,7 +86,9 @@ def auc_rank_sum(scored: DataFrame, score: str = "score", label: str = "label")
     """Exact ROC-AUC (Mann-Whitney; tied scores count one half), 6 places.
 
     Rows are first counted per distinct score (partial aggregation); scores
-    carry 4 places, so at most 10,001 rows reach the running sum."""
+    are taken to 4 places (as every score here is), so at most 10,001 rows
+    reach the running sum."""
+    scored = scored.withColumn(score, F.round(score, 4))
     per = scored.groupBy(score).agg(count_if(F.col(label) == 1).alias("pos"),
                                     count_if(F.col(label) == 0).alias("neg"))
     w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
@@ -172,9 +174,11 @@ def evaluate(model: PipelineModel, test: DataFrame, id_col: str) -> DataFrame:
     return out_df
 
 
-def run_record(name: str, train: DataFrame, test: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Params, row counts and metrics of a run as (run, key, value) rows, with
-    the quality gate (ROC-AUC at least 0.70) as ``passed_gate``."""
+def run_record(name: str, train: DataFrame, test: DataFrame, metrics: DataFrame,
+               importances: DataFrame | None = None) -> DataFrame:
+    """Params, row counts, metrics and (optionally) feature importances of a run
+    as (run, key, value) rows, with the quality gate (ROC-AUC at least 0.70) as
+    ``passed_gate``."""
     spark = train.sparkSession
     params = spark.createDataFrame([(k, str(v)) for k, v in GBT_PARAMS.items()], "key string, value string")
     counts = train.agg(F.count(F.lit(1)).alias("n")).select(F.lit("train_rows").alias("key"),
@@ -184,8 +188,12 @@ def run_record(name: str, train: DataFrame, test: DataFrame, metrics: DataFrame)
     mets = metrics.select(F.col("metric").alias("key"), F.col("value").cast("string").alias("value"))
     gate = metrics.where(F.col("metric") == "roc_auc").select(
         F.lit("passed_gate").alias("key"), (F.col("value") >= MIN_ROC_AUC).cast("string").alias("value"))
-    return params.unionByName(counts).unionByName(mets).unionByName(gate) \
-        .select(F.lit(name).alias("run"), "key", "value")
+    rows = params.unionByName(counts).unionByName(mets).unionByName(gate)
+    if importances is not None:
+        rows = rows.unionByName(importances.select(
+            F.concat(F.lit("importance."), "feature").alias("key"),
+            F.col("importance").cast("string").alias("value")))
+    return rows.select(F.lit(name).alias("run"), "key", "value")
 
 
 # ---------------------------------------------------------------------------

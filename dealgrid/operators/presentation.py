@@ -98,7 +98,7 @@ def score_distribution(scores: DataFrame, col: str) -> DataFrame:
     Quartiles use linear interpolation (``percentile``); scores carry 4 places,
     so the aggregation buffer holds at most 10,001 distinct values per task.
     """
-    c = F.col(col)
+    c = F.round(col, 4)  # scores carry 4 places: bounds the quantile buffer
     agg = scores.agg(F.count(c).alias("count"), F.sum(_score_units(col)).alias("_s"),
                      F.stddev_samp(c).alias("_sd"), F.min(c).alias("min"),
                      F.percentile(c, [0.25, 0.5, 0.75]).alias("_q"), F.max(c).alias("max"))

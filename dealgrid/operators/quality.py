@@ -232,6 +232,15 @@ def required_fields(t: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def assert_required(name: str, df: DataFrame) -> None:
+    """Raise when a required column of table ``name`` holds NULLs (one pass)."""
+    cols = REQUIRED_FIELDS[name]
+    row = df.agg(*[count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    bad = {c: row[c] for c in cols if row[c]}
+    if bad:
+        raise ValueError(f"{name}: nulls found in required fields: {bad}")
+
+
 def unique_keys(t: dict[str, DataFrame]) -> DataFrame:
     """Keys that must be unique: (table_name, key_column, duplicate_keys, surplus_rows)."""
     keys = list(PRIMARY_KEYS.items()) + [("deals", "lead_id")]

@@ -70,7 +70,8 @@ def train_models(spark: SparkSession, features_dir: str, model_dir: str, runs_pa
         dq.feature_checks(feats, table, cols, label)  # schema gate (raises when columns are missing)
         model, train, test, metrics = ml.train_model(feats, cols, label, idc, params)
         ml.save_model(model, spark, _p(model_dir, name))
-        io.write_parquet(ml.run_record(name, train, test, metrics), runs_path, mode="append")
+        imp = ml.feature_importances(model, cols)
+        io.write_parquet(ml.run_record(name, train, test, metrics, imp), runs_path, mode="append")
     return spark.read.parquet(runs_path)
 
 

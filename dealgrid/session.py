@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="dealgrid-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -125,3 +125,12 @@ def test_unique_keys_and_required(spark, crm):
     assert uk["duplicate_keys"] >= 0
     req = dq.required_fields(crm.as_dict()).where(F.col("null_rows") > 0).count()
     assert req == 0
+
+
+def test_assert_required_raises(spark):
+    import pytest
+    ok = _leads(spark)
+    dq.assert_required("leads", ok)
+    bad = spark.createDataFrame([("L9", None, D(2024, 1, 1), "1-10", "x", False, None, None)], LEADS)
+    with pytest.raises(ValueError, match="source"):
+        dq.assert_required("leads", bad)
