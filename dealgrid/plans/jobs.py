@@ -90,20 +90,30 @@ def score(spark: SparkSession, features_dir: str, model_dir: str, out_dir: str,
 
 def daily_insights(spark: SparkSession, crm_dir: str, scores_dir: str, insights_path: str,
                    generated_at: dt.datetime) -> DataFrame:
-    """Snapshot -> typed insights -> append to the insights table (with the
-    snapshot JSON).  Returns the rows appended."""
+    """Snapshot -> typed insights -> the insights table (with the snapshot JSON).
+
+    The table is partitioned by ``run_date``; a run overwrites only its own
+    day (dynamic partition overwrite), so re-running a day after a failure or
+    a retry replaces that day's rows instead of adding a second copy.  Ids
+    continue after the largest id of the earlier days, so a retried day gets
+    the same ids again.  Returns the day's rows.
+    """
     t = read_crm(spark, crm_dir)
     scores = spark.read.parquet(_p(scores_dir, "deal_scores"))
     snap = ins.snapshot(spark, t["customers"], t["deals"], t["leads"], scores)
     new_insights = ins.rule_insights(snap)
+    run_date = generated_at.date()
     try:
-        existing = spark.read.parquet(insights_path)
-    except Exception:  # first run: empty table
-        existing = spark.createDataFrame([], "id long")
-    rows = ins.append_insights(existing, new_insights, ins.snapshot_json(snap), F.lit(generated_at))
-    io.write_parquet(rows, insights_path, mode="append")
-    return spark.read.parquet(insights_path).where(F.col("generated_at") == F.lit(generated_at)
-                                                   .cast("timestamp_ntz"))
+        earlier = spark.read.parquet(insights_path).where(F.col("run_date") < F.lit(run_date))
+        start = earlier.agg(F.max("id")).first()[0] or 0  # one number, read before the write
+    except Exception:  # first run: no table yet
+        start = 0
+    rows = ins.append_insights(spark.range(1).select(F.lit(start).cast("long").alias("id")),
+                               new_insights, ins.snapshot_json(snap), F.lit(generated_at))
+    rows = rows.withColumn("run_date", F.lit(run_date))
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date").parquet(insights_path))
+    return spark.read.parquet(insights_path).where(F.col("run_date") == F.lit(run_date))
 
 
 def ingest_documents(spark: SparkSession, docs: DataFrame, collection_path: str, dim: int = 512):

@@ -45,6 +45,12 @@ def test_lifecycle(spark, tmp_path):
     assert sorted(r["id"] for r in new) == list(range(1, len(new) + 1))  # first run: ids from 1
     again = jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when + dt.timedelta(days=1))
     assert min(r["id"] for r in again.collect()) > max(r["id"] for r in new)
+    # re-running a day replaces it: same rows, same ids, no duplicates
+    day2 = sorted(r["id"] for r in again.collect())
+    rerun = jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when + dt.timedelta(days=1))
+    assert sorted(r["id"] for r in rerun.collect()) == day2
+    jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when)
+    assert spark.read.parquet(f"{base}/insights").count() == len(new) + len(day2)
 
 
 def test_ingest_and_answer(spark, tmp_path):
