@@ -72,3 +72,9 @@ def strip_ws(col: Column | str) -> Column:
     """Python ``str.strip()``: a character-set trim, no regex."""
     c = F.col(col) if isinstance(col, str) else col
     return F.btrim(c, F.lit(WS_CHARS))
+
+
+def padded_id(prefix: str, n: Column | str, width: int = 4) -> Column:
+    """``prefix`` + zero-padded number (``LEAD0001``); wider numbers are kept whole."""
+    c = F.col(n) if isinstance(n, str) else n
+    return F.format_string(f"{prefix}%0{width}d", c.cast("long"))

@@ -51,3 +51,9 @@ def test_snapshot_and_rules(spark, crm):
     assert [r["position"] for r in rules] == list(range(1, len(rules) + 1))
     js = ins.snapshot_json(snap).first()[0]
     assert js.startswith('{"mrr":{"current_month"')
+
+
+def test_padded_id(spark):
+    from dealgrid.functions.core import padded_id
+    df = spark.createDataFrame([(1,), (42,), (123456,)], "n int")
+    assert [r[0] for r in df.select(padded_id("LEAD", "n")).collect()] == ["LEAD0001", "LEAD0042", "LEAD123456"]
