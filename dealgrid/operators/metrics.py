@@ -55,9 +55,11 @@ def mrr_timeseries(customers: DataFrame) -> DataFrame:
                     F.lead("point_no").over(w_next).alias("next_no"))
     active = customers.where(F.col("start_date").isNotNull() & F.col("mrr").isNotNull() & (
         F.col("churn_date").isNull() | (F.col("churn_date") > F.col("start_date"))))
-    deltas = active.select(F.col("start_date").alias("d"), F.col("mrr").cast("long").alias("delta")) \
-        .unionByName(active.where(F.col("churn_date").isNotNull()).select(
-            F.col("churn_date").alias("d"), (-F.col("mrr")).cast("long").alias("delta")))
+    # one pass: +mrr at the start, -mrr at the churn date (when there is one)
+    deltas = active.select(F.explode(F.array(
+        F.struct(F.col("start_date").alias("d"), F.col("mrr").cast("long").alias("delta")),
+        F.struct(F.col("churn_date").alias("d"), (-F.col("mrr")).cast("long").alias("delta")))
+    ).alias("e")).select("e.d", "e.delta").where(F.col("d").isNotNull())
     j = deltas.join(F.broadcast(g), F.trunc(deltas.d, "month") == g.gmonth, "inner")
     j = j.select(F.when(F.col("d") <= F.col("point"), F.col("point_no"))
                  .otherwise(F.col("next_no")).alias("at_no"), "delta")
