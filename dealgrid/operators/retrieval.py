@@ -165,7 +165,10 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     if n_q == 0:
         raise ValueError("no questions")
-    n_batches = max(1, -(-(n_q * max(dim, 1) * 8) // MAX_QUESTION_BYTES))
+    # hash batches of about half the bound each, so that no batch reaches it
+    n_batches = max(1, -(-(n_q * max(dim, 1) * 8 * 2) // MAX_QUESTION_BYTES))
+    if n_q * max(dim, 1) * 8 <= MAX_QUESTION_BYTES // 2:
+        n_batches = 1
     id_type = questions.schema[q_id].dataType
     cid_type = corpus.schema[c_id].dataType
     schema = T.StructType([T.StructField("_qid", id_type), T.StructField("_cid", cid_type),
@@ -174,11 +177,13 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
     for b in range(n_batches):
         qb = qs if n_batches == 1 else qs.where(
             F.pmod(F.xxhash64("_qid"), F.lit(n_batches)) == b)
-        pdf = qb.toPandas()  # bounded: at most MAX_QUESTION_BYTES of vectors
+        pdf = qb.toPandas()  # about half of MAX_QUESTION_BYTES of vectors
         if pdf.empty:
             continue
         q_ids = pdf["_qid"].to_numpy()
         q_mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
+        if q_mat.nbytes > MAX_QUESTION_BYTES:
+            raise ValueError(f"question batch of {q_mat.nbytes} bytes exceeds the broadcast bound")
         bc = spark.sparkContext.broadcast((q_ids, q_mat))
         parts.append(c.mapInPandas(_candidates_fn(bc, k), schema))
     cand = parts[0]
