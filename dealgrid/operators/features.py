@@ -76,29 +76,38 @@ def latest_contact(deals: DataFrame):
     return deals.agg(F.max("last_contact_date")).scalar()
 
 
-def open_deal_features(deals: DataFrame, engagement: DataFrame) -> DataFrame:
-    """Open deals, no label; silence measured against the latest contact date in the data."""
+def open_deals_base(deals: DataFrame, engagement: DataFrame) -> DataFrame:
+    """Open deals with their engagement summary and silence (days since the
+    latest contact in the data).  Active-deal view and open-deal features are
+    both derived from this one frame, so one plan computes the engagement
+    aggregation once (the shared subtree is a reused exchange)."""
     opened = deals.where(F.col("outcome") == "open")
     j = _with_engagement(opened, engagement)
+    return j.withColumn("days_since_last_contact",
+                        F.datediff(latest_contact(deals), F.col("last_contact_date")))
+
+
+def open_deal_features(deals: DataFrame, engagement: DataFrame,
+                       base: DataFrame | None = None) -> DataFrame:
+    """Open deals, no label; silence measured against the latest contact date in the data."""
+    j = base if base is not None else open_deals_base(deals, engagement)
     return j.select(
         "deal_id",
         F.col("value").alias("deal_value"),
         F.datediff("last_contact_date", "created_at").alias("deal_age_days"),
-        F.datediff(latest_contact(deals), F.col("last_contact_date")).alias("days_since_last_contact"),
+        "days_since_last_contact",
         "engagement_count", "meeting_count", "email_reply_rate")
 
 
-def active_deals(deals: DataFrame, reps: DataFrame, engagement: DataFrame) -> DataFrame:
+def active_deals(deals: DataFrame, reps: DataFrame, engagement: DataFrame,
+                 base: DataFrame | None = None) -> DataFrame:
     """Open deals with rep name and engagement summary, oldest contact first."""
-    opened = deals.where(F.col("outcome") == "open")
     # engagement first: both sides are keyed by deal_id (co-located when the
     # tables are bucketed by it); the rep dimension is joined afterwards
-    j = _with_engagement(opened, engagement)
+    j = base if base is not None else open_deals_base(deals, engagement)
     r = reps.select(F.col("rep_id").alias("_rid"), F.col("name").alias("rep_name"))
     j = j.join(r, j.rep_id == r._rid, "inner")
     return j.select(
         "deal_id", "rep_id", "rep_name", "product", "stage", "value", "created_at",
-        "last_contact_date",
-        F.datediff(latest_contact(deals), F.col("last_contact_date")).alias("days_since_last_contact"),
-        "engagement_count", "meeting_count",
+        "last_contact_date", "days_since_last_contact", "engagement_count", "meeting_count",
     ).orderBy("last_contact_date", "deal_id")

@@ -305,9 +305,10 @@ def _lead_scores_unranked(c: CRM) -> DataFrame:
 
 
 def _deal_risk(c: CRM) -> DataFrame:
-    active = fe.active_deals(c.deals, c.reps, c.engagement)
-    scores = rk.score_open_deals(fe.open_deal_features(c.deals, c.engagement), c.deals, c.reps)
-    return pr.deal_risk_table(active, scores)
+    base = fe.open_deals_base(c.deals, c.engagement)  # one engagement aggregation for both
+    active = fe.active_deals(c.deals, c.reps, c.engagement, base=base)
+    feats = fe.open_deal_features(c.deals, c.engagement, base=base)
+    return pr.deal_risk_table(active, rk.score_open_deals(feats, c.deals, c.reps))
 
 
 @query("score_leads_listed")
@@ -676,9 +677,10 @@ def _q(c):
 @query("score_open_deals_model")
 def _q(c):
     model, _, _, _, _, cols, idc = _trained(c, "deals")
-    open_feats = fe.open_deal_features(c.deals, c.engagement)
-    scores = ml.score(model, open_feats, cols, idc, "risk_score", "risk_rank")
-    return pr.deal_risk_table(fe.active_deals(c.deals, c.reps, c.engagement), scores)
+    base = fe.open_deals_base(c.deals, c.engagement)
+    scores = ml.score(model, fe.open_deal_features(c.deals, c.engagement, base=base), cols, idc,
+                      "risk_score", "risk_rank")
+    return pr.deal_risk_table(fe.active_deals(c.deals, c.reps, c.engagement, base=base), scores)
 
 
 @query("model_save_load")
