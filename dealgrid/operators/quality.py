@@ -2,10 +2,12 @@
 
 Each table is scanned once: every check is a ``count_if`` column of a single
 aggregation, unpivoted with ``stack`` into ``(table_name, check_name, bad_rows)``.
-Foreign-key checks are left joins against the distinct parent keys folded into
-the same pass (the parent side is aggregated to distinct keys first, so a parent
-key repeated many times does not multiply child rows).  Row-level flags are
-available through ``*_flags`` for quarantine.
+Keys are reduced before they meet another table: deal windows and parent keys
+are aggregated to one row per key (so a repeated parent key cannot multiply
+child rows), events are counted per (deal, day) before the window check, and
+child rows are counted per key before the anti joins of the FK checks -- a key
+holding a large share of the rows is combined map-side.  ``quarantine`` gives
+the failing rows themselves with the names of the checks they fail.
 
 NULL rules: a NULL in an enum column is invalid; a NULL date in a comparison is
 not a violation.
