@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dealgrid.functions.core import strip_ws
 from dealgrid.operators import metrics as me
 from dealgrid.schemas import AT_RISK_THRESHOLD
 
@@ -155,10 +156,12 @@ def render_responses(insights: DataFrame) -> DataFrame:
 
 
 def _strip_fences(text):
-    t = F.trim(text)
+    """Python-equal strip; when the text starts with a code fence, keep what lies
+    between the first two fences, drop a leading ``json`` tag, strip again."""
+    t = strip_ws(text)
     inner = F.split(t, "```", 3).getItem(1)
     inner = F.when(inner.startswith("json"), F.substring(inner, 5, 2147483647)).otherwise(inner)
-    return F.when(t.startswith("```"), F.trim(inner)).otherwise(t)
+    return F.when(t.startswith("```"), strip_ws(inner)).otherwise(t)
 
 
 def parse_insights(responses: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,9 +15,10 @@ def test_parse_variants(spark):
              (4, '[{"insight_type":"mrr","summary":"a"},{"insight_type":"deals","summary":"b"}]'),
              (5, ITEMS[:-1] + ',{"insight_type":"deals","summary":"d"}]'),
              (6, '[{"insight_type":"mrr"'), (7, "no json here"),
-             (8, '[{"insight_type":"mrr"},{"insight_type":"churn","summary":"b"},{"summary":"c"}]')]
+             (8, '[{"insight_type":"mrr"},{"insight_type":"churn","summary":"b"},{"summary":"c"}]'),
+             (9, "\n\t```json\n" + ITEMS + "\n```\n")]
     good, bad = ins.parse_insights(spark.createDataFrame(texts, "response_id int, text string"))
-    assert sorted({r["response_id"] for r in good.collect()}) == [1, 2, 3]
+    assert sorted({r["response_id"] for r in good.collect()}) == [1, 2, 3, 9]
     reasons = {r["response_id"]: r["reason"] for r in bad.collect()}
     assert reasons[4] == "expected 3 insights, got 2"
     assert reasons[5] == "expected 3 insights, got 4"
