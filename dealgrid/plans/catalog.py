@@ -197,6 +197,16 @@ def _q(c): return me.deal_velocity_sql(c.deals, dt.date(2001, 9, 15))
 def _q(c): return me.channel_conversion_top(c.leads)
 
 
+@query("at_risk_count")
+def _q(c):
+    """Scored (closed) deals above the risk threshold."""
+    from dealgrid.functions.core import count_if
+    from dealgrid.schemas import AT_RISK_THRESHOLD
+    return rk.deal_risk_scores(c.deals, c.reps).agg(
+        count_if(F.col("risk_score") > AT_RISK_THRESHOLD).alias("at_risk_count"),
+        F.count(F.lit(1)).alias("scored_deals"))
+
+
 @query("open_pipeline_value")
 def _q(c): return me.open_pipeline_value(c.deals)
 

@@ -29,7 +29,9 @@ def test_matches_oracle(spark, con, name):
 
 
 @pytest.mark.parametrize("name", ["active_deals", "rank_leads", "mrr_timeseries", "dq_report",
-                                  "topk_cosine", "chunk_documents"])
+                                  "topk_cosine", "chunk_documents", "dq_engagement", "lead_features",
+                                  "filter_options", "metrics_snapshot", "event_mix", "cold_window_reply",
+                                  "text_topk"])
 def test_deterministic_across_partitioning(spark, name):
     from __spark_entry__ import queries
     spark.conf.set("spark.sql.shuffle.partitions", "3")
