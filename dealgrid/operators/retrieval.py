@@ -115,47 +115,76 @@ def embed(model: PipelineModel, df: DataFrame, text_col: str = "document",
 # Top-k cosine
 # ---------------------------------------------------------------------------
 
-def _candidates_fn(bc, k: int):
-    """Per partition: a running top-k per question over all Arrow batches (ties
-    at the cut kept), emitted once at the end of the partition."""
-    def keep_best(ids, sims):
-        if len(ids) <= k:
-            return ids, sims
-        cut = np.partition(sims, len(sims) - k)[len(sims) - k]
-        sel = sims >= cut
-        return ids[sel], sims[sel]
+# Similarity entries computed at once (corpus rows x questions of one block).
+SIM_BLOCK_ENTRIES = 4 << 20
+
+
+def _keep_top(q, c, s, k: int):
+    """Candidates (question index, corpus id, similarity) reduced to those at or
+    above each question's k-th best similarity (ties at the cut kept)."""
+    order = np.lexsort((-s, q))
+    q, c, s = q[order], c[order], s[order]
+    first, counts = np.unique(q, return_index=True, return_counts=True)[1:]
+    cut = np.where(counts > k, s[first + np.minimum(counts, k) - 1], -np.inf)
+    keep = s >= np.repeat(cut, counts)
+    return q[keep], c[keep], s[keep]
 
+
+def _candidates_fn(bc, k: int, exclude_self: bool = False):
+    """Per partition: a running top-k per question over all Arrow batches (ties
+    at the cut kept), emitted once at the end of the partition.  Similarities
+    are computed in blocks of about SIM_BLOCK_ENTRIES; each block keeps only the
+    rows at or above every question's k-th value.  With ``exclude_self`` a
+    corpus row never matches the question of the same id."""
     def fn(batches):
         q_ids, q_mat = bc.value
         qn = np.linalg.norm(q_mat, axis=1)
-        best = [(np.empty(0, dtype=object), np.empty(0)) for _ in range(len(q_ids))]
+        n_q = len(q_ids)
+        acc_q, acc_c, acc_s, n_acc = [], [], [], 0
         for pdf in batches:
             if pdf.empty:
                 continue
             c = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
             cn = np.linalg.norm(c, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = (c @ q_mat.T) / np.outer(cn, qn)
             cids = pdf["_cid"].to_numpy(dtype=object)
-            for j in range(len(q_ids)):
-                col = sims[:, j]
-                ok = ~np.isnan(col)
-                ids = np.concatenate([best[j][0], cids[ok]])
-                vals = np.concatenate([best[j][1], col[ok]])
-                best[j] = keep_best(ids, vals)
-        out_q = [np.full(len(b[0]), q_ids[j], dtype=object) for j, b in enumerate(best)]
-        if sum(len(x) for x in out_q):
-            yield pd.DataFrame({"_qid": np.concatenate(out_q),
-                                "_cid": np.concatenate([b[0] for b in best]),
-                                "_sim": np.concatenate([b[1] for b in best]).astype(np.float64)})
+            n_c = len(cids)
+            step = max(1, SIM_BLOCK_ENTRIES // n_c)
+            for lo in range(0, n_q, step):
+                hi = min(n_q, lo + step)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sims = (c @ q_mat[lo:hi].T) / np.outer(cn, qn[lo:hi])
+                if exclude_self:
+                    sims[cids[:, None] == q_ids[None, lo:hi]] = np.nan
+                sims[~np.isfinite(sims)] = -np.inf
+                if n_c > k:
+                    cut = np.partition(sims, n_c - k, axis=0)[n_c - k]
+                    sel = (sims >= cut[None, :]) & (sims > -np.inf)
+                else:
+                    sel = sims > -np.inf
+                r, j = np.nonzero(sel)
+                acc_q.append(j + lo)
+                acc_c.append(cids[r])
+                acc_s.append(sims[r, j])
+                n_acc += len(r)
+            if n_acc > 4 * k * n_q:
+                q, cc, ss = _keep_top(np.concatenate(acc_q), np.concatenate(acc_c),
+                                      np.concatenate(acc_s), k)
+                acc_q, acc_c, acc_s, n_acc = [q], [cc], [ss], len(q)
+        if n_acc:
+            q, cc, ss = _keep_top(np.concatenate(acc_q), np.concatenate(acc_c),
+                                  np.concatenate(acc_s), k)
+            yield pd.DataFrame({"_qid": q_ids[q], "_cid": cc, "_sim": ss.astype(np.float64)})
     return fn
 
 
 def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
                 q_id: str = "question_id", q_vec: str = "embedding",
-                c_id: str = "chunk_id", c_vec: str = "embedding") -> DataFrame:
+                c_id: str = "chunk_id", c_vec: str = "embedding",
+                exclude_self: bool = False) -> DataFrame:
     """(question_id, chunk_id, similarity, rank): the k corpus rows with the highest
-    cosine similarity per question, best first, ties by chunk id."""
+    cosine similarity per question, best first, ties by chunk id.  With
+    ``exclude_self`` (questions and corpus share ids, e.g. nearest neighbours
+    within one table) a row is not its own neighbour."""
     spark = corpus.sparkSession
     c = corpus.select(F.col(c_id).alias("_cid"), F.col(c_vec).alias("_vec")) \
         .where(F.col("_vec").isNotNull())
@@ -185,7 +214,7 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
         if q_mat.nbytes > MAX_QUESTION_BYTES:
             raise ValueError(f"question batch of {q_mat.nbytes} bytes exceeds the broadcast bound")
         bc = spark.sparkContext.broadcast((q_ids, q_mat))
-        parts.append(c.mapInPandas(_candidates_fn(bc, k), schema))
+        parts.append(c.mapInPandas(_candidates_fn(bc, k, exclude_self), schema))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -221,21 +250,21 @@ def context_assembly(hits: DataFrame, questions: DataFrame, q_text: str = "text"
 # ---------------------------------------------------------------------------
 
 def vector_split(embeddings: DataFrame):
-    """Precomputed vectors: every 50th vector is a question, the rest the corpus;
-    source_file = the vector's label."""
+    """Precomputed vectors: every vector is a question and every vector is in the
+    corpus (a vector is not matched with itself); source_file = the vector's label."""
     e = embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("source_file"))
-    questions = e.where(F.pmod("vec_id", F.lit(50)) == 0).withColumnRenamed("vec_id", "question_id")
-    corpus = e.where(F.pmod("vec_id", F.lit(50)) != 0).withColumnRenamed("vec_id", "chunk_id")
-    return questions, corpus
+    return e.withColumnRenamed("vec_id", "question_id"), e.withColumnRenamed("vec_id", "chunk_id")
 
 
 def vector_hits(embeddings: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(question_id, rank, chunk_id, source_file, similarity, distance), 6 places."""
+    """(question_id, rank, chunk_id, source_file, similarity, distance), 6 places:
+    the k nearest other vectors of every vector of the table."""
     questions, corpus = vector_split(embeddings)
-    top = topk_cosine(questions, corpus, k)
-    # hits are at most k per question (the question set is size-checked): broadcast
+    top = topk_cosine(questions, corpus, k, exclude_self=True)
+    # k hits per question: as large as the corpus metadata itself, so no
+    # broadcast hint -- AQE picks the join by the runtime sizes
     meta = corpus.select("chunk_id", "source_file")
-    j = meta.join(F.broadcast(top), "chunk_id")
+    j = meta.join(top, "chunk_id")
     return j.select("question_id", "rank", "chunk_id", "source_file",
                     F.round("similarity", 6).alias("similarity"),
                     F.round(1 - F.col("similarity"), 6).alias("distance"))
