@@ -60,30 +60,27 @@ def snapshot_json(snap: DataFrame) -> DataFrame:
 
 
 def snapshot_leaves(snap: DataFrame) -> DataFrame:
-    """(leaf, num_value, text_value): every leaf of the snapshot, for checking."""
-    def num(name, col):
-        return snap.select(F.lit(name).alias("leaf"), col.cast("double").alias("num_value"),
-                           F.lit(None).cast("string").alias("text_value"))
-    parts = [num("mrr.current_month", F.col("mrr.current_month")),
-             num("mrr.prior_month", F.col("mrr.prior_month")),
-             num("mrr.change_pct", F.col("mrr.change_pct")),
-             num("deals_at_risk.count", F.col("deals_at_risk.count")),
-             num("deals_at_risk.open_pipeline_value", F.col("deals_at_risk.open_pipeline_value"))]
-    for m in ("churn_by_tier", "deal_velocity_days"):
-        parts.append(snap.select(F.explode(m).alias("k", "v")).select(
-            F.concat(F.lit(m + "."), "k").alias("leaf"), F.col("v").cast("double").alias("num_value"),
-            F.lit(None).cast("string").alias("text_value")))
-    ch = snap.select(F.posexplode("top_acquisition_channels").alias("i", "c"))
-    parts.append(ch.select(F.format_string("top_acquisition_channels.%d.source", "i").alias("leaf"),
-                           F.lit(None).cast("double").alias("num_value"),
-                           F.col("c.source").alias("text_value")))
-    parts.append(ch.select(F.format_string("top_acquisition_channels.%d.conversion_rate_pct", "i")
-                           .alias("leaf"), F.col("c.conversion_rate_pct").alias("num_value"),
-                           F.lit(None).cast("string").alias("text_value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(leaf, num_value, text_value): every leaf of the snapshot, for checking.
+    Built as one array per snapshot row and inlined, so the snapshot (and its
+    scalar aggregations) is evaluated once."""
+    def leaf(name, num=None, text=None):
+        return F.struct(name.alias("leaf"), (num if num is not None else F.lit(None))
+                        .cast("double").alias("num_value"),
+                        (text if text is not None else F.lit(None)).cast("string").alias("text_value"))
+    fixed = F.array(*[leaf(F.lit(n), F.col(n)) for n in (
+        "mrr.current_month", "mrr.prior_month", "mrr.change_pct",
+        "deals_at_risk.count", "deals_at_risk.open_pipeline_value")])
+    def map_leaves(m):
+        return F.transform(F.map_entries(m), lambda e: leaf(
+            F.concat(F.lit(m + "."), e["key"]), e["value"]))
+    maps = [map_leaves(m) for m in ("churn_by_tier", "deal_velocity_days")]
+    pre = "top_acquisition_channels."
+    chans = F.flatten(F.transform("top_acquisition_channels", lambda c, i: F.array(
+        leaf(F.concat(F.lit(pre), i.cast("string"), F.lit(".source")), text=c["source"]),
+        leaf(F.concat(F.lit(pre), i.cast("string"), F.lit(".conversion_rate_pct")),
+             c["conversion_rate_pct"]))))
+    none = F.array().cast("array<struct<leaf:string,num_value:double,text_value:string>>")
+    return snap.select(F.inline(F.concat(fixed, *maps, F.coalesce(chans, none))))
 
 
 # Insight rules of this library: type -> (precedence, lower = more important; text)

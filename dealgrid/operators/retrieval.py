@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from dealgrid.functions.core import split_words, strip_ws
 from dealgrid.schemas import CHUNK_OVERLAP, CHUNK_SIZE, TOP_K
+from dealgrid.sources.tables import spread
 
 # Upper bound for one broadcast batch of question vectors (bytes of float64).
 MAX_QUESTION_BYTES = 64 << 20
@@ -84,9 +85,10 @@ def read_documents(spark, path_glob: str) -> DataFrame:
 
 
 def documents_view(documents: DataFrame) -> DataFrame:
-    """The documents table as whole-text rows: (doc_id, source_file, text stripped)."""
-    return documents.select("doc_id", F.col("source").alias("source_file"),
-                            strip_ws("text").alias("text"))
+    """The documents table as whole-text rows: (doc_id, source_file, text stripped),
+    spread over all cores when the scan is narrower than the cluster."""
+    return spread(documents.select("doc_id", F.col("source").alias("source_file"),
+                                   strip_ws("text").alias("text")))
 
 
 # ---------------------------------------------------------------------------
