@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -82,21 +84,52 @@ def predict(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
     return out.select(*keep, F.round(vector_to_array("probability")[1], 4).alias("score"))
 
 
-def auc_rank_sum(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def _negatives_below(batches):
+    """Per range partition (distinct scores sorted ascending): negatives with a
+    lower score inside the partition, carried across Arrow batches."""
+    carried = 0
+    for pdf in batches:
+        neg = pdf["neg"].to_numpy(dtype="int64")
+        below = carried + np.cumsum(neg) - neg
+        carried += int(neg.sum())
+        yield pd.DataFrame({"_p": pdf["_p"].to_numpy(dtype="int32"),
+                            "pos": pdf["pos"].to_numpy(dtype="int64"), "neg": neg,
+                            "below": below.astype("int64")})
+
+
+def auc_rank_sum(scored: DataFrame, score: str = "score", label: str = "label",
+                 places: int | None = 4) -> DataFrame:
     """Exact ROC-AUC (Mann-Whitney; tied scores count one half), 6 places.
 
-    Rows are first counted per distinct score (partial aggregation); scores
-    are taken to 4 places (as every score here is), so at most 10,001 rows
-    reach the running sum."""
-    scored = scored.withColumn(score, F.round(score, 4))
-    per = scored.groupBy(score).agg(count_if(F.col(label) == 1).alias("pos"),
-                                    count_if(F.col(label) == 0).alias("neg"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    Rows are first counted per distinct score (partial aggregation; scores
+    taken to ``places`` decimals, or as they are with ``places=None``).  The
+    negatives below each score are then a running sum over the distinct scores:
+    for probabilities at up to 4 places there are at most 10,001 of them and one
+    window takes them; otherwise (raw probabilities: as many distinct scores as
+    rows) the distinct scores are range-partitioned, each partition holds a
+    score interval, the running sum is taken inside the partitions and a
+    partition's offset is the negatives of all lower partitions (one row per
+    partition).  No task ever holds an unbounded number of scores."""
+    s = F.round(score, places) if places is not None else F.col(score)
+    per = scored.select(s.alias("_s"), F.col(label).alias("_y")).groupBy("_s").agg(
+        count_if(F.col("_y") == 1).alias("pos"), count_if(F.col("_y") == 0).alias("neg"))
+    if places is not None and places <= 4:
+        w = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        j = per.select("pos", "neg", F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("_below"))
+    else:
+        local = (per.repartitionByRange("_s").sortWithinPartitions("_s")
+                 .select(F.spark_partition_id().alias("_p"), "pos", "neg")
+                 .mapInPandas(_negatives_below, "_p int, pos long, neg long, below long"))
+        totals = local.groupBy("_p").agg(F.sum("neg").alias("_n"))
+        w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        # one row per partition: bounded by the partition count, safe to broadcast
+        offsets = totals.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+        j = local.join(F.broadcast(offsets), "_p").select(
+            "pos", "neg", (F.col("_off") + F.col("below")).alias("_below"))
     wide = "decimal(38,0)"
-    agg = per.agg(F.sum(F.col("pos").cast(wide) * (2 * F.col("neg_below").cast(wide) + F.col("neg")))
-                  .alias("_num"),
-                  F.sum("pos").cast(wide).alias("_p"), F.sum("neg").cast(wide).alias("_n"))
+    agg = j.agg(F.sum(F.col("pos").cast(wide) * (2 * F.col("_below").cast(wide) + F.col("neg")))
+                .alias("_num"),
+                F.sum("pos").cast(wide).alias("_p"), F.sum("neg").cast(wide).alias("_n"))
     return agg.select(half_up_ratio("_num", "2 * _p * _n", 6, wide=True).alias("roc_auc"))
 
 
@@ -161,7 +194,9 @@ def evaluate(model: PipelineModel, test: DataFrame, id_col: str) -> DataFrame:
     ev = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label",
                                        metricName="areaUnderROC")
     auc_spark = ev.evaluate(out)
-    exact = auc_rank_sum(pred)
+    # exact AUC on the unrounded probabilities (as the training report computes it)
+    raw = out.select("label", vector_to_array("probability")[1].alias("score"))
+    exact = auc_rank_sum(raw, places=None)
     m = binary_metrics(pred)
     spark = test.sparkSession
     rows = [spark.range(1).select(F.lit("roc_auc").alias("metric"), F.lit(auc_spark).alias("value")),

@@ -63,3 +63,25 @@ def test_split_exact_per_class(spark):
         assert abs(share - 0.2) < 0.002
     again = ml.stratified_split(df.repartition(7), "k", label="y")
     assert sorted(s.where("is_test").select("k").collect()) == sorted(again.where("is_test").select("k").collect())
+
+
+def test_exact_auc_range_partitioned(spark):
+    """Many distinct scores over many range partitions and small Arrow batches,
+    with ties across labels: equals the pair count."""
+    import random
+    rnd = random.Random(7)
+    rows = [(rnd.choice([rnd.random(), round(rnd.random(), 2)]), rnd.randint(0, 1)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "score double, label int").repartition(6)
+    pos = sorted(s for s, y in rows if y == 1)
+    neg = sorted(s for s, y in rows if y == 0)
+    import bisect
+    wins = sum(bisect.bisect_left(neg, p) + 0.5 * (bisect.bisect_right(neg, p) - bisect.bisect_left(neg, p))
+               for p in pos)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ml.auc_rank_sum(df, places=None).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == round(wins / (len(pos) * len(neg)), 6)
