@@ -6,7 +6,10 @@ with one matrix product per Arrow batch (``mapInPandas``), keeping a running
 top-k per question across the partition's batches (ties at the cut kept).  The
 candidates -- about k per question per partition -- are reduced to the global
 top k with a ``row_number`` per question (Spark applies the limit per task
-before the shuffle).  No question x corpus pair ever becomes a row.
+before the shuffle).  No question x corpus pair ever becomes a row.  Question
+batches hold disjoint questions: up to MAX_UNION_BATCHES of them share one
+plan; beyond that each batch's top k is its own job written to the shared
+folder, so the plan and the broadcasts in flight stay bounded.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from pyspark.sql import types as T
 
 from dealgrid.functions.core import split_words, strip_ws
 from dealgrid.schemas import CHUNK_OVERLAP, CHUNK_SIZE, TOP_K
+from dealgrid.session import scratch_path
 from dealgrid.sources.tables import spread
 
 # Upper bound for one broadcast batch of question vectors (bytes of float64).
 MAX_QUESTION_BYTES = 64 << 20
+# Question batches combined in one plan; beyond this each batch is its own job.
+MAX_UNION_BATCHES = 8
 BLOCK_SEP = "\n\n---\n\n"
 
 
@@ -204,6 +210,19 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
     cid_type = corpus.schema[c_id].dataType
     schema = T.StructType([T.StructField("_qid", id_type), T.StructField("_cid", cid_type),
                            T.StructField("_sim", T.DoubleType())])
+    w = Window.partitionBy("_qid").orderBy(F.col("_sim").desc(), F.col("_cid").asc())
+
+    def best_k(cand: DataFrame) -> DataFrame:
+        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return top.select(F.col("_qid").alias("question_id"), F.col("_cid").alias("chunk_id"),
+                          F.col("_sim").alias("similarity"), F.col("rank").cast("int").alias("rank"))
+
+    # Few batches: one plan (a union of the batches' candidates).  Many batches:
+    # the batches hold disjoint questions, so each batch's top k is final; each
+    # is written to the shared folder as its own job and its broadcast released,
+    # so neither the plan nor the executors' memory grows with the batch count.
+    written = n_batches > MAX_UNION_BATCHES
+    out_path = scratch_path(spark, "topk") if written else None
     parts = []
     for b in range(n_batches):
         qb = qs if n_batches == 1 else qs.where(
@@ -216,14 +235,18 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
         if q_mat.nbytes > MAX_QUESTION_BYTES:
             raise ValueError(f"question batch of {q_mat.nbytes} bytes exceeds the broadcast bound")
         bc = spark.sparkContext.broadcast((q_ids, q_mat))
-        parts.append(c.mapInPandas(_candidates_fn(bc, k, exclude_self), schema))
+        part = c.mapInPandas(_candidates_fn(bc, k, exclude_self), schema)
+        if written:
+            best_k(part).write.mode("append").parquet(out_path)
+            bc.destroy()
+        else:
+            parts.append(part)
+    if written:
+        return spark.read.parquet(out_path)
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    w = Window.partitionBy("_qid").orderBy(F.col("_sim").desc(), F.col("_cid").asc())
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("_qid").alias("question_id"), F.col("_cid").alias("chunk_id"),
-                      F.col("_sim").alias("similarity"), F.col("rank").cast("int").alias("rank"))
+    return best_k(cand)
 
 
 def retrieval_sources(hits: DataFrame) -> DataFrame:
