@@ -304,6 +304,6 @@ def text_hits(documents: DataFrame, benchmark: DataFrame, k: int = TOP_K, dim: i
                                               F.col("text").alias("document")))
     top = topk_cosine(questions, corpus, k)
     meta = corpus.select("chunk_id", "source_file", "document")
-    hits = meta.join(F.broadcast(top), "chunk_id")
+    hits = meta.join(top, "chunk_id")  # AQE sizes the hits side at run time
     qtext = benchmark.select(F.col("item_id").alias("question_id"), "text")
     return hits, qtext
