@@ -3,7 +3,7 @@
 Top-k plan: the question set is checked for size and broadcast (in batches
 when it is larger than the bound); each corpus partition is scored against it
 with one matrix product per Arrow batch (``mapInPandas``), keeping a running
-top-k per question across the partition's batches (ties at the cut kept).  The
+top-k per question across the partition's batches (ties broken by id).  The
 candidates -- about k per question per partition -- are reduced to the global
 top k with a ``row_number`` per question (Spark applies the limit per task
 before the shuffle).  No question x corpus pair ever becomes a row.  Question
@@ -128,22 +128,27 @@ SIM_BLOCK_ENTRIES = 4 << 20
 
 
 def _keep_top(q, c, s, k: int):
-    """Candidates (question index, corpus id, similarity) reduced to those at or
-    above each question's k-th best similarity (ties at the cut kept)."""
-    order = np.lexsort((-s, q))
+    """Candidates (question index, corpus id, similarity) reduced to the k best
+    per question under (similarity desc, corpus id asc) -- the order of the final
+    ranking -- so a group of identical vectors never grows the candidate list."""
+    if len(q) == 0:
+        return q, c, s
+    codes = np.unique(c, return_inverse=True)[1]  # order-preserving codes of the ids
+    order = np.lexsort((codes, -s, q))
     q, c, s = q[order], c[order], s[order]
-    first, counts = np.unique(q, return_index=True, return_counts=True)[1:]
-    cut = np.where(counts > k, s[first + np.minimum(counts, k) - 1], -np.inf)
-    keep = s >= np.repeat(cut, counts)
+    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+    pos = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    keep = pos < k
     return q[keep], c[keep], s[keep]
 
 
 def _candidates_fn(bc, k: int, exclude_self: bool = False):
-    """Per partition: a running top-k per question over all Arrow batches (ties
-    at the cut kept), emitted once at the end of the partition.  Similarities
-    are computed in blocks of about SIM_BLOCK_ENTRIES; each block keeps only the
-    rows at or above every question's k-th value.  With ``exclude_self`` a
-    corpus row never matches the question of the same id."""
+    """Per partition: a running top-k per question over all Arrow batches,
+    emitted once at the end of the partition.  Similarities are computed in
+    blocks of about SIM_BLOCK_ENTRIES; each block keeps the k best per question
+    (similarity desc, id asc), so at most a few k per question are held at any
+    time.  With ``exclude_self`` a corpus row never matches the question of the
+    same id."""
     def fn(batches):
         q_ids, q_mat = bc.value
         qn = np.linalg.norm(q_mat, axis=1)
@@ -170,14 +175,15 @@ def _candidates_fn(bc, k: int, exclude_self: bool = False):
                 else:
                     sel = sims > -np.inf
                 r, j = np.nonzero(sel)
-                acc_q.append(j + lo)
-                acc_c.append(cids[r])
-                acc_s.append(sims[r, j])
-                n_acc += len(r)
-            if n_acc > 4 * k * n_q:
-                q, cc, ss = _keep_top(np.concatenate(acc_q), np.concatenate(acc_c),
-                                      np.concatenate(acc_s), k)
-                acc_q, acc_c, acc_s, n_acc = [q], [cc], [ss], len(q)
+                q, cc, ss = _keep_top(j + lo, cids[r], sims[r, j], k)
+                acc_q.append(q)
+                acc_c.append(cc)
+                acc_s.append(ss)
+                n_acc += len(q)
+                if n_acc > 4 * k * n_q:
+                    q, cc, ss = _keep_top(np.concatenate(acc_q), np.concatenate(acc_c),
+                                          np.concatenate(acc_s), k)
+                    acc_q, acc_c, acc_s, n_acc = [q], [cc], [ss], len(q)
         if n_acc:
             q, cc, ss = _keep_top(np.concatenate(acc_q), np.concatenate(acc_c),
                                   np.concatenate(acc_s), k)
