@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.core import count_if
-from dealgrid.operators.ranking import dense_codes
+from dealgrid.operators.ranking import dense_codes_many
 
 
 def engagement_per_deal(engagement: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def lead_features(leads: DataFrame, mappings: dict[str, DataFrame] | None = None
 
 
 def category_mappings(leads: DataFrame) -> dict[str, DataFrame]:
-    return {c: dense_codes(leads, c, "code") for c in ["source", "company_size", "industry"]}
+    return dense_codes_many(leads, ["source", "company_size", "industry"], "code")
 
 
 def deal_features(deals: DataFrame, engagement: DataFrame) -> DataFrame:

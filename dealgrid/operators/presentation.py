@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.core import count_if, half_up_ratio, money, pretty_label
-from dealgrid.operators.ranking import dense_codes
+from dealgrid.operators.ranking import dense_codes_many
 from dealgrid.schemas import AT_RISK_THRESHOLD, CRITICAL_THRESHOLD, HIGH_PRIORITY, MEDIUM_PRIORITY
 
 ALL = "All"
@@ -40,8 +40,9 @@ def apply_filters(df: DataFrame, source: str = ALL, industry: str = ALL,
 def filter_options(df: DataFrame, columns: list[str] = FILTER_COLUMNS) -> DataFrame:
     """(filter_name, position, option): ``All`` first, then the sorted distinct values."""
     out = None
+    all_codes = dense_codes_many(df, columns, "code")
     for col in columns:
-        codes = dense_codes(df, col, "code").select(
+        codes = all_codes[col].select(
             F.lit(col).alias("filter_name"), (F.col("code") + 1).alias("position"),
             F.col("value").alias("option"))
         head = df.sparkSession.range(1).select(F.lit(col).alias("filter_name"),

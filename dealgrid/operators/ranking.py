@@ -46,6 +46,21 @@ def dense_codes(df: DataFrame, col: str, name: str) -> DataFrame:
     return ranked.select("value", (F.col("_r") - 1).cast("int").alias(name))
 
 
+def dense_codes_many(df: DataFrame, cols: list[str], name: str) -> dict[str, DataFrame]:
+    """``dense_codes`` of several columns of one type from a single pass: the
+    distinct (column, value) pairs are ranked once (one distributed rank, one
+    checkpoint) and each column's codes restart at 0 (its first rank is
+    subtracted; one row per column)."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).alias("value")) for c in cols])).alias("_p")) \
+        .select("_p._col", "_p.value").where(F.col("value").isNotNull()).distinct()
+    ranked = global_row_number(pairs, [F.col("_col").asc(), F.col("value").asc()], "_r")
+    first = ranked.groupBy("_col").agg(F.min("_r").alias("_first"))
+    codes = ranked.join(F.broadcast(first), "_col").select(
+        "_col", "value", (F.col("_r") - F.col("_first")).cast("int").alias(name))
+    return {c: codes.where(F.col("_col") == c).select("value", name) for c in cols}
+
+
 # ---------------------------------------------------------------------------
 # Rule scores (exact decimal arithmetic, rounded to 4 places)
 # ---------------------------------------------------------------------------

@@ -71,3 +71,12 @@ def test_score_leads_listed_and_error(spark, crm):
     out = rk.score_leads(crm.leads, some)
     assert out.count() == some.count()
     assert out.agg(F.min("score"), F.max("score")).first()[0] >= 0
+
+
+def test_dense_codes_many_equal_single(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("c", "x"), ("a", "w"), (None, "z")],
+                               "p string, q string")
+    many = rk.dense_codes_many(df, ["p", "q"], "code")
+    for col in ("p", "q"):
+        one = sorted(tuple(r) for r in rk.dense_codes(df, col, "code").collect())
+        assert sorted(tuple(r) for r in many[col].collect()) == one
