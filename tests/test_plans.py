@@ -83,3 +83,18 @@ def test_bucketed_deal_join_needs_no_shuffle(spark):
         assert not re.search(r"Exchange hashpartitioning\(deal_id", plan)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_exact_auc_on_raw_scores_has_no_window_over_scores(spark):
+    """Raw scores: distinct scores are range-partitioned; the only window runs
+    over the per-partition totals (one row per partition)."""
+    from pyspark.sql import functions as F
+
+    from dealgrid.operators import ml
+    df = spark.range(5000).select((F.rand(3)).alias("score"), (F.col("id") % 2).cast("int").alias("label"))
+    auc = ml.auc_rank_sum(df, places=None)
+    auc.collect()
+    plan = auc._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(_s" in plan
+    specs = re.findall(r"windowspecdefinition\(([^,]*)", plan)
+    assert specs and all("_p" in s for s in specs)
