@@ -200,10 +200,11 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
     ``exclude_self`` (questions and corpus share ids, e.g. nearest neighbours
     within one table) a row is not its own neighbour."""
     spark = corpus.sparkSession
+    # rows without an id or a vector take no part (a hit must be nameable)
     c = corpus.select(F.col(c_id).alias("_cid"), F.col(c_vec).alias("_vec")) \
-        .where(F.col("_vec").isNotNull())
+        .where(F.col("_vec").isNotNull() & F.col("_cid").isNotNull())
     qs = questions.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_vec")) \
-        .where(F.col("_vec").isNotNull())
+        .where(F.col("_vec").isNotNull() & F.col("_qid").isNotNull())
     stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     if n_q == 0:
