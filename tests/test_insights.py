@@ -58,3 +58,24 @@ def test_padded_id(spark):
     from dealgrid.functions.core import padded_id
     df = spark.createDataFrame([(1,), (42,), (123456,)], "n int")
     assert [r[0] for r in df.select(padded_id("LEAD", "n")).collect()] == ["LEAD0001", "LEAD0042", "LEAD123456"]
+
+
+def test_snapshot_json_carries_every_leaf(spark, crm):
+    """The JSON text (rows-only query) decodes to exactly the oracle-checked leaves."""
+    import json
+    import math
+
+    from dealgrid.operators import ranking as rk
+    snap = ins.snapshot(spark, crm.customers, crm.deals, crm.leads,
+                        rk.deal_risk_scores(crm.deals, crm.reps))
+    doc = json.loads(ins.snapshot_json(snap).first()[0])
+    leaves = ins.snapshot_leaves(snap).collect()
+    assert leaves
+    for leaf in leaves:
+        node = doc
+        for part in leaf["leaf"].split("."):
+            node = node[int(part)] if isinstance(node, list) else node[part]
+        if leaf["text_value"] is not None:
+            assert node == leaf["text_value"]
+        else:
+            assert math.isclose(float(node), leaf["num_value"], rel_tol=1e-12, abs_tol=1e-12)
