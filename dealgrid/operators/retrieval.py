@@ -128,38 +128,44 @@ SIM_BLOCK_ENTRIES = 4 << 20
 
 
 def _keep_top(q, c, s, k: int):
-    """Candidates (question index, corpus id, similarity) reduced to the k best
-    per question under (similarity desc, corpus id asc) -- the order of the final
-    ranking -- so a group of identical vectors never grows the candidate list."""
+    """Positions of the candidates (question index, corpus id, similarity) that
+    are among the k best per question under (similarity desc, corpus id asc) --
+    the order of the final ranking -- so a group of identical vectors never
+    grows the candidate list."""
     if len(q) == 0:
-        return q, c, s
+        return np.arange(0)
     codes = np.unique(c, return_inverse=True)[1]  # order-preserving codes of the ids
     order = np.lexsort((codes, -s, q))
-    q, c, s = q[order], c[order], s[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-    pos = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    keep = pos < k
-    return q[keep], c[keep], s[keep]
+    qs = q[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
+    pos = np.arange(len(qs)) - np.repeat(starts, np.diff(np.r_[starts, len(qs)]))
+    return order[pos < k]
 
 
-def _candidates_fn(bc, k: int, exclude_self: bool = False):
+def _candidates_fn(bc, k: int, exclude_self: bool = False, n_carry: int = 0):
     """Per partition: a running top-k per question over all Arrow batches,
     emitted once at the end of the partition.  Similarities are computed in
     blocks of about SIM_BLOCK_ENTRIES; each block keeps the k best per question
     (similarity desc, id asc), so at most a few k per question are held at any
     time.  With ``exclude_self`` a corpus row never matches the question of the
-    same id."""
+    same id.  ``n_carry`` payload columns ``_c0``... ride along with the hits."""
     def fn(batches):
         q_ids, q_mat = bc.value
         qn = np.linalg.norm(q_mat, axis=1)
         n_q = len(q_ids)
-        acc_q, acc_c, acc_s, n_acc = [], [], [], 0
+        acc, n_acc = [], 0  # lists of column arrays: q index, id, similarity, payloads
+
+        def reduce(cols):
+            keep = _keep_top(cols[0], cols[1], cols[2], k)
+            return [a[keep] for a in cols]
+
         for pdf in batches:
             if pdf.empty:
                 continue
             c = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
             cn = np.linalg.norm(c, axis=1)
             cids = pdf["_cid"].to_numpy(dtype=object)
+            pays = [pdf[f"_c{i}"].to_numpy(dtype=object) for i in range(n_carry)]
             n_c = len(cids)
             step = max(1, SIM_BLOCK_ENTRIES // n_c)
             for lo in range(0, n_q, step):
@@ -175,33 +181,37 @@ def _candidates_fn(bc, k: int, exclude_self: bool = False):
                 else:
                     sel = sims > -np.inf
                 r, j = np.nonzero(sel)
-                q, cc, ss = _keep_top(j + lo, cids[r], sims[r, j], k)
-                acc_q.append(q)
-                acc_c.append(cc)
-                acc_s.append(ss)
-                n_acc += len(q)
+                block = reduce([j + lo, cids[r], sims[r, j]] + [p[r] for p in pays])
+                acc.append(block)
+                n_acc += len(block[0])
                 if n_acc > 4 * k * n_q:
-                    q, cc, ss = _keep_top(np.concatenate(acc_q), np.concatenate(acc_c),
-                                          np.concatenate(acc_s), k)
-                    acc_q, acc_c, acc_s, n_acc = [q], [cc], [ss], len(q)
+                    acc = [reduce([np.concatenate(x) for x in zip(*acc)])]
+                    n_acc = len(acc[0][0])
         if n_acc:
-            q, cc, ss = _keep_top(np.concatenate(acc_q), np.concatenate(acc_c),
-                                  np.concatenate(acc_s), k)
-            yield pd.DataFrame({"_qid": q_ids[q], "_cid": cc, "_sim": ss.astype(np.float64)})
+            cols = reduce([np.concatenate(x) for x in zip(*acc)])
+            out = {"_qid": q_ids[cols[0]], "_cid": cols[1], "_sim": cols[2].astype(np.float64)}
+            for i in range(n_carry):
+                out[f"_c{i}"] = cols[3 + i]
+            yield pd.DataFrame(out)
     return fn
 
 
 def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
                 q_id: str = "question_id", q_vec: str = "embedding",
                 c_id: str = "chunk_id", c_vec: str = "embedding",
-                exclude_self: bool = False) -> DataFrame:
-    """(question_id, chunk_id, similarity, rank): the k corpus rows with the highest
-    cosine similarity per question, best first, ties by chunk id.  With
-    ``exclude_self`` (questions and corpus share ids, e.g. nearest neighbours
-    within one table) a row is not its own neighbour."""
+                exclude_self: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(question_id, chunk_id, similarity, rank, *carry): the k corpus rows with
+    the highest cosine similarity per question, best first, ties by chunk id.
+    With ``exclude_self`` (questions and corpus share ids, e.g. nearest
+    neighbours within one table) a row is not its own neighbour.  ``carry``
+    names corpus columns returned with each hit (e.g. source file, chunk text):
+    they travel with the k candidates, so the hits need no join back to the
+    corpus."""
     spark = corpus.sparkSession
+    carry = list(carry or [])
     # rows without an id or a vector take no part (a hit must be nameable)
-    c = corpus.select(F.col(c_id).alias("_cid"), F.col(c_vec).alias("_vec")) \
+    c = corpus.select(F.col(c_id).alias("_cid"), F.col(c_vec).alias("_vec"),
+                      *[F.col(n).alias(f"_c{i}") for i, n in enumerate(carry)]) \
         .where(F.col("_vec").isNotNull() & F.col("_cid").isNotNull())
     qs = questions.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_vec")) \
         .where(F.col("_vec").isNotNull() & F.col("_qid").isNotNull())
@@ -216,13 +226,16 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
     id_type = questions.schema[q_id].dataType
     cid_type = corpus.schema[c_id].dataType
     schema = T.StructType([T.StructField("_qid", id_type), T.StructField("_cid", cid_type),
-                           T.StructField("_sim", T.DoubleType())])
+                           T.StructField("_sim", T.DoubleType())]
+                          + [T.StructField(f"_c{i}", corpus.schema[n].dataType)
+                             for i, n in enumerate(carry)])
     w = Window.partitionBy("_qid").orderBy(F.col("_sim").desc(), F.col("_cid").asc())
 
     def best_k(cand: DataFrame) -> DataFrame:
         top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         return top.select(F.col("_qid").alias("question_id"), F.col("_cid").alias("chunk_id"),
-                          F.col("_sim").alias("similarity"), F.col("rank").cast("int").alias("rank"))
+                          F.col("_sim").alias("similarity"), F.col("rank").cast("int").alias("rank"),
+                          *[F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)])
 
     # Few batches: one plan (a union of the batches' candidates).  Many batches:
     # the batches hold disjoint questions, so each batch's top k is final; each
@@ -242,7 +255,7 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
         if q_mat.nbytes > MAX_QUESTION_BYTES:
             raise ValueError(f"question batch of {q_mat.nbytes} bytes exceeds the broadcast bound")
         bc = spark.sparkContext.broadcast((q_ids, q_mat))
-        part = c.mapInPandas(_candidates_fn(bc, k, exclude_self), schema)
+        part = c.mapInPandas(_candidates_fn(bc, k, exclude_self, len(carry)), schema)
         if written:
             best_k(part).write.mode("append").parquet(out_path)
             bc.destroy()
@@ -292,11 +305,7 @@ def vector_hits(embeddings: DataFrame, k: int = TOP_K) -> DataFrame:
     """(question_id, rank, chunk_id, source_file, similarity, distance), 6 places:
     the k nearest other vectors of every vector of the table."""
     questions, corpus = vector_split(embeddings)
-    top = topk_cosine(questions, corpus, k, exclude_self=True)
-    # k hits per question: as large as the corpus metadata itself, so no
-    # broadcast hint -- AQE picks the join by the runtime sizes
-    meta = corpus.select("chunk_id", "source_file")
-    j = meta.join(top, "chunk_id")
+    j = topk_cosine(questions, corpus, k, exclude_self=True, carry=["source_file"])
     return j.select("question_id", "rank", "chunk_id", "source_file",
                     F.round("similarity", 6).alias("similarity"),
                     F.round(1 - F.col("similarity"), 6).alias("distance"))
@@ -309,8 +318,6 @@ def text_hits(documents: DataFrame, benchmark: DataFrame, k: int = TOP_K, dim: i
     corpus = embed(model, chunks)
     questions = embed(model, benchmark.select(F.col("item_id").alias("question_id"),
                                               F.col("text").alias("document")))
-    top = topk_cosine(questions, corpus, k)
-    meta = corpus.select("chunk_id", "source_file", "document")
-    hits = meta.join(top, "chunk_id")  # AQE sizes the hits side at run time
+    hits = topk_cosine(questions, corpus, k, carry=["source_file", "document"])
     qtext = benchmark.select(F.col("item_id").alias("question_id"), "text")
     return hits, qtext

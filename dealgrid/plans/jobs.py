@@ -136,8 +136,7 @@ def answer_batch(spark: SparkSession, collection_path: str, questions: DataFrame
     model = PipelineModel.load(collection_path + "_embedder")
     coll = spark.read.parquet(collection_path)
     q = rv.embed(model, questions.select("question_id", F.col("text").alias("document")))
-    top = rv.topk_cosine(q, coll, k)
-    hits = coll.select("chunk_id", "source_file", "document").join(top, "chunk_id")
+    hits = rv.topk_cosine(q, coll, k, carry=["source_file", "document"])
     return rv.context_assembly(hits, questions)
 
 
