@@ -9,7 +9,9 @@ top k with a ``row_number`` per question (Spark applies the limit per task
 before the shuffle).  No question x corpus pair ever becomes a row.  Question
 batches hold disjoint questions: up to MAX_UNION_BATCHES of them share one
 plan; beyond that each batch's top k is its own job written to the shared
-folder, so the plan and the broadcasts in flight stay bounded.
+folder, so the plan and the broadcasts in flight stay bounded.  Corpus
+columns a caller needs with the hits (source file, chunk text) travel with the
+candidates, so the hits are never joined back to the corpus.
 """
 
 from __future__ import annotations
