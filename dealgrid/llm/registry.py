@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrid.llm import jaccard_join, line_dedup, quality_rules, source_mix, url_filter
+from dealgrid.llm import decontaminate, jaccard_join, line_dedup, quality_rules, source_mix, toxicity, url_filter
 from dealgrid.llm.common import table
 from dealgrid.llm.oracle import ORACLE  # noqa: F401
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_frame(spark))
 
@@ -34,4 +43,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op4_ngram_jaccard_join, op5_line_dedup, op9_source_mixing, op10_quality_rules)}
+    f.__name__: f for f in (
+        op1_benchmark_decontamination, op2_url_filter, op3_toxicity, op4_ngram_jaccard_join, op5_line_dedup, op9_source_mixing, op10_quality_rules)}
