@@ -39,6 +39,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM j GROUP BY 1
 """
 
+OP8 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to FROM p LEFT JOIN k USING (payload_digest)
+"""
+
 OP9 = f"""
 WITH q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS weight FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 d AS (SELECT doc_id, source, len({WORDS}) AS size, -ln((('0x' || substr(md5(doc_id::VARCHAR || ':17'), 1, 13))::BIGINT::DOUBLE + 0.5)
@@ -75,4 +82,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept FROM b
 """
 
-ORACLE = {"op2_url_filter": OP2, "op4_ngram_jaccard_join": OP4, "op5_line_dedup": OP5, "op9_source_mixing": OP9, "op10_quality_rules": OP10}
+ORACLE = {"op2_url_filter": OP2, "op4_ngram_jaccard_join": OP4, "op5_line_dedup": OP5, "op8_warc": OP8, "op9_source_mixing": OP9, "op10_quality_rules": OP10}

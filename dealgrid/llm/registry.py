@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrid.llm import decontaminate, jaccard_join, line_dedup, quality_rules, source_mix, toxicity, url_filter
+from dealgrid.llm import (
+    decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_rules, source_mix, toxicity, url_filter, warc)
 from dealgrid.llm.common import table
 from dealgrid.llm.oracle import ORACLE  # noqa: F401
+from dealgrid.session import scratch_path
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), source_mix.label_weights(table(spark, sf_dir, "labels"))).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -44,4 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_benchmark_decontamination, op2_url_filter, op3_toxicity, op4_ngram_jaccard_join, op5_line_dedup, op9_source_mixing, op10_quality_rules)}
+        op1_benchmark_decontamination, op2_url_filter, op3_toxicity, op4_ngram_jaccard_join, op5_line_dedup, op6_language_id, op7_license_scan, op8_warc,
+        op9_source_mixing, op10_quality_rules)}

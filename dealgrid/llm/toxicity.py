@@ -20,7 +20,7 @@ from dealgrid.llm.text import word_hashes
 
 HASH_BITS = 20
 MAX_ROWS = 20_000   # labelled rows that the machine is fitted on, at most
-MAX_TERMS = 512     # hashed terms that it weighs, at most
+MAX_TERMS = 1024    # hashed terms that it weighs, at most
 FACTORS = 4
 
 
@@ -62,9 +62,10 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, batch: int = 128,
-            rate: float = 0.1, decay: float = 1e-4) -> None:
-        """Adagrad on the logistic loss."""
+            rate: float = 0.3, decay: float = 1e-6) -> None:
+        """Adagrad on the logistic loss; the rarer label 1 weighs up to 4 times as much."""
         rng = np.random.default_rng(5)
+        heavy = min(4.0, max(1.0, (len(labels) - labels.sum()) / max(labels.sum(), 1)))
         g_w, g_v, g_b = np.full(len(self.weights), 1e-6), np.full(self.factors.shape, 1e-6), 1e-6
         for _ in range(epochs):
             order = rng.permutation(len(rows))
@@ -73,6 +74,7 @@ class FactorizationMachine:
                 row = np.repeat(np.arange(len(take)), [len(rows[i]) for i in take])
                 slot = np.concatenate([rows[i] for i in take]) if len(take) else np.zeros(0, int)
                 miss = 1 / (1 + np.exp(-np.clip(self.logits(row, slot, len(take)), -30, 30))) - labels[take]
+                miss = miss * np.where(labels[take] > 0, heavy, 1.0)
                 d_b = miss.mean()
                 g_b += d_b * d_b
                 self.bias -= rate * d_b / np.sqrt(g_b)
