@@ -80,8 +80,9 @@ def set_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Length of the dense parity sketch of a set of n shingles."""
-    return min(1 << 16, max(256, 1 << (n.bit_length())))
+    """Length of the dense parity sketch of a set of n shingles: 4 to 8 bits a shingle, so
+    that few differences cancel and the bound is nearly the difference itself."""
+    return min(1 << 18, max(256, 1 << (n.bit_length() + 2)))
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
