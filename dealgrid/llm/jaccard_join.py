@@ -13,8 +13,9 @@ with many shingles first, which are the most selective.
 
 Sets are joined per size band [2^k, 2^(k+1)) of the smaller one, with ``m`` fixed in a
 band; a set just above a band's upper end is joined in the band below too.  Below
-``PLAIN`` shingles each shingle is a block of its own, so that N > d always; above it
-N <= d has a chance under 1e-15 by the size of ``m`` and would stop the job.
+``PLAIN`` shingles each shingle is a block of its own, so that N > d always.  Above it the
+expected N lies 8 standard deviations or more over d by the size of ``m``; a set that fails
+all the same would stop the job with an error, never lose a link silently.
 
 Steps (all shared state is written to the shared folder):
 
@@ -41,7 +42,7 @@ from dealgrid.llm.components import components
 from dealgrid.llm.text import mix64, shingle_sets
 
 PLAIN = 64      # below this size every shingle is a block of its own
-LOAD = 0.6      # blocks of a band over its lower size limit
+LOAD = 1.0      # blocks of a band over its lower size limit
 PART = 1024     # classes of a bucket that are compared in one task
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3))

@@ -148,7 +148,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int = SHINGLE) -> tup
     if n == 0:
         return np.zeros(0, np.uint64), number
     total = np.zeros(n, dtype=np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         total[:n - j] += hashes[j:] * _PLACE[j]
     keep = np.zeros(n + 1, dtype=np.int32)  # +1 at the first, -1 after the last window of a row
     firsts = ends - counts
