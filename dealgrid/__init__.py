@@ -6,5 +6,4 @@ sources     given tables -> CRM views; CSV/parquet readers and writers
 functions   column-expression helpers (exact rounding, enum flags, Python-equal whitespace)
 operators   quality, features, metrics, ranking, presentation, retrieval, ml, insights
 plans       query registry (name -> callable(spark, sf_dir)) and DuckDB oracle texts
-streaming   empty on purpose (no streaming in the application)
 """

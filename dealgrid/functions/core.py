@@ -17,19 +17,17 @@ def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
 
-def half_up_ratio(num: str, den: str, digits: int = 0, scale: int = 1, wide: bool = False) -> Column:
+def half_up_ratio(num: str, den: str, digits: int = 0, scale: int = 1) -> Column:
     """round(num * scale / den, digits) with exact half-away-from-zero rounding.
 
     ``num`` and ``den`` are SQL expressions of integral values.  The rounding is
-    done in 64-bit integer arithmetic (``div``), so it is exact for every ratio of
-    integers, unlike rounding a double.  NULL when ``den`` is 0 or NULL.
-    ``wide`` uses 38-digit decimals for operands beyond 64 bits (the quotient
-    itself must fit in 64 bits).
+    done on 38-digit decimals with an integer quotient (``div``): exact, unlike
+    rounding a double, and free of overflow for sums over any number of rows (the
+    rounded quotient itself must fit in 64 bits).  NULL when ``den`` is 0 or NULL.
     """
     p = 10 ** digits * scale
-    t = "DECIMAL(38,0)" if wide else "BIGINT"
-    n = f"(CAST({num} AS {t}) * {p})"
-    d = f"CAST(nullif({den}, 0) AS {t})"
+    n = f"(CAST({num} AS DECIMAL(38,0)) * {p})"
+    d = f"CAST(nullif({den}, 0) AS DECIMAL(38,0))"
     q = f"((2 * abs({n}) + abs({d})) div (2 * abs({d})))"
     return F.expr(f"CAST(signum({n}) * signum({d}) * {q} AS DOUBLE) / {10 ** digits}")
 

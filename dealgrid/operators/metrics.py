@@ -339,10 +339,10 @@ def monthly_conversion(leads: DataFrame) -> DataFrame:
     return agg.select("month", "leads", half_up_ratio("_c", "leads", 3).alias("conversion_rate"))
 
 
-def tenure_churn_curve(customers: DataFrame, cap: int = 36) -> DataFrame:
-    """Churned customers by tenure in whole months (1..cap; longer -> cap)."""
+def tenure_churn_curve(customers: DataFrame) -> DataFrame:
+    """Churned customers by tenure in whole months."""
     churned = customers.where(F.col("churn_date").isNotNull())
-    tenure = F.least(F.floor(F.months_between("churn_date", "start_date")).cast("int"), F.lit(cap))
+    tenure = F.floor(F.months_between("churn_date", "start_date")).cast("int")
     return churned.groupBy(tenure.alias("tenure_months")).agg(
         F.count(F.lit(1)).alias("churned_customers"))
 

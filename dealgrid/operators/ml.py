@@ -9,6 +9,9 @@ apply to any score column.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 import os
 
 import numpy as np
@@ -140,7 +143,7 @@ def auc_rank_sum(scored: DataFrame, score: str = "score", label: str = "label",
     agg = j.agg(F.sum(F.col("pos").cast(wide) * (2 * F.col("_below").cast(wide) + F.col("neg")))
                 .alias("_num"),
                 F.sum("pos").cast(wide).alias("_p"), F.sum("neg").cast(wide).alias("_n"))
-    return agg.select(half_up_ratio("_num", "2 * _p * _n", 6, wide=True).alias("roc_auc"))
+    return agg.select(half_up_ratio("_num", "2 * _p * _n", 6).alias("roc_auc"))
 
 
 def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label",
@@ -199,7 +202,6 @@ def feature_importances(model: PipelineModel, feature_cols: list[str]) -> DataFr
 def evaluate(model: PipelineModel, test: DataFrame, id_col: str) -> DataFrame:
     """(metric, value): ROC-AUC (Spark evaluator), exact rank-sum AUC,
     precision, recall, F1 at 0.5."""
-    pred = predict(model, test, id_col)
     out = model.transform(test)
     ev = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label",
                                        metricName="areaUnderROC")
@@ -207,7 +209,7 @@ def evaluate(model: PipelineModel, test: DataFrame, id_col: str) -> DataFrame:
     # exact AUC on the unrounded probabilities (as the training report computes it)
     raw = out.select("label", vector_to_array("probability")[1].alias("score"))
     exact = auc_rank_sum(raw, places=None)
-    m = binary_metrics(pred)
+    m = binary_metrics(raw)  # the cut at 0.5 is made on the unrounded probability
     spark = test.sparkSession
     rows = [spark.range(1).select(F.lit("roc_auc").alias("metric"), F.lit(auc_spark).alias("value")),
             exact.select(F.lit("roc_auc_exact").alias("metric"), F.col("roc_auc").alias("value"))]
@@ -219,13 +221,17 @@ def evaluate(model: PipelineModel, test: DataFrame, id_col: str) -> DataFrame:
     return out_df
 
 
-def run_record(name: str, train: DataFrame, test: DataFrame, metrics: DataFrame,
+def run_record(name: str, model: PipelineModel, train: DataFrame, test: DataFrame, metrics: DataFrame,
                importances: DataFrame | None = None) -> DataFrame:
-    """Params, row counts, metrics and (optionally) feature importances of a run
-    as (run, key, value) rows, with the quality gate (ROC-AUC at least 0.70) as
-    ``passed_gate``."""
+    """Identity, settings, row counts, metrics and (optionally) feature importances of a
+    run as (run, key, value) rows, with the quality gate (ROC-AUC at least 0.70) as
+    ``passed_gate``.  The settings are read from the fitted model; ``run_id`` and
+    ``recorded_at`` tell appended runs apart."""
     spark = train.sparkSession
-    params = spark.createDataFrame([(k, str(v)) for k, v in GBT_PARAMS.items()], "key string, value string")
+    fitted = model.stages[-1]
+    now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+    params = spark.createDataFrame([("run_id", uuid.uuid4().hex), ("recorded_at", now)]
+                                   + [(k, str(fitted.getOrDefault(k))) for k in GBT_PARAMS], "key string, value string")
     counts = train.agg(F.count(F.lit(1)).alias("n")).select(F.lit("train_rows").alias("key"),
                                                            F.col("n").cast("string").alias("value")) \
         .unionByName(test.agg(F.count(F.lit(1)).alias("n")).select(

@@ -649,14 +649,14 @@ def _q(c):
 @query("train_lead_model")
 def _q(c):
     model, train, test, metrics, *_ = _trained(c, "leads")
-    return ml.run_record("lead_scoring", train, test, metrics,
+    return ml.run_record("lead_scoring", model, train, test, metrics,
                          ml.feature_importances(model, LEAD_FEATURE_COLS))
 
 
 @query("train_deal_model")
 def _q(c):
     model, train, test, metrics, *_ = _trained(c, "deals")
-    return ml.run_record("deal_risk", train, test, metrics,
+    return ml.run_record("deal_risk", model, train, test, metrics,
                          ml.feature_importances(model, DEAL_FEATURE_COLS))
 
 

@@ -17,7 +17,6 @@ from dealgrid.operators import features as fe
 from dealgrid.operators import insights as ins
 from dealgrid.operators import ml
 from dealgrid.operators import quality as dq
-from dealgrid.operators import ranking as rk
 from dealgrid.operators import retrieval as rv
 from dealgrid.schemas import DEAL_FEATURE_COLS, LEAD_FEATURE_COLS
 from dealgrid.sources import files as io
@@ -67,11 +66,14 @@ def train_models(spark: SparkSession, features_dir: str, model_dir: str, runs_pa
              ("deal_risk", "deal_features", DEAL_FEATURE_COLS, "is_at_risk", "deal_id")]
     for name, table, cols, label, idc in specs:
         feats = spark.read.parquet(_p(features_dir, table))
-        dq.feature_checks(feats, table, cols, label)  # schema gate (raises when columns are missing)
+        bad = [f"{r['check_name']}: {r['bad_rows']}" for r in
+               dq.feature_checks(feats, table, cols, label).where("bad_rows > 0").collect()]  # one row a check
+        if bad:
+            raise ValueError(f"{table} fails its checks: {', '.join(bad)}")
         model, train, test, metrics = ml.train_model(feats, cols, label, idc, params)
         ml.save_model(model, spark, _p(model_dir, name))
         imp = ml.feature_importances(model, cols)
-        io.write_parquet(ml.run_record(name, train, test, metrics, imp), runs_path, mode="append")
+        io.write_parquet(ml.run_record(name, model, train, test, metrics, imp), runs_path, mode="append")
     return spark.read.parquet(runs_path)
 
 
@@ -94,20 +96,17 @@ def daily_insights(spark: SparkSession, crm_dir: str, scores_dir: str, insights_
 
     The table is partitioned by ``run_date``; a run overwrites only its own
     day (dynamic partition overwrite), so re-running a day after a failure or
-    a retry replaces that day's rows instead of adding a second copy.  Ids
-    continue after the largest id of the earlier days, so a retried day gets
-    the same ids again.  Returns the day's rows.
+    a retry replaces that day's rows instead of adding a second copy.  An id is
+    the day (yyyymmdd) followed by the insight's position, so ids are unique
+    in whatever order days are run, filled in late or repeated.  Returns the
+    day's rows.
     """
     t = read_crm(spark, crm_dir)
     scores = spark.read.parquet(_p(scores_dir, "deal_scores"))
     snap = ins.snapshot(spark, t["customers"], t["deals"], t["leads"], scores)
     new_insights = ins.rule_insights(snap)
     run_date = generated_at.date()
-    try:
-        earlier = spark.read.parquet(insights_path).where(F.col("run_date") < F.lit(run_date))
-        start = earlier.agg(F.max("id")).first()[0] or 0  # one number, read before the write
-    except Exception:  # first run: no table yet
-        start = 0
+    start = int(run_date.strftime("%Y%m%d")) * 1000
     rows = ins.append_insights(spark.range(1).select(F.lit(start).cast("long").alias("id")),
                                new_insights, ins.snapshot_json(snap), F.lit(generated_at))
     rows = rows.withColumn("run_date", F.lit(run_date))
@@ -138,9 +137,3 @@ def answer_batch(spark: SparkSession, collection_path: str, questions: DataFrame
     q = rv.embed(model, questions.select("question_id", F.col("text").alias("document")))
     hits = rv.topk_cosine(q, coll, k, carry=["source_file", "document"])
     return rv.context_assembly(hits, questions)
-
-
-def rank_scores(scores: DataFrame, score_col: str, id_col: str, rank_col: str) -> DataFrame:
-    """Re-rank a score table (e.g. after filtering) with the distributed rank."""
-    return rk.global_row_number(scores.drop(rank_col) if rank_col in scores.columns else scores,
-                                [F.col(score_col).desc(), F.col(id_col).asc()], rank_col)

@@ -42,7 +42,7 @@ def test_lifecycle(spark, tmp_path):
     when = dt.datetime(2026, 1, 2, 6, 0)
     new = jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when).collect()
     assert 1 <= len(new) <= 3
-    assert sorted(r["id"] for r in new) == list(range(1, len(new) + 1))  # first run: ids from 1
+    assert sorted(r["id"] for r in new) == [20260102 * 1000 + i for i in range(1, len(new) + 1)]
     again = jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when + dt.timedelta(days=1))
     assert min(r["id"] for r in again.collect()) > max(r["id"] for r in new)
     # re-running a day replaces it: same rows, same ids, no duplicates
@@ -50,7 +50,10 @@ def test_lifecycle(spark, tmp_path):
     rerun = jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when + dt.timedelta(days=1))
     assert sorted(r["id"] for r in rerun.collect()) == day2
     jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when)
-    assert spark.read.parquet(f"{base}/insights").count() == len(new) + len(day2)
+    # a day filled in late gets ids of its own
+    late = jobs.daily_insights(spark, crm_dir, out_dir, f"{base}/insights", when - dt.timedelta(days=1)).collect()
+    ids = [r["id"] for r in spark.read.parquet(f"{base}/insights").collect()]
+    assert len(ids) == len(set(ids)) == len(new) + len(day2) + len(late)
 
 
 def test_ingest_and_answer(spark, tmp_path):
