@@ -1,39 +1,34 @@
 """Document chunking, text embedding and batch top-k cosine retrieval.
 
-Top-k plan: the question set is checked for size and broadcast (in batches
-when it is larger than the bound); each corpus partition is scored against it
-with one matrix product per Arrow batch (``mapInPandas``), keeping a running
-top-k per question across the partition's batches (ties broken by id).  The
-candidates -- about k per question per partition -- are reduced to the global
-top k with a ``row_number`` per question (Spark applies the limit per task
-before the shuffle).  No question x corpus pair ever becomes a row.  Question
-batches hold disjoint questions: up to MAX_UNION_BATCHES of them share one
-plan; beyond that each batch's top k is its own job written to the shared
-folder, so the plan and the broadcasts in flight stay bounded.  Corpus
-columns a caller needs with the hits (source file, chunk text) travel with the
-candidates, so the hits are never joined back to the corpus.
+Top-k plan, the same at every size: questions and corpus are cut into blocks of
+about BLOCK_BYTES of vectors, each pair of blocks meets in one task
+(``cogroup(...).applyInArrow``), which computes one bounded matrix product at a
+time and emits the k best rows per question; a ``row_number`` per question
+reduces these candidates to the top k.  The numbers of blocks are scalar
+subqueries of the plan.  Only ids and similarities pass the reducing shuffle:
+corpus columns wanted with the hits are joined to the final hits, which are
+written first, so that their size is known when that join is planned.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dealgrid.functions.core import split_words, strip_ws
 from dealgrid.schemas import CHUNK_OVERLAP, CHUNK_SIZE, TOP_K
 from dealgrid.session import scratch_path
-from dealgrid.sources.tables import spread
+from dealgrid.sources.files import write_parquet
 
-# Upper bound for one broadcast batch of question vectors (bytes of float64).
-MAX_QUESTION_BYTES = 64 << 20
-# Question batches combined in one plan; beyond this each batch is its own job.
-MAX_UNION_BATCHES = 8
+# Vectors of one block of questions or corpus (bytes of float64).
+BLOCK_BYTES = 16 << 20
 BLOCK_SEP = "\n\n---\n\n"
 
 
@@ -93,10 +88,9 @@ def read_documents(spark, path_glob: str) -> DataFrame:
 
 
 def documents_view(documents: DataFrame) -> DataFrame:
-    """The documents table as whole-text rows: (doc_id, source_file, text stripped),
-    spread over all cores when the scan is narrower than the cluster."""
-    return spread(documents.select("doc_id", F.col("source").alias("source_file"),
-                                   strip_ws("text").alias("text")))
+    """The documents table as whole-text rows: (doc_id, source_file, text stripped)."""
+    return documents.select("doc_id", F.col("source").alias("source_file"),
+                            strip_ws("text").alias("text"))
 
 
 # ---------------------------------------------------------------------------
@@ -125,77 +119,71 @@ def embed(model: PipelineModel, df: DataFrame, text_col: str = "document",
 # Top-k cosine
 # ---------------------------------------------------------------------------
 
-# Similarity entries computed at once (corpus rows x questions of one block).
+# Similarity entries computed at once (corpus rows x questions of one step).
 SIM_BLOCK_ENTRIES = 4 << 20
 
 
-def _keep_top(q, c, s, k: int):
-    """Positions of the candidates (question index, corpus id, similarity) that
-    are among the k best per question under (similarity desc, corpus id asc) --
-    the order of the final ranking -- so a group of identical vectors never
-    grows the candidate list."""
-    if len(q) == 0:
-        return np.arange(0)
-    codes = np.unique(c, return_inverse=True)[1]  # order-preserving codes of the ids
-    order = np.lexsort((codes, -s, q))
-    qs = q[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
-    pos = np.arange(len(qs)) - np.repeat(starts, np.diff(np.r_[starts, len(qs)]))
-    return order[pos < k]
-
-
-def _candidates_fn(bc, k: int, exclude_self: bool = False, n_carry: int = 0):
-    """Per partition: a running top-k per question over all Arrow batches,
-    emitted once at the end of the partition.  Similarities are computed in
-    blocks of about SIM_BLOCK_ENTRIES; each block keeps the k best per question
-    (similarity desc, id asc), so at most a few k per question are held at any
-    time.  With ``exclude_self`` a corpus row never matches the question of the
-    same id.  ``n_carry`` payload columns ``_c0``... ride along with the hits."""
-    def fn(batches):
-        q_ids, q_mat = bc.value
-        qn = np.linalg.norm(q_mat, axis=1)
-        n_q = len(q_ids)
-        acc, n_acc = [], 0  # lists of column arrays: q index, id, similarity, payloads
-
-        def reduce(cols):
-            keep = _keep_top(cols[0], cols[1], cols[2], k)
-            return [a[keep] for a in cols]
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            c = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
-            cn = np.linalg.norm(c, axis=1)
-            cids = pdf["_cid"].to_numpy(dtype=object)
-            pays = [pdf[f"_c{i}"].to_numpy(dtype=object) for i in range(n_carry)]
-            n_c = len(cids)
-            step = max(1, SIM_BLOCK_ENTRIES // n_c)
-            for lo in range(0, n_q, step):
-                hi = min(n_q, lo + step)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sims = (c @ q_mat[lo:hi].T) / np.outer(cn, qn[lo:hi])
-                if exclude_self:
-                    sims[cids[:, None] == q_ids[None, lo:hi]] = np.nan
-                sims[~np.isfinite(sims)] = -np.inf
-                if n_c > k:
-                    cut = np.partition(sims, n_c - k, axis=0)[n_c - k]
-                    sel = (sims >= cut[None, :]) & (sims > -np.inf)
-                else:
-                    sel = sims > -np.inf
-                r, j = np.nonzero(sel)
-                block = reduce([j + lo, cids[r], sims[r, j]] + [p[r] for p in pays])
-                acc.append(block)
-                n_acc += len(block[0])
-                if n_acc > 4 * k * n_q:
-                    acc = [reduce([np.concatenate(x) for x in zip(*acc)])]
-                    n_acc = len(acc[0][0])
-        if n_acc:
-            cols = reduce([np.concatenate(x) for x in zip(*acc)])
-            out = {"_qid": q_ids[cols[0]], "_cid": cols[1], "_sim": cols[2].astype(np.float64)}
-            for i in range(n_carry):
-                out[f"_c{i}"] = cols[3 + i]
-            yield pd.DataFrame(out)
-    return fn
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors of one length as a float64 matrix, from the flat Arrow values."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+
+
+def _block_pair(k: int, exclude_self: bool, schema: pa.Schema):
+    """Top k candidates of one question block in one corpus block.
+
+    Similarities are rounded to 12 places, so that the order (similarity desc, id
+    asc) does not depend on how the tables were cut into blocks."""
+    def run(key, qs: pa.Table, cs: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        if not dim or not qs.num_rows or not cs.num_rows:
+            return schema.empty_table()
+        q_mat, c = _matrix(qs["_vec"], dim), _matrix(cs["_vec"], dim)
+        qn, cn = np.linalg.norm(q_mat, axis=1), np.linalg.norm(c, axis=1)
+        cids = cs["_cid"].to_numpy()
+        # codes in the order of the ids; an id that repeats needs a deeper cut
+        _, code, times = np.unique(cids, return_inverse=True, return_counts=True)
+        deep = min(len(cids), k * int(times.max()))
+        same: dict = {}
+        if exclude_self:
+            for i, x in enumerate(cids.tolist()):
+                same.setdefault(x, []).append(i)
+        q_list = qs["_qid"].to_pylist() if exclude_self else []
+        step = max(1, SIM_BLOCK_ENTRIES // len(cids))
+        q_out, c_out, s_out = [], [], []
+        for lo in range(0, len(q_mat), step):
+            hi = min(len(q_mat), lo + step)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sims = np.round((c @ q_mat[lo:hi].T) / np.outer(cn, qn[lo:hi]), 12)
+            for j in range(lo, hi) if exclude_self else ():
+                sims[same.get(q_list[j], []), j - lo] = np.nan
+            sims[~np.isfinite(sims)] = -np.inf
+            cut = np.partition(sims, len(cids) - deep, axis=0)[len(cids) - deep]
+            r, j = np.nonzero((sims >= cut) & (sims > -np.inf))
+            s = sims[r, j]
+            order = np.lexsort((-s, code[r], j))  # the best row of each (question, id)
+            r, j, s = r[order], j[order], s[order]
+            once = np.ones(len(r), dtype=bool)
+            once[1:] = (j[1:] != j[:-1]) | (code[r[1:]] != code[r[:-1]])
+            r, j, s = r[once], j[once], s[once]
+            order = np.lexsort((code[r], -s, j))
+            r, j, s = r[order], j[order], s[order]
+            first = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1]))) if len(j) else np.zeros(0, int)
+            place = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
+            keep = place < k
+            q_out.append(j[keep] + lo)
+            c_out.append(r[keep])
+            s_out.append(s[keep])
+        return pa.Table.from_arrays([qs["_qid"].take(pa.array(np.concatenate(q_out))),
+                                     cs["_cid"].take(pa.array(np.concatenate(c_out))),
+                                     pa.array(np.concatenate(s_out))], names=schema.names).cast(schema)
+    return run
+
+
+def _n_blocks(df: DataFrame):
+    """Blocks of BLOCK_BYTES that the vectors of ``df`` take (a scalar subquery)."""
+    return df.agg(F.expr(f"cast(greatest(1, ceil(coalesce(sum(size(_vec)), 0) * 8 / {BLOCK_BYTES})) as int)")
+                  .alias("blocks")).scalar()
 
 
 def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
@@ -203,70 +191,49 @@ def topk_cosine(questions: DataFrame, corpus: DataFrame, k: int = TOP_K,
                 c_id: str = "chunk_id", c_vec: str = "embedding",
                 exclude_self: bool = False, carry: list[str] | None = None) -> DataFrame:
     """(question_id, chunk_id, similarity, rank, *carry): the k corpus rows with
-    the highest cosine similarity per question, best first, ties by chunk id.
-    With ``exclude_self`` (questions and corpus share ids, e.g. nearest
-    neighbours within one table) a row is not its own neighbour.  ``carry``
-    names corpus columns returned with each hit (e.g. source file, chunk text):
-    they travel with the k candidates, so the hits need no join back to the
-    corpus."""
-    spark = corpus.sparkSession
+    the highest cosine similarity (12 places) per question, best first, ties by
+    chunk id.
+
+    With ``exclude_self`` (questions and corpus share ids, e.g. nearest neighbours
+    within one table) a row is not its own neighbour.  Ids are keys: a chunk id
+    counts once per question with its best row, and of several vectors of one
+    question id the nearest counts.  Rows without an id or a vector, zero vectors
+    and vectors of other lengths than the partner's give no hit; an empty side
+    gives an empty result.  ``carry`` names corpus columns returned with each hit
+    (e.g. source file, chunk text); they are joined to the final hits, so chunk
+    ids must be unique there.  The corpus is read three times (block count,
+    vectors, carry): pass a written table, not a long plan.
+    """
     carry = list(carry or [])
-    # rows without an id or a vector take no part (a hit must be nameable)
-    c = corpus.select(F.col(c_id).alias("_cid"), F.col(c_vec).alias("_vec"),
-                      *[F.col(n).alias(f"_c{i}") for i, n in enumerate(carry)]) \
+    c = corpus.select(F.col(c_id).alias("_cid"), F.col(c_vec).alias("_vec")) \
         .where(F.col("_vec").isNotNull() & F.col("_cid").isNotNull())
     qs = questions.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_vec")) \
-        .where(F.col("_vec").isNotNull() & F.col("_qid").isNotNull())
-    stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    # hash batches of about half the bound each, so that no batch reaches it
-    n_batches = max(1, -(-(n_q * max(dim, 1) * 8 * 2) // MAX_QUESTION_BYTES))
-    if n_q * max(dim, 1) * 8 <= MAX_QUESTION_BYTES // 2:
-        n_batches = 1
-    id_type = questions.schema[q_id].dataType
-    cid_type = corpus.schema[c_id].dataType
-    schema = T.StructType([T.StructField("_qid", id_type), T.StructField("_cid", cid_type),
-                           T.StructField("_sim", T.DoubleType())]
-                          + [T.StructField(f"_c{i}", corpus.schema[n].dataType)
-                             for i, n in enumerate(carry)])
+        .where(F.col("_vec").isNotNull() & F.col("_qid").isNotNull()).dropDuplicates(["_qid", "_vec"])
+    nq, nc = _n_blocks(qs), _n_blocks(c)
+    # The partition number spreads a corpus row that repeats over all blocks.
+    q_blocks = (qs.withColumn("_i", F.pmod(F.xxhash64("_qid", "_vec"), nq).cast("int"))
+                .withColumn("_j", F.explode(F.sequence(F.lit(0), nc - 1))))
+    c_blocks = (c.withColumn("_j", F.pmod(F.xxhash64("_cid", "_vec", F.spark_partition_id()), nc).cast("int"))
+                .withColumn("_i", F.explode(F.sequence(F.lit(0), nq - 1))))
+    schema = T.StructType([T.StructField("_qid", questions.schema[q_id].dataType),
+                           T.StructField("_cid", corpus.schema[c_id].dataType),
+                           T.StructField("_sim", T.DoubleType())])
+    keys = [F.size("_vec").alias("_dim"), "_i", "_j"]
+    cand = q_blocks.groupBy(*keys).cogroup(c_blocks.groupBy(*keys)).applyInArrow(
+        _block_pair(k, exclude_self, to_arrow_schema(schema)), schema)
     w = Window.partitionBy("_qid").orderBy(F.col("_sim").desc(), F.col("_cid").asc())
-
-    def best_k(cand: DataFrame) -> DataFrame:
-        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        return top.select(F.col("_qid").alias("question_id"), F.col("_cid").alias("chunk_id"),
-                          F.col("_sim").alias("similarity"), F.col("rank").cast("int").alias("rank"),
-                          *[F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)])
-
-    # Few batches: one plan (a union of the batches' candidates).  Many batches:
-    # the batches hold disjoint questions, so each batch's top k is final; each
-    # is written to the shared folder as its own job and its broadcast released,
-    # so neither the plan nor the executors' memory grows with the batch count.
-    written = n_batches > MAX_UNION_BATCHES
-    out_path = scratch_path(spark, "topk") if written else None
-    parts = []
-    for b in range(n_batches):
-        qb = qs if n_batches == 1 else qs.where(
-            F.pmod(F.xxhash64("_qid"), F.lit(n_batches)) == b)
-        pdf = qb.toPandas()  # about half of MAX_QUESTION_BYTES of vectors
-        if pdf.empty:
-            continue
-        q_ids = pdf["_qid"].to_numpy()
-        q_mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
-        if q_mat.nbytes > MAX_QUESTION_BYTES:
-            raise ValueError(f"question batch of {q_mat.nbytes} bytes exceeds the broadcast bound")
-        bc = spark.sparkContext.broadcast((q_ids, q_mat))
-        part = c.mapInPandas(_candidates_fn(bc, k, exclude_self, len(carry)), schema)
-        if written:
-            best_k(part).write.mode("append").parquet(out_path)
-            bc.destroy()
-        else:
-            parts.append(part)
-    if written:
-        return spark.read.parquet(out_path)
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return best_k(cand)
+    # One vector per question id is the rule: the maximum only merges other cases.
+    top = (cand.groupBy("_qid", "_cid").agg(F.max("_sim").alias("_sim"))
+           .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    hits = top.select(F.col("_qid").alias("question_id"), F.col("_cid").alias("chunk_id"),
+                      F.col("_sim").alias("similarity"), F.col("rank").cast("int").alias("rank"))
+    if not carry:
+        return hits
+    path = scratch_path(corpus.sparkSession, "topk-hits")
+    write_parquet(hits, path)
+    payload = corpus.select(F.col(c_id).alias("chunk_id"), *carry)
+    return corpus.sparkSession.read.schema(hits.schema).parquet(path).join(payload, "chunk_id").select(
+        "question_id", "chunk_id", "similarity", "rank", *carry)
 
 
 def retrieval_sources(hits: DataFrame) -> DataFrame:
@@ -276,7 +243,8 @@ def retrieval_sources(hits: DataFrame) -> DataFrame:
 
 def context_assembly(hits: DataFrame, questions: DataFrame, q_text: str = "text") -> DataFrame:
     """(question_id, sources, prompt): ``[Source: f]\\n<chunk>`` blocks in rank
-    order joined by a rule line, then the request text with the question."""
+    order joined by a rule line, then the request text with the question.  A
+    question without hits keeps its row, with no sources and an empty context."""
     blocks = hits.select("question_id", "rank", "source_file", F.concat(
         F.lit("[Source: "), F.col("source_file"), F.lit("]\n"), F.col("document")).alias("block"))
     agg = blocks.groupBy("question_id").agg(
@@ -285,9 +253,9 @@ def context_assembly(hits: DataFrame, questions: DataFrame, q_text: str = "text"
     ctx = agg.select("question_id", "sources",
                      F.array_join(F.transform("_b", lambda s: s["block"]), BLOCK_SEP).alias("context"))
     q = questions.select(F.col("question_id"), F.col(q_text).alias("_q"))
-    j = ctx.join(q, "question_id")
-    return j.select("question_id", "sources", F.concat(
-        F.lit("Context:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("_q")).alias("prompt"))
+    j = q.join(ctx, "question_id", "left")
+    return j.select("question_id", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), F.concat(
+        F.lit("Context:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "), F.col("_q")).alias("prompt"))
 
 
 # ---------------------------------------------------------------------------
@@ -311,13 +279,24 @@ def vector_hits(embeddings: DataFrame, k: int = TOP_K) -> DataFrame:
                     F.round(1 - F.col("similarity"), 6).alias("distance"))
 
 
-def text_hits(documents: DataFrame, benchmark: DataFrame, k: int = TOP_K, dim: int = 512):
-    """Question texts (benchmark) against document chunks, TF-IDF cosine."""
-    chunks = chunk_documents(documents_view(documents), source_col="source_file")
+def embedded_corpus(documents: DataFrame, dim: int = 512):
+    """(fitted embedder, embedded chunks): the chunks are written once before the
+    fit and once with their vectors, so no later step splits or embeds them again."""
+    spark = documents.sparkSession
+    raw, done = scratch_path(spark, "chunks"), scratch_path(spark, "embedded")
+    write_parquet(chunk_documents(documents_view(documents), source_col="source_file"), raw)
+    chunks = spark.read.parquet(raw)
     model = fit_embedder(chunks, "document", dim)
-    corpus = embed(model, chunks)
+    write_parquet(embed(model, chunks).select("chunk_id", "source_file", "chunk_index", "document", "embedding"), done)
+    return model, spark.read.parquet(done)
+
+
+def text_hits(documents: DataFrame, benchmark: DataFrame, k: int = TOP_K, dim: int = 512,
+              carry: tuple[str, ...] = ("source_file", "document")):
+    """Question texts (benchmark) against document chunks, TF-IDF cosine."""
+    model, corpus = embedded_corpus(documents, dim)
     questions = embed(model, benchmark.select(F.col("item_id").alias("question_id"),
                                               F.col("text").alias("document")))
-    hits = topk_cosine(questions, corpus, k, carry=["source_file", "document"])
+    hits = topk_cosine(questions, corpus, k, carry=list(carry))
     qtext = benchmark.select(F.col("item_id").alias("question_id"), "text")
     return hits, qtext

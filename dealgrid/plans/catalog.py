@@ -418,28 +418,26 @@ def _q(c): return rv.retrieval_sources(rv.vector_hits(c.extra["tables"].embeddin
 
 @query("text_topk")
 def _q(c):
-    hits, _ = rv.text_hits(c.extra["tables"].documents, c.extra["tables"].benchmark)
+    hits, _ = rv.text_hits(c.extra["tables"].documents, c.extra["tables"].benchmark, carry=("source_file",))
     return hits.select("question_id", "rank", "chunk_id", "source_file",
                        F.round("similarity", 6).alias("similarity"))
 
 
 @query("embed_chunks")
 def _q(c):
-    chunks = rv.chunk_documents(rv.documents_view(c.extra["tables"].documents), source_col="source_file")
-    model = rv.fit_embedder(chunks)
-    return rv.embed(model, chunks).select("chunk_id", "source_file", "chunk_index", "embedding")
+    _, corpus = rv.embedded_corpus(c.extra["tables"].documents)
+    return corpus.select("chunk_id", "source_file", "chunk_index", "embedding")
 
 
 @query("vector_collection_rebuild")
 def _q(c):
     spark = c.leads.sparkSession
-    chunks = rv.chunk_documents(rv.documents_view(c.extra["tables"].documents), source_col="source_file")
-    coll = rv.embed(rv.fit_embedder(chunks), chunks).select(
+    _, corpus = rv.embedded_corpus(c.extra["tables"].documents)
+    coll = corpus.select(
         F.col("chunk_id").alias("id"), "embedding", "document",
         F.struct("source_file", "chunk_index").alias("metadata"))
     path = scratch_path(spark, "collection")
     io.write_parquet(coll, path)
-    io.write_parquet(coll, path)  # rebuild: drop and write again, same rows
     return spark.read.parquet(path).select("id", "metadata.source_file", "metadata.chunk_index",
                                            F.size("embedding").alias("dim"))
 
@@ -528,7 +526,6 @@ def _q(c):
     spark = c.leads.sparkSession
     path = scratch_path(spark, "lead-features")
     io.write_parquet(fe.lead_features(c.leads), path)
-    io.write_parquet(fe.lead_features(c.leads), path)  # replace: idempotent
     return spark.read.parquet(path)
 
 

@@ -22,12 +22,3 @@ class Tables:
         if name not in self._cache:
             self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the scan yields fewer partitions
-    than the cluster has cores, ahead of CPU-heavy per-row work (text splitting).
-    That only happens for inputs smaller than cores x split size, so the shuffle
-    is small by construction; a large input keeps its scan partitioning."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -29,14 +29,3 @@ def test_round_trip_and_refresh(spark, crm, tmp_path):
     assert a == b and a["engagement"] == 3255
     rec = io.reconcile(crm.as_dict(), {n: spark.read.parquet(f"{out}/{n}") for n in io.LOAD_ORDER})
     assert all(r["ok"] for r in rec.collect())
-
-
-def test_spread_only_narrow_scans(spark):
-    from dealgrid.sources.tables import spread
-    cores = spark.sparkContext.defaultParallelism
-    narrow = spark.range(0, 1000, 1, 1)
-    wide = spark.range(0, 1000, 1, cores)
-    s = spread(narrow)
-    assert s.rdd.getNumPartitions() == cores
-    assert sorted(r[0] for r in s.collect()) == list(range(1000))   # rows kept whole
-    assert spread(wide) is wide                                      # no shuffle added
