@@ -145,11 +145,9 @@ def render_responses(insights: DataFrame) -> DataFrame:
         (5, F.regexp_replace(j, r",\{[^{}]*\}\]$", "]")),
         (6, F.expr("substring(j, 1, length(j) - 2)")),
     ]
-    out = None
-    for rid, text in rows:
-        part = arr.select(F.lit(rid).alias("response_id"), text.alias("text"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # one array over the single row: the insights are evaluated once
+    return arr.select(F.inline(F.array(*[F.struct(F.lit(rid).alias("response_id"), text.alias("text"))
+                                         for rid, text in rows])))
 
 
 def _strip_fences(text):

@@ -214,12 +214,16 @@ def deal_summary(deals: DataFrame) -> DataFrame:
 
 def event_mix(engagement: DataFrame) -> DataFrame:
     """Share of each event type (3 places), with total events, distinct deals and
-    events per deal on every row.  The total is a one-row aggregate."""
-    per_type = engagement.groupBy("event_type").agg(F.count(F.lit(1)).alias("events_of_type"))
-    tot = engagement.agg(F.count(F.lit(1)).alias("events"),
-                         F.count_distinct("deal_id").alias("deals"))
-    j = per_type.withColumn("events", tot.select("events").scalar()) \
-                .withColumn("deals", tot.select("deals").scalar())
+    events per deal on every row.  One pass over the events: grouping sets by type
+    and by deal, then the deals' groups are counted into one row; the window spans
+    only that row and one row per event type."""
+    sets = engagement.groupingSets([["event_type"], ["deal_id"]], "event_type", "deal_id").agg(
+        F.grouping("event_type").alias("_by_deal"), F.count(F.lit(1)).alias("_n"))
+    few = sets.groupBy("_by_deal", "event_type").agg(F.sum("_n").alias("events_of_type"),
+                                                     F.count("deal_id").alias("_deals"))
+    w = Window.partitionBy(F.lit(0))
+    j = few.withColumn("events", F.sum(F.when(F.col("_by_deal") == 0, F.col("events_of_type"))).over(w)) \
+           .withColumn("deals", F.sum("_deals").over(w)).where(F.col("_by_deal") == 0)
     return j.select("event_type", "events_of_type",
                     half_up_ratio("events_of_type", "events", 3).alias("share"),
                     F.col("events").cast("long").alias("events"),
@@ -256,23 +260,20 @@ def churn_profile(customers: DataFrame) -> DataFrame:
 
 
 def dataset_summary(t: dict[str, DataFrame]) -> DataFrame:
-    """(metric, value) one-row aggregates of every table, unioned."""
+    """(metric, value): one aggregate per table, its columns turned into rows."""
     leads = t["leads"].agg(F.count(F.lit(1)).alias("leads"),
                            count_if(F.col("converted")).alias("leads_converted"))
+    leads = leads.withColumn("leads_converted_share", half_up_ratio("leads_converted", "leads", 3))
     deals = t["deals"].agg(F.count(F.lit(1)).alias("deals"),
                            count_if(F.col("outcome") == "closed_won").alias("deals_won"))
     events = t["engagement"].agg(F.count(F.lit(1)).alias("engagement_events"))
     cust = t["customers"].agg(F.count(F.lit(1)).alias("customers"),
                               count_if(F.col("churn_date").isNotNull()).alias("customers_churned"))
-    parts = []
+    out = None
     for df in (leads, deals, events, cust):
-        for c in df.columns:
-            parts.append(df.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")))
-    share = leads.select(F.lit("leads_converted_share").alias("metric"),
-                         half_up_ratio("leads_converted", "leads", 3).alias("value"))
-    out = parts[0]
-    for p in parts[1:] + [share]:
-        out = out.unionByName(p)
+        part = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                                            for c in df.columns])))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

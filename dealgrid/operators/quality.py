@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from dealgrid.functions.core import count_if, enum_invalid
 from dealgrid.schemas import (CHANNELS, COMPANY_SIZES, DEAL_STAGES, EVENT_TYPES, LEAD_SOURCES,
                               OUTCOMES, PRIMARY_KEYS, REQUIRED_FIELDS, TIERS)
+from dealgrid.session import scratch_path
 
 # FIXED VALUES: issue message formats, by check, in validator order
 MESSAGES = {
@@ -145,8 +146,13 @@ def _event_counts(events: DataFrame, win: DataFrame) -> DataFrame:
 
 
 def _with_deal_window(events: DataFrame, deals: DataFrame) -> DataFrame:
-    """Row-level: every event with its deal's window (for quarantine)."""
+    """Row-level: every event with its deal's window (for quarantine).  The windows
+    (one row per deal) are written first: both join sides then are plain shuffles,
+    which AQE can split when a deal holds a large share of the events."""
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, "deal-windows")
     win = _deal_windows(deals)
+    win.write.parquet(path)
+    win = spark.read.schema(win.schema).parquet(path)
     return events.join(win, events.deal_id == win._did, "left")
 
 

@@ -17,7 +17,7 @@ from dealgrid.schemas import (BASE_WIN_RATE, COMPANY_SIZE_MULTIPLIERS, CONVERSIO
                               INDUSTRY_MULTIPLIERS, N_OVERPERFORMERS, OVERPERFORMER_WIN_MULTIPLIER,
                               PEAK_MONTHS, SLOW_MONTHS, SOURCE_CONVERSION_RATES,
                               STALE_CONTACT_DAYS, STALE_CONTACT_MULTIPLIER, WIN_CAP)
-from dealgrid.session import shared_dir
+from dealgrid.session import scratch_path, shared_dir
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -50,7 +50,8 @@ def dense_codes_many(df: DataFrame, cols: list[str], name: str) -> dict[str, Dat
     """``dense_codes`` of several columns of one type from a single pass: the
     distinct (column, value) pairs are ranked once (one distributed rank, one
     checkpoint) and each column's codes restart at 0 (its first rank is
-    subtracted; one row per column)."""
+    subtracted; one row per column).  The codes are written, so that a join with
+    them is planned from their size."""
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).alias("value")) for c in cols])).alias("_p")) \
         .select("_p._col", "_p.value").where(F.col("value").isNotNull()).distinct()
@@ -58,6 +59,9 @@ def dense_codes_many(df: DataFrame, cols: list[str], name: str) -> dict[str, Dat
     first = ranked.groupBy("_col").agg(F.min("_r").alias("_first"))
     codes = ranked.join(F.broadcast(first), "_col").select(
         "_col", "value", (F.col("_r") - F.col("_first")).cast("int").alias(name))
+    path = scratch_path(df.sparkSession, "codes")
+    codes.write.parquet(path)
+    codes = df.sparkSession.read.schema(codes.schema).parquet(path)
     return {c: codes.where(F.col("_col") == c).select("value", name) for c in cols}
 
 
@@ -163,8 +167,11 @@ def score_open_deals(open_features: DataFrame, deals: DataFrame, reps: DataFrame
                     .alias("risk_score"))
 
 
-def top_n(ranked: DataFrame, rank_col: str, n: int = 10) -> DataFrame:
-    """The n best-ranked rows (TakeOrderedAndProject, no full sort)."""
-    return ranked.orderBy(rank_col).limit(n)
+def top_n(scored: DataFrame, score: str, id_col: str, rank: str, n: int = 10) -> DataFrame:
+    """The n rows of highest score (ties by id) with their rank: every task keeps its n
+    best, and only those n rows are numbered."""
+    order = [F.col(score).desc(), F.col(id_col).asc()]
+    top = scored.orderBy(*order).limit(n)
+    return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 

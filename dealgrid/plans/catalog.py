@@ -211,12 +211,19 @@ def _q(c):
 def _q(c): return me.open_pipeline_value(c.deals)
 
 
+def _lead_labels(c: CRM) -> DataFrame:
+    return c.leads.select("lead_id", F.col("converted").cast("int").alias("converted"))
+
+
 @query("class_balance_leads")
-def _q(c): return me.class_balance(fe.lead_features(c.leads), "converted")
+def _q(c): return me.class_balance(_lead_labels(c), "converted")
 
 
 @query("class_balance_deals")
-def _q(c): return me.class_balance(fe.deal_features(c.deals, c.engagement), "is_at_risk")
+def _q(c):
+    closed = c.deals.where(F.col("outcome") != "open")
+    return me.class_balance(closed.select((F.col("outcome") == "closed_lost").cast("int").alias("is_at_risk")),
+                            "is_at_risk")
 
 
 @query("conversion_by_attr")
@@ -294,11 +301,13 @@ def _q(c): return rk.score_deals(c.deals, c.reps)
 
 
 @query("top10_leads")
-def _q(c): return rk.top_n(rk.score_leads(c.leads), "rank", 10)
+def _q(c):
+    scored = c.leads.select("lead_id", rk.lead_rule_score().alias("score"))
+    return rk.top_n(scored, "score", "lead_id", "rank")
 
 
 @query("top10_deals")
-def _q(c): return rk.top_n(rk.score_deals(c.deals, c.reps), "risk_rank", 10)
+def _q(c): return rk.top_n(rk.deal_risk_scores(c.deals, c.reps), "risk_score", "deal_id", "risk_rank")
 
 
 # -- 2.C/2.D/2.E/2.I page data on rule scores --------------------------------------
@@ -336,7 +345,7 @@ def _q(c): return pr.apply_filters(_lead_scores(c), source="referral", industry=
 
 
 @query("filter_options")
-def _q(c): return pr.filter_options(_lead_scores(c))
+def _q(c): return pr.filter_options(c.leads)
 
 
 @query("lead_priority_table")
@@ -375,6 +384,45 @@ def _q(c): return pr.risk_cards(_deal_risk(c))
 def _q(c): return pr.risk_alerts(_deal_risk(c))
 
 
+def _silence_risk(c: CRM) -> DataFrame:
+    """The risk page on a score of silence alone: days since the last contact over 100,
+    at most 1.  It crosses both thresholds and meets them exactly."""
+    base = fe.open_deals_base(c.deals, c.engagement)
+    feats = fe.open_deal_features(c.deals, c.engagement, base=base)
+    scores = feats.select("deal_id", F.least(F.lit(1.0), F.col("days_since_last_contact") / F.lit(100.0)).alias("risk_score"))
+    return pr.deal_risk_table(fe.active_deals(c.deals, c.reps, c.engagement, base=base), scores)
+
+
+def _silence_snapshot(c: CRM) -> DataFrame:
+    return ins.snapshot(c.leads.sparkSession, c.customers, c.deals, c.leads, _silence_risk(c), scope="open")
+
+
+@query("deal_risk_table_silence")
+def _q(c): return _silence_risk(c)
+
+
+@query("risk_cards_silence")
+def _q(c): return pr.risk_cards(_silence_risk(c))
+
+
+@query("risk_alerts_silence")
+def _q(c): return pr.risk_alerts(_silence_risk(c))
+
+
+@query("at_risk_count_silence")
+def _q(c):
+    return _silence_risk(c).agg(F.count_if(F.col("risk_score") > 0.7).alias("at_risk_count"),
+                                F.count(F.lit(1)).alias("scored_deals"))
+
+
+@query("snapshot_at_risk_silence")
+def _q(c): return ins.snapshot_leaves(_silence_snapshot(c)).where(F.col("leaf").startswith("deals_at_risk"))
+
+
+@query("rule_insights_silence")
+def _q(c): return ins.rule_insights(_silence_snapshot(c))
+
+
 @query("deal_risk_display")
 def _q(c): return pr.deal_risk_display(_deal_risk(c))
 
@@ -521,6 +569,21 @@ def _q(c):
     return io.read_table(spark, path, "deals")
 
 
+@query("csv_load_checked")
+def _q(c):
+    """Deals exported with their value as text, unreadable in every deal whose value
+    divides by 97, and loaded with rejects: rows and value of both sides."""
+    spark = c.leads.sparkSession
+    path = scratch_path(spark, "csv-damaged")
+    bad = F.when(F.col("value") % 97 == 0, F.concat(F.lit("n/a, "), F.col("value").cast("string")))
+    io.write_csv(c.deals.withColumn("value", F.coalesce(bad, F.col("value").cast("string"))), path)
+    rows, rejects = io.read_checked(spark, path, "deals")
+    return rows.agg(F.lit("loaded").alias("part"), F.count(F.lit(1)).alias("rows"),
+                    F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("total")).unionByName(
+        rejects.agg(F.lit("rejected").alias("part"), F.count(F.lit(1)).alias("rows"),
+                    F.coalesce(F.sum(F.substring("row.value", 6, 20).cast("long")), F.lit(0)).alias("total")))
+
+
 @query("feature_table_replace")
 def _q(c):
     spark = c.leads.sparkSession
@@ -626,14 +689,15 @@ def _q(c):
 
 @query("stratified_split_leads")
 def _q(c):
-    fm = ml.stratified_split(fe.lead_features(c.leads), "lead_id", label="converted")
+    fm = ml.stratified_split(_lead_labels(c), "lead_id", label="converted")
     return fm.groupBy("converted", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("top10_leads_model")
 def _q(c):
     model, _, _, _, feats, cols, idc = _trained(c, "leads")
-    return rk.top_n(ml.score(model, feats, cols, idc, "score", "rank"), "rank", 10)
+    scored = ml.predict(model, ml.feature_matrix(feats, cols, "converted", idc), idc)
+    return rk.top_n(scored, "score", idc, "rank")
 
 
 @query("score_distribution_leads_model")

@@ -40,6 +40,27 @@ def load_all(spark: SparkSession, source_dir: str, crm_dir: str) -> DataFrame:
     return io.full_refresh(spark, crm.as_dict(), crm_dir)
 
 
+def load_csv(spark: SparkSession, csv_dir: str, crm_dir: str) -> DataFrame:
+    """CSV files (one folder or file ``<table>`` or ``<table>.csv`` each) to CRM tables.
+    Rows that do not fit the schema go to ``rejected_<table>`` below ``crm_dir``.
+    Returns (table_name, source_rows, loaded_rows, ok); rejects make ok false."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    loaded, source = {}, {}
+    for name in TABLES:
+        path = _p(csv_dir, name)
+        at = fs_path(path)
+        if not at.getFileSystem(conf).exists(at):
+            path += ".csv"
+        rows, rejects = io.read_checked(spark, path, name)
+        io.write_parquet(rows, _p(crm_dir, name))
+        io.write_parquet(rejects, _p(crm_dir, f"rejected_{name}"))
+        loaded[name] = spark.read.parquet(_p(crm_dir, name))
+        source[name] = loaded[name].select(F.lit(1).alias("one")).unionByName(
+            spark.read.parquet(_p(crm_dir, f"rejected_{name}")).select(F.lit(1).alias("one")))
+    return io.reconcile(source, loaded)
+
+
 def validate(spark: SparkSession, crm_dir: str, as_of: dt.date) -> DataFrame:
     """All data-quality issues of the loaded tables (one message per issue)."""
     return dq.validate_all(read_crm(spark, crm_dir), as_of)

@@ -15,27 +15,51 @@ from dealgrid.schemas import DATE_COLUMNS, TABLE_SCHEMAS
 LOAD_ORDER = ["reps", "leads", "deals", "engagement", "customers"]
 
 
+# Quoted fields may hold line breaks, commas and doubled quotes.  A file with such
+# fields cannot be split: export many files rather than one large one.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV, no index column; dates as ISO text."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Header CSV, no index column; dates as ISO text; quotes doubled inside a field."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Header CSV of a CRM table: date columns read as text and parsed with
-    ``try_to_timestamp`` (a bad value becomes NULL instead of failing the job),
-    everything else with the table schema."""
-    schema = TABLE_SCHEMAS[name]
-    dates = set(DATE_COLUMNS[name])
-    text_schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in dates else f.dataType,
-                                              True) for f in schema.fields])
-    df = spark.read.schema(text_schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    cols = []
-    for f in schema.fields:
-        if f.name in dates:
-            cols.append(F.to_date(F.try_to_timestamp(F.trim(F.col(f.name)))).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    """Header CSV of a CRM table.  Dates are lenient (a bad value becomes NULL); any
+    other value that does not fit its type, or a row with missing or extra fields,
+    fails the job.  ``read_checked`` sets such rows aside instead."""
+    rows, bad = _parsed(spark, path, name)
+    broken = F.raise_error(F.concat(F.lit(f"{name}: "), F.array_join(bad, ", ")))
+    first = TABLE_SCHEMAS[name].fields[0]
+    return rows.select(F.when(F.size(bad) > 0, broken).otherwise(F.col(f"parsed.{first.name}")).cast(first.dataType)
+                       .alias(first.name), *[F.col(f"parsed.{f.name}") for f in TABLE_SCHEMAS[name].fields[1:]])
+
+
+def read_checked(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the table, rejects): like ``read_table``, but a row that does not fit is
+    a reject ``(row: the fields as text, reasons: array<string>)``."""
+    rows, bad = _parsed(spark, path, name)
+    return (rows.where(F.size(bad) == 0).select("parsed.*"),
+            rows.where(F.size(bad) > 0).select("row", bad.alias("reasons")))
+
+
+def _parsed(spark: SparkSession, path: str, name: str):
+    """Rows as text (``row``) and typed (``parsed``), and a column of what does not fit."""
+    fields, dates = TABLE_SCHEMAS[name].fields, set(DATE_COLUMNS[name])
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields]
+                        + [T.StructField("_corrupt_record", T.StringType())])
+    df = spark.read.schema(text).options(**CSV_OPTIONS, mode="PERMISSIVE").csv(path)
+    typed = {f.name: F.to_date(F.try_to_timestamp(F.trim(F.col(f.name)))) if f.name in dates
+             else F.col(f.name) if isinstance(f.dataType, T.StringType)
+             else F.col(f.name).try_cast(f.dataType) for f in fields}
+    bad = [F.when(F.col("_corrupt_record").isNotNull(), F.lit("wrong number of fields"))]
+    bad += [F.when(F.col(f.name).isNotNull() & typed[f.name].isNull(), F.lit(f"{f.name} is not {f.dataType.simpleString()}"))
+            for f in fields if f.name not in dates and not isinstance(f.dataType, T.StringType)]
+    rows = df.select(F.struct(*[F.col(f.name) for f in fields]).alias("row"),
+                     F.struct(*[typed[f.name].alias(f.name) for f in fields]).alias("parsed"),
+                     F.array_compact(F.array(*bad)).alias("_bad"))
+    return rows, F.col("_bad")
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
