@@ -10,12 +10,13 @@ apply to any score column.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
-
 import os
+import sys
+import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -28,6 +29,9 @@ from dealgrid.functions.core import count_if, half_up_ratio
 from dealgrid.operators.ranking import global_row_number
 from dealgrid.session import shared_dir
 
+# The functions of this module travel with the job: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # FIXED VALUES: model settings (trees, depth, learning rate, row and column
 # subsampling, seed, hold-out share) and the acceptance gate
 GBT_PARAMS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8,

@@ -12,8 +12,11 @@ written first, so that their size is known when that join is planned.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +30,9 @@ from dealgrid.schemas import CHUNK_OVERLAP, CHUNK_SIZE, TOP_K
 from dealgrid.session import scratch_path
 from dealgrid.sources.files import write_parquet
 
+# The functions of this module travel with the job: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Vectors of one block of questions or corpus (bytes of float64).
 BLOCK_BYTES = 16 << 20
 BLOCK_SEP = "\n\n---\n\n"
