@@ -496,6 +496,16 @@ def _q(c):
     return rv.context_assembly(hits, qtext)
 
 
+@query("context_assembly_vectors")
+def _q(c):
+    """Request texts over the vector corpus; a vector's text is its id."""
+    e = c.extra["tables"].embeddings
+    hits = rv.vector_hits(e).withColumn("document", F.concat(F.lit("vector "), F.col("chunk_id").cast("string")))
+    asked = e.select(F.col("vec_id").alias("question_id"),
+                     F.concat(F.lit("neighbours of "), F.col("vec_id").cast("string")).alias("text"))
+    return rv.context_assembly(hits, asked)
+
+
 # -- 2.L snapshot and insights ---------------------------------------------------------
 
 
@@ -509,6 +519,15 @@ def _snapshot(c: CRM, scope: str = "closed") -> DataFrame:
 def _q(c): return ins.snapshot_json(_snapshot(c))
 
 
+@query("snapshot_json_leaves")
+def _q(c):
+    """The leaves of the snapshot's JSON text, decoded again."""
+    snap = _snapshot(c)
+    kind = snap.drop("at_risk_scope").schema
+    decoded = ins.snapshot_json(snap).select(F.from_json("data_snapshot", kind).alias("s")).select("s.*")
+    return ins.snapshot_leaves(decoded)
+
+
 @query("metrics_snapshot")
 def _q(c): return ins.snapshot_leaves(_snapshot(c))
 
@@ -745,6 +764,40 @@ def _q(c):
     return ml.score(model, feats, cols, idc, "risk_score", "risk_rank")
 
 
+def _score_check(scored: DataFrame, id_col: str, score: str, rank: str) -> DataFrame:
+    """What must hold for any model's written scores: one row per id, ranks 1..n, scores
+    in [0, 1], and every rank's successor has a lower score or the same and a larger id."""
+    spark = scored.sparkSession
+    path = scratch_path(spark, "scores")
+    io.write_parquet(scored.select(id_col, score, rank), path)
+    s = spark.read.parquet(path)
+    after = s.select((F.col(rank) - 1).alias(rank), F.col(score).alias("_score"), F.col(id_col).alias("_id"))
+    wrong = (F.col("_score") > F.col(score)) | ((F.col("_score") == F.col(score)) & (F.col("_id") < F.col(id_col)))
+    return s.join(after, rank, "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(id_col).alias("ids"),
+        F.min(rank).alias("min_rank"), F.max(rank).alias("max_rank"),
+        F.count_if(~F.col(score).between(0, 1)).alias("out_of_range"), F.count_if(wrong).alias("misordered"))
+
+
+@query("score_check_leads")
+def _q(c):
+    model, _, _, _, feats, cols, idc = _trained(c, "leads")
+    return _score_check(ml.score(model, feats, cols, idc, "score", "rank"), idc, "score", "rank")
+
+
+@query("score_check_deals")
+def _q(c):
+    model, _, _, _, feats, cols, idc = _trained(c, "deals")
+    return _score_check(ml.score(model, feats, cols, idc, "risk_score", "risk_rank"), idc, "risk_score", "risk_rank")
+
+
+@query("score_check_open_deals")
+def _q(c):
+    model, _, _, _, _, cols, idc = _trained(c, "deals")
+    feats = fe.open_deal_features(c.deals, c.engagement)
+    return _score_check(ml.score(model, feats, cols, idc, "risk_score", "risk_rank"), idc, "risk_score", "risk_rank")
+
+
 @query("score_open_deals_model")
 def _q(c):
     model, _, _, _, _, cols, idc = _trained(c, "deals")

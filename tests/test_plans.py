@@ -98,3 +98,54 @@ def test_exact_auc_on_raw_scores_has_no_window_over_scores(spark):
     assert "rangepartitioning(_s" in plan
     specs = re.findall(r"windowspecdefinition\(([^,]*)", plan)
     assert specs and all("_p" in s for s in specs)
+
+
+def _scans(df, table):
+    return len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", _plan(df)))
+
+
+def test_reports_read_their_tables_once(spark):
+    from __spark_entry__ import queries
+    q = queries()
+    assert _scans(q["event_mix"](spark, SF), "lineitem") == 1
+    assert _scans(q["class_balance_leads"](spark, SF), "orders") == 1
+    once = _scans(q["rule_insights"](spark, SF), "orders")
+    assert _scans(q["parse_insights"](spark, SF), "orders") == once
+    assert _scans(q["dataset_summary"](spark, SF), "lineitem") == 1
+    assert "TakeOrderedAndProject" in _plan(q["top10_leads"](spark, SF))
+
+
+def test_lead_codes_need_no_shuffle_of_leads(spark):
+    from __spark_entry__ import queries
+    assert "Exchange hashpartitioning(source" not in _plan(queries()["lead_features"](spark, SF))
+
+
+def test_hot_deal_is_split_in_the_quarantine(spark):
+    """Two thirds of the events on one deal, broadcasting off: AQE splits its partition."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from dealgrid.operators import quality as dq
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        day = F.lit(dt.date(2024, 1, 1))
+        n = 400_000
+        deals = spark.range(500).select(F.concat(F.lit("D"), "id").alias("deal_id"), day.alias("created_at"),
+                                        day.alias("last_contact_date"), day.alias("close_date"))
+        events = spark.range(0, n, 1, 8).select(
+            F.concat(F.lit("E"), "id").alias("event_id"),
+            F.when(F.col("id") % 3 < 2, "D7").otherwise(F.concat(F.lit("D"), F.col("id") % 500)).alias("deal_id"),
+            F.lit("call").alias("event_type"), F.lit("phone").alias("channel"), F.date_add(day, 1).alias("timestamp"))
+        out = dq._with_deal_window(events, deals)
+        assert out.agg(F.count("_deal_found")).first()[0] == n
+        df = out.select("event_id", "_start")
+        df.collect()
+        assert "skew=true" in _plan(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

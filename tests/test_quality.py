@@ -121,8 +121,10 @@ def test_foreign_keys_include_rep(spark):
 
 
 def test_unique_keys_and_required(spark, crm):
-    uk = dq.unique_keys(crm.as_dict()).where(F.col("table_name") == "engagement").first()
-    assert uk["duplicate_keys"] >= 0
+    uk = dq.unique_keys(crm.as_dict()).where(F.col("table_name") == "deals").first()
+    assert uk["duplicate_keys"] == 0
+    twice = {**crm.as_dict(), "deals": crm.deals.unionByName(crm.deals.limit(3))}
+    assert dq.unique_keys(twice).where(F.col("table_name") == "deals").first()["duplicate_keys"] == 3
     req = dq.required_fields(crm.as_dict()).where(F.col("null_rows") > 0).count()
     assert req == 0
 
