@@ -9,7 +9,9 @@ a <= b differ in at most ``d = (a + b) * (den - num) / (den + num)`` shingles, a
 b <= a * den / num.  Of the ``N`` blocks that hold anything, at least ``N - d`` agree with
 the partner's: any ``d + 1`` of them, taken in an order that depends on the block's
 content alone, must meet the partner's ``d + 1`` (pigeonhole).  The order puts blocks
-with many shingles first, which are the most selective.
+with many shingles first, which are the most selective, and *common* keys, which over
+``PART`` sets hold, last: a passage that a third of all documents share then gives no key
+to documents that have enough text of their own.
 
 Sets are joined per size band [2^k, 2^(k+1)) of the smaller one, with ``m`` fixed in a
 band; a set just above a band's upper end is joined in the band below too.  Below
@@ -21,14 +23,20 @@ Steps (all shared state is written to the shared folder):
 
 1. one row per document: set size, 128-bit set identity, dense parity sketch; equal sets
    become one class, so copies never meet each other again;
-2. the block keys of each class, grouped by key; keys held by one class are dropped;
-3. star: each class with the smallest class of its bucket, then components;
-4. of buckets that still hold several components, all pairs across components whose dense
+2. the common keys, counted over all sets (at most ``COMMON``; any order of the keys keeps
+   the guarantee, so the list decides only about work);
+3. the block keys of each class, grouped by key; keys held by one class are dropped.  Rows
+   of common keys are dealt by key and class, so that no task holds a hot bucket;
+4. star: each class with the smallest class of its bucket, then components;
+5. of buckets that still hold several components, all pairs across components whose dense
    sketches are close enough are verified; buckets of more than ``PART`` classes are cut
-   into parts that are compared part by part in different tasks;
-5. candidates are verified on the whole shingle sets; components again.
+   into parts that are compared part by part in different tasks, and the largest
+   component's parts meet only parts of the others;
+6. candidates are verified on the whole shingle sets; components again.
 
 A pair is skipped only if its classes are in one component already, so no link is lost.
+Classes are named by 64 bits of their identity; the few sets that share them (one pair is
+expected at six billion sets) are named by the other 64.
 """
 
 from __future__ import annotations
@@ -44,6 +52,8 @@ from dealgrid.llm.text import mix64, shingle_sets
 PLAIN = 64      # below this size every shingle is a block of its own
 LOAD = 1.0      # blocks of a band over its lower size limit
 PART = 1024     # classes of a bucket that are compared in one task
+COMMON = 1_000_000  # most common keys that are set back (8 MB)
+SOME = 4        # sets of one chunk of a task that must hold a key before it is counted
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3))
 
@@ -55,27 +65,43 @@ def _blocks(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block[first], np.bitwise_xor.reduceat(mix64(s ^ _C1), first), np.diff(np.append(first, len(s)))
 
 
-def block_keys(s: np.ndarray, band: int, d: int) -> np.ndarray:
-    """Keys of d + 1 blocks of the set ``s`` in a size band."""
+NONE = np.zeros(0, dtype=np.uint64)
+
+
+def is_in(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``common``."""
+    if not len(common):
+        return np.zeros(len(keys), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+
+
+def block_keys(s: np.ndarray, band: int, d: int | None, common: np.ndarray = NONE) -> np.ndarray:
+    """Keys of d + 1 blocks of the set ``s`` in a size band, or of all its blocks (d None)."""
     salt = np.array([band], dtype=np.uint64) * _C2
     if band < PLAIN.bit_length() - 1:
-        return np.sort(mix64(s ^ _C3) + salt)[:d + 1]
-    number, value, count = _blocks(s, int(LOAD * (1 << band)))
-    keys = mix64(value + number * _C3) + salt
+        keys = mix64(s ^ _C3) + salt
+        count = None
+    else:
+        number, value, count = _blocks(s, int(LOAD * (1 << band)))
+        keys = mix64(value + number * _C3) + salt
+    if d is None:
+        return keys
     if len(keys) <= d:
         raise ValueError(f"{len(keys)} blocks in use for {len(s)} shingles: no pigeonhole for distance {d}")
-    return keys[np.lexsort((keys, -count))[:d + 1]]
+    late = is_in(keys, common)
+    return keys[np.lexsort((keys, late) if count is None else (keys, -count, late))[:d + 1]]
 
 
-def set_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """All keys of a set: in its own band, and in the lower bands of smaller partners."""
+def set_keys(s: np.ndarray, num: int, den: int, common: np.ndarray = NONE, whole: bool = False) -> np.ndarray:
+    """All keys of a set: in its own band, and in the lower bands of smaller partners.
+    whole: of all blocks instead of d + 1."""
     n, out = len(s), []
     band = n.bit_length() - 1
-    out.append(block_keys(s, band, (n + n * den // num) * (den - num) // (den + num)))
+    out.append(block_keys(s, band, None if whole else (n + n * den // num) * (den - num) // (den + num), common))
     lower = band - 1
     while lower >= 0 and num * n < den * (1 << (lower + 1)):  # a partner of under 2^(lower+1) may do
         largest = (1 << (lower + 1)) - 1
-        out.append(block_keys(s, lower, (n + largest) * (den - num) // (den + num)))
+        out.append(block_keys(s, lower, None if whole else (n + largest) * (den - num) // (den + num), common))
         lower -= 1
     return np.concatenate(out)
 
@@ -94,21 +120,35 @@ def dense_sketch(s: np.ndarray) -> bytes:
     return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 
-def identity(s: np.ndarray) -> tuple[int, int]:
-    """128-bit identity of a set: two independent sums over its members."""
+def identity(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128-bit identity of a set: two independent sums over its members.  bits: how many
+    the first part keeps (fewer in tests, so that sets clash)."""
     a = int(np.add.reduce(mix64(s ^ _C1))) ^ (len(s) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    a &= (1 << bits) - 1
     b = int(np.add.reduce(mix64(s + _C3)))
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def _describe(width: int):
+def _named(column, width: int, bits: int, clash: frozenset[int], seen: set[int]):
+    """(node, set) of the non-empty sets of a column that ``seen`` does not hold yet."""
+    for _, s in shingle_sets(column, width):
+        if len(s):
+            node, check = identity(s, bits)
+            if node in clash:
+                node = check
+            if node not in seen:
+                seen.add(node)
+                yield node, s
+
+
+def _describe(width: int, bits: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             n, k1, k2, sk = [], [], [], []
             for _, s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
-                a, b = identity(s) if len(s) else (None, None)
+                a, b = identity(s, bits) if len(s) else (None, None)
                 k1.append(a)
                 k2.append(b)
                 sk.append(dense_sketch(s) if len(s) else None)
@@ -118,56 +158,72 @@ def _describe(width: int):
     return run
 
 
-def _keys(width: int, num: int, den: int):
+def _counted(width: int, num: int, den: int, bits: int, clash: frozenset[int]):
+    """(bucket, sets): keys that SOME or more different sets of a chunk hold."""
+    def run(batches):
+        seen: set[int] = set()
+        held, size = [], 0
+
+        def counts():
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= SOME
+            return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(times[often].astype(np.int64))],
+                                              ["bucket", "sets"])
+        for batch in batches:
+            for _, s in _named(batch.column(0), width, bits, clash, seen):
+                held.append(set_keys(s, num, den, whole=True))
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    yield counts()
+                    held, size = [], 0
+        if held:
+            yield counts()
+    return run
+
+
+def _keys(width: int, num: int, den: int, bits: int, clash: frozenset[int], common: np.ndarray):
+    """(bucket, node, salt) of the sets; salt: 0, of common keys 1 to 4096 by class."""
     def run(batches):
         seen: set[int] = set()  # sets of this task: copies give their keys once
         for batch in batches:
             keys, nodes = [], []
-            for _, s in shingle_sets(batch.column(0), width):
-                if not len(s):
-                    continue
-                node = identity(s)[0]
-                if node in seen:
-                    continue
-                seen.add(node)
-                k = set_keys(s, num, den)
+            for node, s in _named(batch.column(0), width, bits, clash, seen):
+                k = set_keys(s, num, den, common)
                 keys.append(k)
                 nodes.append(np.full(len(k), node, dtype=np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["bucket", "node"])
+                k, v = np.concatenate(keys), np.concatenate(nodes)
+                salt = np.where(is_in(k, common), 1 + (v & 4095), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(v), pa.array(salt)], ["bucket", "node", "salt"])
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bits: int, clash: frozenset[int]):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            nodes, sets = [], []
-            for _, s in shingle_sets(batch.column(0), width):
-                if len(s) and (node := identity(s)[0]) not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
+            pairs = list(_named(batch.column(0), width, bits, clash, seen))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pairs], pa.int64()),
+                                              pa.array([s.tobytes() for _, s in pairs], pa.binary())], ["node", "members"])
     return run
 
 
 def _meeting(batches):
-    """Of one partition's (bucket, node): the rows of buckets with two nodes or more."""
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    """Of one partition's (bucket, node, salt): the rows of buckets with two nodes or more,
+    and all rows of common keys, whose buckets are spread over many partitions."""
+    parts = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches]
     if not parts:
         return
-    bucket, node = (np.concatenate(x) for x in zip(*parts))
+    bucket, node, salt = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((node, bucket))
-    bucket, node = bucket[order], node[order]
+    bucket, node, spread = bucket[order], node[order], salt[order] > 0
     new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])))
-    bucket, node = bucket[new], node[new]
+    bucket, node, spread = bucket[new], node[new], spread[new]
     first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
     size = np.diff(np.append(first, len(bucket)))
     low = np.repeat(node[first], size)
-    keep = np.repeat(size > 1, size)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, node, low)], ["bucket", "node", "low"])
+    keep = np.repeat(size > 1, size) | spread
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, node, low, spread)], ["bucket", "node", "low", "spread"])
 
 
 def _groups(batches):
@@ -277,7 +333,17 @@ def _with_both(pairs: DataFrame, of: DataFrame, cols: list[str]) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", *[x for c in cols for x in (f"{c}_a", f"{c}_b")])
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _common_keys(src: DataFrame, width: int, num: int, den: int, bits: int, clash: frozenset[int]) -> np.ndarray:
+    """Sorted keys that more than PART sets hold, and more than the COMMONth part of all
+    that were counted: at most COMMON keys, whatever the size of the corpus."""
+    counted = written(src.select("text").mapInArrow(_counted(width, num, den, bits, clash), "bucket long, sets long")
+                      .groupBy("bucket").agg(F.sum("sets").alias("sets")), "jaccard-counted")
+    total = counted.agg(F.sum("sets")).first()[0] or 0
+    often = counted.where(F.col("sets") > max(PART, total // COMMON)).select("bucket").toArrow()
+    return np.sort(often.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id.
 
     Two documents link when ``den * |A and B| >= num * |A or B|`` of their distinct
@@ -285,21 +351,38 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     links, class_id the smallest doc_id with exactly its set.
 
     Null and empty texts (and texts without a word) have an empty set, link with nothing and
-    are their own component and class.  A text of under ``width`` words has one shingle, the
+    are their own component and class.  bits: length of the sets' short names (see ``identity``).  A text of under ``width`` words has one shingle, the
     whole sequence.  Rows with a null doc_id take part; a component made of such rows only
     has a null id.  Repeated rows give repeated rows.  Extra columns are ignored.
     """
     src = text_only(docs)
-    rows = written(src.mapInArrow(_describe(width), "doc_id long, n long, node long, check long, sketch binary"), "jaccard-rows")
-    sets = written(rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.min("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")),
-        "jaccard-classes")
-    if not sets.where("c1 <> c2").isEmpty():
-        raise ValueError("two different sets share a 64-bit identity")
-    meet = written(src.select("text").mapInArrow(_keys(width, num, den), "bucket long, node long")
-                   .repartition("bucket").mapInArrow(_meeting, "bucket long, node long, low long"), "jaccard-buckets")
+    described = written(src.mapInArrow(_describe(width, bits), "doc_id long, n long, node long, check long, sketch binary"), "jaccard-rows")
+
+    def classes(rows: DataFrame) -> DataFrame:
+        return written(rows.where("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("low"), F.min("check").alias("c1"), F.max("check").alias("c2")), "jaccard-classes")
+
+    rows, sets, clash = described, classes(described), frozenset()
+    clashing = sets.where("c1 <> c2").select("node")
+    if not clashing.isEmpty():
+        # About n * n / 2^65 of n sets: some dozens at 5e10 documents.
+        clash = frozenset(clashing.toArrow().column(0).to_pylist())
+        other = F.broadcast(clashing.select(F.col("node").alias("taken")))
+        rows = described.join(other, F.col("node") == F.col("taken"), "left").select(
+            "doc_id", "n", F.when(F.col("taken").isNull(), F.col("node")).otherwise(F.col("check")).alias("node"), "check", "sketch")
+        sets = classes(rows)
+        if not sets.where("c1 <> c2").isEmpty():
+            raise ValueError("two different sets share the second half of their identity too")
+    common = _common_keys(src, width, num, den, bits, clash)
+    met = written(src.select("text").mapInArrow(_keys(width, num, den, bits, clash, common), "bucket long, node long, salt long")
+                  .repartition("bucket", "salt").mapInArrow(_meeting, "bucket long, node long, low long, spread boolean"),
+                  "jaccard-buckets")
+    lows = written(met.where("spread").groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+                   .where("low < high").select("bucket", "low"), "jaccard-common")
+    meet = met.where("not spread").select("bucket", "node", "low").unionByName(
+        met.where("spread").select("bucket", "node").join(small_side(lows, 16), "bucket").select("bucket", "node", "low"))
     nodes = written(meet.select("node").distinct(), "jaccard-nodes")
-    texts = src.select("text").mapInArrow(_sets(width), "node long, members binary")
+    texts = src.select("text").mapInArrow(_sets(width, bits, clash), "node long, members binary")
     members = written(texts.join(small_side(nodes, 16), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
     sketches = written(rows.select("node", "n", "sketch").join(small_side(nodes, 16), "node", "left_semi")
                        .dropDuplicates(["node"]), "jaccard-sketches")
@@ -314,15 +397,22 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     rooted = meet.select("bucket", "node").join(first, "node", "left").select(
         "bucket", "node", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "jaccard-rooted")
-    mixed = rooted.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    mixed = written(mixed.where("r1 <> r2").select("bucket", "size"), "jaccard-mixed")
+    # Per bucket the largest component: its classes never need to meet each other.
+    several = rooted.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    mixed = several.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"),
+                                          F.count("*").alias("roots"))
+    mixed = written(mixed.where("roots > 1").select(
+        "bucket", F.col("top.root").alias("top"), (F.col("size") <= PART).alias("whole"),
+        F.ceil((F.col("size") - F.col("top.size")) / PART).cast("int").alias("q"),
+        F.ceil(F.col("top.size") / PART).cast("int").alias("q_top")), "jaccard-mixed")
+    # Parts 0 to q - 1 hold the other components, the next q_top the largest; a small bucket is one part.
     parts = (rooted.join(mixed, "bucket")
-             .withColumn("q", F.ceil(F.col("size") / PART).cast("int"))
-             .withColumn("c", F.expr("cast(pmod(xxhash64(node), q) as int)"))
-             .withColumn("o", F.explode(F.expr("sequence(0, q - 1)")))
+             .withColumn("c", F.expr("""case when whole then 0 when root = top then q + pmod(xxhash64(node), q_top)
+                                        else pmod(xxhash64(node), q) end"""))
+             .withColumn("o", F.explode(F.expr("""sequence(0L, cast(case when whole then 0 when root = top then q - 1
+                                                  else q + q_top - 1 end as bigint))""")))
              .select(F.expr("xxhash64(bucket, least(c, o), greatest(c, o))").alias("g"), "node", "root",
-                     F.expr("if(c = o, -1, if(c < o, 0, 1))").alias("side"),
-                     F.expr("q > 1 and c <> o").alias("crossed")))
+                     F.expr("if(c = o, -1, if(c < o, 0, 1))").alias("side")))
     parts = (parts.join(sketches, "node").select("g", "node", "root", "n", F.col("side").cast("int"), "sketch")
              .repartition("g").sortWithinPartitions("g"))
     across = parts.mapInArrow(_close_pairs(num, den), "a long, b long").distinct()

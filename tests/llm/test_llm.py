@@ -57,6 +57,49 @@ def test_jaccard_join_equals_all_pairs(spark):
     assert low[root[0]] == low[root[1]] == 1
 
 
+def linked(texts, ids):
+    """(doc_id, n_shingles, component_id) by all pairs."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    low = {r: min(ids[i] for i in range(len(ids)) if root[i] == r) for r in root}
+    return sorted((ids[i], len(sets[i]), low[root[i]]) for i in range(len(ids)))
+
+
+@pytest.mark.parametrize("bits", [64, 5])
+def test_jaccard_join_with_common_passages_and_clashing_names(spark, monkeypatch, bits):
+    """Short texts that share a passage, a chain and many variants of one text, with small
+    parts, so that every path runs; 5 bits: nearly all sets share their short names."""
+    import random
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for k in range(60):
+        own = [f"o{k}_{i}" for i in range(rng.randrange(3, 40))]
+        texts.append(" ".join(own + passage if k % 2 else passage + own))
+        if k % 3 == 0:
+            texts.append(" ".join(own[:-1] + ["changed"] + passage if k % 2 else passage + own[:-1] + ["changed"]))
+    base = [f"b{i}" for i in range(120)]
+    for k in range(40):
+        there = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 4)):
+            there[at] = f"x{k}"
+        texts.append(" ".join(there))
+    for k in range(30):
+        base = base[3:] + [f"c{k}_{i}" for i in range(3)]
+        texts.append(" ".join(base))
+    ids = rng.sample(range(1000), len(texts))
+    monkeypatch.setattr(jaccard_join, "PART", 6)
+    frame = docs(spark, list(zip(ids, texts))).coalesce(2)
+    assert len(jaccard_join._common_keys(frame.select("doc_id", "text"), 5, 80, 100, bits, frozenset()))
+    got = jaccard_join.jaccard_classes(frame, bits=bits).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(texts, ids)
+
+
 def test_block_keys_meet_at_the_limit():
     """Random sets at the similarity limit share a key in the band of the smaller one."""
     import numpy as np
@@ -70,6 +113,9 @@ def test_block_keys_meet_at_the_limit():
             assert len(np.intersect1d(jaccard_join.set_keys(a, 80, 100), jaccard_join.set_keys(b, 80, 100)))
             grown = np.unique(np.concatenate([a, rng.integers(0, 1 << 64, n // 4, dtype=np.uint64)]))
             assert len(np.intersect1d(jaccard_join.set_keys(a, 80, 100), jaccard_join.set_keys(grown, 80, 100)))
+            common = np.sort(jaccard_join.set_keys(a, 80, 100, whole=True)[::2])  # any list of common keys will do
+            assert len(np.intersect1d(jaccard_join.set_keys(a, 80, 100, common), jaccard_join.set_keys(b, 80, 100, common)))
+            assert len(np.intersect1d(jaccard_join.set_keys(a, 80, 100, common), jaccard_join.set_keys(grown, 80, 100, common)))
 
 
 def test_empty_tables(spark):
