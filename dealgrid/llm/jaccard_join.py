@@ -141,20 +141,32 @@ def _named(column, width: int, bits: int, clash: frozenset[int], seen: set[int])
                 yield node, s
 
 
+def _portions(items, size, limit: int = 1 << 22):
+    """Lists of consecutive items of about ``limit`` bytes, so that what a task hands out
+    at a time does not follow the length of the texts in a batch."""
+    held, total = [], 0
+    for x in items:
+        held.append(x)
+        total += size(x)
+        if total >= limit:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def _describe(width: int, bits: int):
+    def described(row, s):
+        return (row, len(s), *identity(s, bits), dense_sketch(s)) if len(s) else (row, 0, None, None, None)
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            n, k1, k2, sk = [], [], [], []
-            for _, s in shingle_sets(batch.column(1), width):
-                n.append(len(s))
-                a, b = identity(s, bits) if len(s) else (None, None)
-                k1.append(a)
-                k2.append(b)
-                sk.append(dense_sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(sk, pa.binary())], ["doc_id", "n", "node", "check", "sketch"])
+            rows = (described(row, s) for row, s in shingle_sets(batch.column(1), width))
+            for part in _portions(rows, lambda x: len(x[4] or b"") + 64):
+                row, n, node, check, sketch = zip(*part)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row[0], len(row)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                     pa.array(check, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "node", "check", "sketch"])
     return run
 
 
@@ -186,13 +198,11 @@ def _keys(width: int, num: int, den: int, bits: int, clash: frozenset[int], comm
     def run(batches):
         seen: set[int] = set()  # sets of this task: copies give their keys once
         for batch in batches:
-            keys, nodes = [], []
-            for node, s in _named(batch.column(0), width, bits, clash, seen):
-                k = set_keys(s, num, den, common)
-                keys.append(k)
-                nodes.append(np.full(len(k), node, dtype=np.int64))
-            if keys:
-                k, v = np.concatenate(keys), np.concatenate(nodes)
+            named = _named(batch.column(0), width, bits, clash, seen)
+            keyed = ((node, set_keys(s, num, den, common)) for node, s in named)
+            for part in _portions(keyed, lambda x: x[1].nbytes):
+                k = np.concatenate([x for _, x in part])
+                v = np.repeat(np.array([node for node, _ in part], dtype=np.int64), [len(x) for _, x in part])
                 salt = np.where(is_in(k, common), 1 + (v & 4095), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(v), pa.array(salt)], ["bucket", "node", "salt"])
     return run
@@ -202,9 +212,9 @@ def _sets(width: int, bits: int, clash: frozenset[int]):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            pairs = list(_named(batch.column(0), width, bits, clash, seen))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pairs], pa.int64()),
-                                              pa.array([s.tobytes() for _, s in pairs], pa.binary())], ["node", "members"])
+            for part in _portions(_named(batch.column(0), width, bits, clash, seen), lambda x: x[1].nbytes):
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int64()),
+                                                  pa.array([s.tobytes() for _, s in part], pa.binary())], ["node", "members"])
     return run
 
 

@@ -94,6 +94,8 @@ def test_jaccard_join_with_common_passages_and_clashing_names(spark, monkeypatch
         texts.append(" ".join(base))
     ids = rng.sample(range(1000), len(texts))
     monkeypatch.setattr(jaccard_join, "PART", 6)
+    portions = jaccard_join._portions
+    assert [len(x) for x in portions(range(10), lambda x: 1, 4)] == [4, 4, 2] and not list(portions([], len))
     frame = docs(spark, list(zip(ids, texts))).coalesce(2)
     assert len(jaccard_join._common_keys(frame.select("doc_id", "text"), 5, 80, 100, bits, frozenset()))
     got = jaccard_join.jaccard_classes(frame, bits=bits).collect()
