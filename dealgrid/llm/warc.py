@@ -21,7 +21,6 @@ from dealgrid.llm.common import small_side, written
 
 CHUNK = 128 << 10
 MIN_REVISIT = 1000      # bytes from which equal payloads are stored once
-FILE_RECORDS = 20_000   # records of an archive file, at most
 DATE = "2024-01-01T00:00:00Z"
 _FLUSH = 8 << 20
 
@@ -98,9 +97,12 @@ def _records(size: int):
 
 
 def write_warc(pages: DataFrame, path: str, chunk: int = CHUNK, min_revisit: int = MIN_REVISIT) -> None:
-    """Archive files of ``pages`` (page_id, url, html) below ``path``, gzip-compressed."""
+    """Archive files of ``pages`` (page_id, url, html) below ``path``, gzip-compressed.
+
+    A task writes one file, which its read partition bounds: the text writer counts rows, so
+    that rolling to a new file (whatever the session sets) could part a payload's chunks."""
     records = record_plan(pages, min_revisit).mapInArrow(_records(chunk), "value string")
-    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 0).text(path)
 
 
 def _parse(batches):

@@ -280,6 +280,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want, key=lambda x: x[:4])
 
 
+def test_warc_files_hold_whole_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 3, raising=False)
+    html = [(i, chr(97 + i) * (50 + 97 * i)) for i in range(12)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in html], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        warc.write_warc(pages.coalesce(1), str(tmp_path / "w"), chunk=97)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / "w")).collect())
+    assert got == [(i, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, h in html]
+
+
 def test_mix_reaches_targets(spark):
     rows = [(i, "w " * (1 + i % 9), "a" if i % 3 else ("b" if i % 2 else None)) for i in range(900)] + [(None, None, "c"), (5000, "", "c")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
