@@ -12,8 +12,8 @@ is probed.  Items give a fingerprint for every offset.
 Fingerprints are looked up by four 16-bit blocks, each also under its 16 neighbours with one
 bit changed: two fingerprints within 7 bits agree in a block up to one bit (pigeonhole), so
 *every* pair within the radius is found; the distance is then computed, and what is left is
-verified exactly on the shingles of the whole window, over all shifts that the lost
-shingles allow.
+verified exactly: every item-sized window that contains the shared run, wherever in the
+window the item has it, since similarity does not ask for order and parts may be swapped.
 
 All of a document's windows are in its own task and the items are broadcast in blocks of
 bounded size, so documents are never shuffled.
@@ -34,10 +34,12 @@ _ONE = (1 << np.arange(16)).astype(np.int64)
 
 
 def untouched(n: int, num: int, den: int) -> int:
-    """Shingles in a row that an item of n shingles must share with a window that matches."""
-    lost = n * (den - num) // (den + num)
-    gaps = lost // 4
-    return max(1, min(n - lost, -(-(n - lost) // (gaps + 1))))
+    """Shingles in a row that an item of n shingles must share with a window that matches,
+    be it of n shingles or cut by the text's ends."""
+    def run(size: int) -> int:
+        both = -(-num * (n + size) // (num + den))
+        return -(-both // ((size - both) // 4 + 1))
+    return max(1, min(run(size) for size in range(-(-n * num // den), n + 1)))
 
 
 def window_class(n: int, num: int, den: int) -> tuple[int, int]:
@@ -72,14 +74,14 @@ class ItemIndex:
         for k, s in enumerate(self.shingles):
             by_class.setdefault(window_class(len(s), num, den), []).append(k)
         self.classes = []
+        self.widths = [window_class(len(s), num, den)[0] for s in self.shingles]
         for (width, stride), members in sorted(by_class.items()):
-            fps, item, offset = [], [], []
+            fps, item = [], []
             for k in members:
                 count = len(self.shingles[k]) - width + 1
                 fps.append(fingerprints(shingle_bits(self.shingles[k]), slice(0, None), width, count, 1))
                 item.append(np.full(count, k))
-                offset.append(np.arange(count))
-            fps, item, offset = (np.concatenate(x) for x in (fps, item, offset))
+            fps, item = (np.concatenate(x) for x in (fps, item))
             tables = []
             for b in range(4):
                 value = ((fps >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -88,14 +90,14 @@ class ItemIndex:
                 order = np.argsort(near, kind="stable")
                 starts = np.searchsorted(near[order], np.arange(65537))
                 tables.append((starts, entry[order]))
-            self.classes.append((width, stride, fps, item, offset, tables))
+            self.classes.append((width, stride, fps, item, tables))
 
     def candidates(self, bits: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(item, place where the item would begin) of all windows within the radius.
+        """(item, first shingle) of all windows of the grid within the radius of one of the item.
         row: the text of each shingle; windows stay inside one text."""
         out = []
         n = len(row)
-        for width, stride, fps, item, offset, tables in self.classes:
+        for width, stride, fps, item, tables in self.classes:
             count = (n - width) // stride + 1 if n >= width else 0
             if not count:
                 continue
@@ -114,18 +116,37 @@ class ItemIndex:
                 near = np.bitwise_count(got[which] ^ fps[e]) <= RADIUS
                 which, e = which[near], e[near]
                 if len(e):
-                    out.append((item[e], at[which] - offset[e]))
+                    out.append((item[e], at[which]))
         return out
 
-    def similarity(self, k: int, window: np.ndarray) -> float:
-        """Weighted Jaccard similarity of item k and a run of shingles."""
+    def similarities(self, k: int, text: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, weighted Jaccard similarity) of item k and the item-sized windows that
+        begin at first..last, cut at the text's ends.
+
+        A shingle counts in a window if it is among the first there of as many equals as the
+        item has; it does so for the windows that begin after the equal shingle which is that
+        many back, so one running sum gives all windows."""
         own, own_n = self.counted[k]
-        if len(window) == len(self.shingles[k]) and np.array_equal(window, self.shingles[k]):
-            return 1.0
-        other, other_n = np.unique(window, return_counts=True)
-        at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-        both = int(np.minimum(own_n[at], other_n)[own[at] == other].sum())
-        return both / (int(own_n.sum()) + int(other_n.sum()) - both)
+        n = len(self.shingles[k])
+        lo, hi = max(first, 0), min(last + n, len(text))
+        part = text[lo:hi]
+        at = np.minimum(np.searchsorted(own, part), len(own) - 1)
+        mine = np.flatnonzero(own[at] == part)
+        mine = mine[np.argsort(at[mine], kind="stable")]
+        which = at[mine]
+        back = np.arange(len(mine)) - own_n[which]
+        there = (back >= 0) & (which[back] == which)
+        place = mine + lo
+        since = np.where(there, place[back] + 1, first)
+        since, until = np.maximum(np.maximum(since, place - n + 1), first), np.minimum(place, last) + 1
+        counts = since < until
+        steps = np.zeros(last - first + 2, dtype=np.int64)
+        np.add.at(steps, since[counts] - first, 1)
+        np.add.at(steps, until[counts] - first, -1)
+        both = np.cumsum(steps[:-1])
+        start = np.arange(first, last + 1)
+        begin, end = np.maximum(start, 0), np.minimum(start + n, len(text))
+        return begin, end, both / (n + end - begin - both)
 
     def matches(self, shingles: np.ndarray, row: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """(text, item) -> (best similarity, shingle of the text where that window begins)."""
@@ -133,24 +154,22 @@ class ItemIndex:
         pairs = self.candidates(shingle_bits(shingles), row) if len(shingles) else []
         if not pairs:
             return found
-        items, places = (np.concatenate(x) for x in zip(*pairs))
-        for k, place in np.unique(np.stack([items, places]), axis=1).T.tolist():
-            n = len(self.shingles[k])
-            shift = n * (self.den - self.num) // (self.den + self.num)
-            r = int(row[min(max(place + n // 2, 0), len(row) - 1)])
-            lo, hi = int(ends[r - 1]) if r else 0, int(ends[r])
+        items, seeds = (np.concatenate(x) for x in zip(*pairs))
+        seen = np.unique(np.stack([row[seeds], items, seeds]), axis=1)
+        new = np.any(seen[:2, 1:] != seen[:2, :-1], axis=0)
+        # Seeds of a text and item less than an item apart: their windows are one range.
+        apart = seen[2, 1:] - seen[2, :-1] >= np.array([len(x) for x in self.shingles])[seen[1, 1:]]
+        cut = np.concatenate(([0], np.flatnonzero(new | apart) + 1, [seen.shape[1]]))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            r, k = int(seen[0, x]), int(seen[1, x])
+            n, lo = len(self.shingles[k]), int(ends[r - 1]) if r else 0
+            first, last = int(seen[2, x]) - lo + self.widths[k] - n, int(seen[2, y - 1]) - lo
+            begin, end, sim = self.similarities(k, shingles[lo:int(ends[r])], first, last)
+            sim[(end - begin < n * self.num // self.den) | (sim * self.den < self.num)] = 0
+            top = int(np.argmax(sim))
             best = found.get((r, k), (0.0, 0))
-            for s in sorted(range(place - shift, place + shift + 1), key=lambda x: abs(x - place)):
-                if best[0] == 1.0:
-                    break
-                a, b = max(s, lo), min(s + n, hi)
-                if b - a < n * self.num // self.den:
-                    continue
-                sim = self.similarity(k, shingles[a:b])
-                if sim * self.den >= self.num and (sim > best[0] or sim == best[0] and a - lo < best[1]):
-                    best = (sim, a - lo)
-            if best[0]:
-                found[(r, k)] = best
+            if sim[top] > best[0]:  # ranges come in order: the first of equals stays
+                found[r, k] = (float(sim[top]), int(begin[top]))
         return found
 
 

@@ -190,6 +190,55 @@ def test_decontamination_finds_planted_windows(spark):
     assert kept == {3, 5, 6, 7}
 
 
+def test_decontamination_equals_all_windows(spark):
+    """Items with parts swapped, inserted, deleted, doubled and cut by the text's ends, and
+    items that repeat words, against every item-sized window."""
+    import random
+    from collections import Counter
+    rng = random.Random(5)
+    items, texts = {}, []
+    for k, n in enumerate([12, 30, 40, 55, 59, 63, 90, 150, 300]):
+        items[k] = [f"i{k}_{i if k % 4 else i % (n - 5)}" for i in range(n)]
+        for kind in ("swap", "swap", "thirds", "insert", "delete", "double", "cut", "same"):
+            w, at = list(items[k]), rng.randrange(n // 4, 3 * n // 4)
+            if kind == "swap":
+                w = w[at:] + w[:at]
+            elif kind == "thirds":
+                w = w[2 * n // 3:] + w[n // 3:2 * n // 3] + w[:n // 3]
+            elif kind == "insert":
+                w = w[:at] + [f"x{i}" for i in range(n // 20 + 1)] + w[at:]
+            elif kind == "delete":
+                w = w[:at] + w[at + n // 20 + 1:]
+            elif kind == "double":
+                w = w[at:] + w + w[:at]
+            elif kind == "cut":
+                w = w[n // 10:]
+            fill = [[f"f{rng.randrange(50)}" for _ in range(0 if kind == "cut" and i == 0 else rng.randrange(40, 90))] for i in range(2)]
+            texts.append((len(texts), " ".join(fill[0] + w + fill[1])))
+
+    def grams(w):
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for i, t in texts:
+        text = grams(t.split())
+        for k, w in items.items():
+            own, n = Counter(grams(w)), len(w) - 4
+            best = (0, 0)
+            for s in range(1 - n, len(text)):
+                part = text[max(s, 0):s + n]
+                both = (own & Counter(part)).total() if own.keys() & set(part) else 0
+                if 100 * both >= 80 * (n + len(part) - both):
+                    best = max(best, (both / (n + len(part) - both), -max(s, 0)))
+            if best[0]:
+                want[i, k] = (best[0], -best[1], len(w))
+    assert len(want) >= 50
+    given = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in decontaminate.leaks(docs(spark, texts), given).collect()}
+    assert got == want
+    kept = {r.doc_id for r in decontaminate.without_leaks(docs(spark, texts), given).collect()}
+    assert kept == {i for i, _ in texts} - {i for i, _ in want}
+
+
 def test_toxicity_learns_on_held_out_rows(spark):
     clean = [f"plain words number {i} in a text of its own" for i in range(600)]
     rows = [(i, t + (" you idiot" if i % 5 == 1 else "")) for i, t in enumerate(clean)] + [(None, None), (9999, "")]
