@@ -302,6 +302,22 @@ def test_licenses_equal_plain_search(spark):
     assert got[1, "GPL-3.0"][1] == 3 and got[2, "MIT"][1] == 0
 
 
+def test_license_texts_and_short_lines(spark):
+    from dealgrid.llm.license_texts import TEXTS
+    fill = " ".join(f"t{i}" for i in range(700))
+    lines = {"MIT (licensed under the MIT License)": "Licensed under the MIT License", "Reserved (All rights reserved.)": "All rights reserved.",
+             "BSD-3-Clause (SPDX)": "SPDX-License-Identifier: BSD-3-Clause", "GPL-3-header": license_scan.REGISTERED["GPL-3-header"]}
+    lines |= {f"{name}-text": text for name, text in TEXTS.items()}
+    assert {"MIT", "BSD-3-Clause", "MPL-2.0", "LGPL-2.1", "ISC", "Apache-2.0", "GPL-3.0"} <= set(TEXTS)
+    rows = [(i, f"{fill} {line} {fill}") for i, line in enumerate(lines.values())]
+    got = {(r.doc_id, r.license): (r.containment, r.start_word) for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    for i, name in enumerate(lines):
+        assert got[i, name] == (1.0, 700), name
+    custom = license_scan.scan_licenses(docs(spark, [(1, "x All Rights reserved. y all rights reserved."), (2, "all rights"), (3, "all rights reserved.")]),
+                                        {"r": "All rights reserved."}).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_places) for r in custom) == [(1, 1, 2), (3, 0, 1)]
+
+
 def test_url_edges(spark):
     urls = ["https://A.Example.COM/en/x?y#z", "http://www.example.com/en/", "ftp://x.net/fr/1", "http://x.net", "no scheme", None, "http:///en/",
             "https://example.com.evil.org/en/", "https://notexample.com/en/"]
