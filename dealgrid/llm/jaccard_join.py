@@ -353,18 +353,9 @@ def _common_keys(src: DataFrame, width: int, num: int, den: int, bits: int, clas
     return np.sort(often.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_id, component_id.
-
-    Two documents link when ``den * |A and B| >= num * |A or B|`` of their distinct
-    ``width``-word shingles; component_id is the smallest doc_id that a document reaches by
-    links, class_id the smallest doc_id with exactly its set.
-
-    Null and empty texts (and texts without a word) have an empty set, link with nothing and
-    are their own component and class.  bits: length of the sets' short names (see ``identity``).  A text of under ``width`` words has one shingle, the
-    whole sequence.  Rows with a null doc_id take part; a component made of such rows only
-    has a null id.  Repeated rows give repeated rows.  Extra columns are ignored.
-    """
+def _meetings(docs: DataFrame, width: int, num: int, den: int, bits: int):
+    """(rows, classes, (bucket, node, low) of buckets with two classes or more, sketches of
+    these, a function that leaves the linked ones of a table of pairs)."""
     src = text_only(docs)
     described = written(src.mapInArrow(_describe(width, bits), "doc_id long, n long, node long, check long, sketch binary"), "jaccard-rows")
 
@@ -399,7 +390,22 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     def verified(pairs: DataFrame) -> DataFrame:
         return written(_with_both(pairs, members, ["members"]).mapInArrow(_verify(num, den), "a long, b long"), "jaccard-links")
+    return rows, sets, meet, sketches, verified
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, class_id, component_id.
 
+    Two documents link when ``den * |A and B| >= num * |A or B|`` of their distinct
+    ``width``-word shingles; component_id is the smallest doc_id that a document reaches by
+    links, class_id the smallest doc_id with exactly its set.
+
+    Null and empty texts (and texts without a word) have an empty set, link with nothing and
+    are their own component and class.  bits: length of the sets' short names (see ``identity``).  A text of under ``width`` words has one shingle, the
+    whole sequence.  Rows with a null doc_id take part; a component made of such rows only
+    has a null id.  Repeated rows give repeated rows.  Extra columns are ignored.
+    """
+    rows, sets, meet, sketches, verified = _meetings(docs, width, num, den, bits)
     star = meet.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     star = _with_both(star, sketches, ["n", "sketch"]).mapInArrow(_near(num, den), "a long, b long")
     links = verified(star)
@@ -449,3 +455,36 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return out.join(salted, ["node", "salt"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(links, members): every linked pair of different sets, and the documents of the sets.
+
+    links has one row (a, b), a < b, for each pair of classes that link; members one row per
+    input row: doc_id, n_shingles, node (the name of its set, null if it is empty) and n_links,
+    the number of other rows that it links with: those of its own class and of the linked ones.
+    Rows are counted as they come, also repeated ones and those with a null doc_id.
+
+    All pairs of a bucket are compared, part by part, also inside a component: the work and
+    the rows of links grow with the number of pairs that do link."""
+    rows, _, meet, sketches, verified = _meetings(docs, width, num, den, bits)
+    meet = written(meet.select("bucket", "node"), "jaccard-meet")
+    sizes = written(meet.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("q")), "jaccard-parts")
+    parts = (meet.join(sizes, "bucket").withColumn("c", F.expr("cast(pmod(xxhash64(node), q) as int)"))
+             .withColumn("o", F.explode(F.expr("sequence(0, q - 1)")))
+             .select(F.expr("xxhash64(bucket, least(c, o), greatest(c, o))").alias("g"), "node",
+                     F.expr("if(c = o, -1, if(c < o, 0, 1))").cast("int").alias("side")))
+    # Each class is its own root: no pair is passed over.
+    parts = (parts.join(sketches, "node").select("g", "node", F.col("node").alias("root"), "n", "side", "sketch")
+             .repartition("g").sortWithinPartitions("g"))
+    links = verified(parts.mapInArrow(_close_pairs(num, den), "a long, b long").distinct())
+    held = written(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("size")), "jaccard-sizes")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(held.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
+    named = held.join(others, F.col("node") == F.col("a"), "left").select(
+        "node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    salts = 16
+    salted = named.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
+    out = rows.select("doc_id", "n", "node").withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {salts}) as int)"))
+    return links, out.join(salted, ["node", "salt"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -30,6 +30,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))[1].select("doc_id", "n_shingles", "n_links")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -61,5 +65,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_benchmark_decontamination, op2_url_filter, op3_toxicity, op4_ngram_jaccard_join, op5_line_dedup, op6_language_id, op7_license_scan, op8_warc,
+        op1_benchmark_decontamination, op2_url_filter, op3_toxicity, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_line_dedup, op6_language_id, op7_license_scan, op8_warc,
         op9_source_mixing, op10_quality_rules)}

@@ -102,6 +102,29 @@ def test_jaccard_join_with_common_passages_and_clashing_names(spark, monkeypatch
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(texts, ids)
 
 
+@pytest.mark.parametrize("bits", [64, 5])
+def test_jaccard_links_are_all_pairs(spark, monkeypatch, bits):
+    """Variants of one text, all in one component, copies among them: every link counts."""
+    import random
+    rng = random.Random(7)
+    texts = []
+    for k in range(30):
+        there = [f"b{i}" for i in range(120)]
+        for at in rng.sample(range(120), rng.randrange(0, 4)):
+            there[at] = f"x{k}"
+        texts += [" ".join(there)] * rng.choice((1, 1, 2))
+    texts += [None, "", "one two", "one two", BASE, NEAR]
+    monkeypatch.setattr(jaccard_join, "PART", 6)
+    links, members = jaccard_join.jaccard_links(docs(spark, list(enumerate(texts))).coalesce(2), bits=bits)
+    sets = [shingles(t) for t in texts]
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 80 * len(a | b)}
+    got = members.collect()
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == [(i, len(s), sum(x == i for x, _ in near)) for i, s in enumerate(sets)]
+    node = {r.doc_id: r.node for r in got}
+    want = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in near if sets[i] != sets[j]}
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted(want) and len(want) > 40
+
+
 def test_block_keys_meet_at_the_limit():
     """Random sets at the similarity limit share a key in the band of the smaller one."""
     import numpy as np
