@@ -82,4 +82,27 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept FROM b
 """
 
-ORACLE = {"op2_url_filter": OP2, "op4_ngram_jaccard_join": OP4, "op5_line_dedup": OP5, "op8_warc": OP8, "op9_source_mixing": OP9, "op10_quality_rules": OP10}
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT text, min(doc_id) AS least FROM d GROUP BY 1),
+f AS (SELECT d.doc_id, part, good, toxic, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+  100 * length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) > 2 * length(d.text), regexp_matches(d.text, '[#$%&*|]'),
+  coalesce(d.doc_id > least, false)] AS fails FROM d JOIN m ON d.text = m.text LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n,
+  len(list_filter(fails, lambda x: x)) AS bad FROM f GROUP BY ALL),
+v(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM v a, v b, v c, v d, v e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, ascii(substr(filter_order, step, 1)) - 64 AS own,
+  [ascii(y) - 64 for y in string_split(substr(filter_order, 1, step - 1), '') if y <> ''] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+j AS (SELECT part, filter_order, step::INTEGER AS step, fails[own] AS own_fails, len(list_filter(before, lambda b: fails[b])) > 0 AS earlier, good, toxic, n, bad FROM c, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT own_fails AND NOT earlier), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (own_fails AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (own_fails AND earlier), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (own_fails AND bad = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n * good) FILTER (own_fails AND NOT earlier), 0)::BIGINT AS good_lost,
+  coalesce(sum(n * toxic) FILTER (own_fails AND NOT earlier), 0)::BIGINT AS toxic_lost, coalesce(sum(n * 120 // greatest(bad, 1)) FILTER (own_fails), 0)::BIGINT AS shapley
+FROM j GROUP BY 1, 2, 3
+"""
+
+ORACLE = {"op2_url_filter": OP2, "op4_ngram_jaccard_join": OP4, "op5_line_dedup": OP5, "op8_warc": OP8, "op9_source_mixing": OP9, "op10_quality_rules": OP10,
+          "op12_filter_audit": OP12}
