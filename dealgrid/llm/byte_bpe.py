@@ -36,11 +36,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dealgrid.llm.common import text_only
+from dealgrid.llm.text import spans
 
 # The functions of this module travel with the job: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_PIECES = 4 << 20  # pieces of a block: about 25 MB of text, and one longer text
+BLOCK_PIECES = 1 << 20  # pieces of a block: about 5 MB of text, or one longer text
+SEARCH_BYTES = 1 << 20  # bytes of words that are looked up at a time
 PLACE = 0x10000         # token id -> character: all of them take four bytes of UTF-8
 
 
@@ -166,7 +168,10 @@ def _split_blocks(pattern: str, tokens: list[bytes | None], mergeable: list[bool
             words = words.filter(pa.array(other))
             offsets = np.concatenate(([0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))))
             raw = np.frombuffer(b"".join(words.to_pylist()), dtype=np.uint8)
-            word, rank = search.find(raw, offsets)
+            found = [(lo, *search.find(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]))
+                     for lo, hi in spans(offsets, SEARCH_BYTES)]
+            word = np.concatenate([lo + w for lo, w, _ in found]) if found else np.zeros(0, np.int64)
+            rank = np.concatenate([r for _, _, r in found]) if found else np.zeros(0, np.int64)
             start = pa.StringArray.from_buffers(len(words), pa.py_buffer((offsets * 4).astype(np.int32)),
                                                 pa.py_buffer(_four_bytes(byte_ids[raw]).reshape(-1).data))
             merges = _lists(rank, np.bincount(word, minlength=len(words)), pa.int32())
@@ -219,6 +224,18 @@ def _ids_of(size: int, limit: int = 1 << 20):
     return run
 
 
+def _folded(docs: DataFrame, vocabulary: Vocabulary, pattern: str, block_pieces: int) -> DataFrame:
+    """Blocks of documents with the merged words."""
+    mergeable = [p is not None for p in vocabulary.pairs]
+    blocks = docs.mapInArrow(
+        _split_blocks(pattern, vocabulary.tokens, mergeable, vocabulary.byte_ids, block_pieces),
+        "doc_id array<long>, n_pieces array<int>, code array<int>, words array<string>, merges array<array<int>>")
+    pair, char = vocabulary.literals()
+    # The fold: of each word, its merges in the order of their ranks.
+    return blocks.select("doc_id", "n_pieces", "code", F.zip_with("words", "merges", lambda word, ranks: F.aggregate(
+        ranks, word, lambda w, rank: F.replace(w, F.get(pair, rank), F.get(char, rank)))).alias("folded"))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """One row per input row: doc_id and ids, the token ids of the whole text.
@@ -229,15 +246,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     a million characters costs a few thousand replacements of its whole length.  Special tokens
     are ordinary text.
     """
-    mergeable = [p is not None for p in vocabulary.pairs]
-    blocks = text_only(docs, id_col, text_col).mapInArrow(
-        _split_blocks(pattern, vocabulary.tokens, mergeable, vocabulary.byte_ids, block_pieces),
-        "doc_id array<long>, n_pieces array<int>, code array<int>, words array<string>, merges array<array<int>>")
-    pair, char = vocabulary.literals()
-    # The fold: of each word, its merges in the order of their ranks.
-    folded = blocks.select("doc_id", "n_pieces", "code", F.zip_with("words", "merges", lambda word, ranks: F.aggregate(
-        ranks, word, lambda w, rank: F.replace(w, F.get(pair, rank), F.get(char, rank)))).alias("folded"))
-    return folded.mapInArrow(_ids_of(len(vocabulary.tokens)), "doc_id long, ids array<int>")
+    return _folded(text_only(docs, id_col, text_col), vocabulary, pattern, block_pieces).mapInArrow(
+        _ids_of(len(vocabulary.tokens)), "doc_id long, ids array<int>")
 
 
 def _bytes_of(ids: pa.ListArray, known: pa.Array) -> pa.Array:
@@ -298,8 +308,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
     return rows.mapInArrow(_decode(vocabulary.tokens, rows.columns.index(ids_col)), schema)
 
 
-def token_report(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> DataFrame:
+def token_report(docs: DataFrame, vocabulary: Vocabulary, pattern: str, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and
-    decoded_sha256 (the bytes decoded from the ids)."""
-    return encode(docs, vocabulary, pattern).mapInArrow(
-        _report(vocabulary.tokens), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    decoded_sha256 (the bytes decoded from the ids).  Encodes, decodes and digests in one step
+    of the same worker: no table of ids is written or sent on."""
+    ids, report = _ids_of(len(vocabulary.tokens)), _report(vocabulary.tokens)
+    return _folded(text_only(docs), vocabulary, pattern, block_pieces).mapInArrow(
+        lambda batches: report(ids(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
