@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dealgrid.llm import (
-    byte_bpe, decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, quality_rules, source_mix, toxicity, url_filter, warc)
+    byte_bpe, decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, quality_rules, source_mix, toxicity, url_filter, warc, whitening)
 from dealgrid.llm.common import table
 from dealgrid.llm.oracle import ORACLE  # noqa: F401
 from dealgrid.session import scratch_path
@@ -63,6 +63,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,4 +81,4 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_benchmark_decontamination, op2_url_filter, op3_toxicity, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_line_dedup, op6_language_id, op7_license_scan, op8_warc,
-        op9_source_mixing, op10_quality_rules, op12_filter_audit, op13_byte_bpe)}
+        op9_source_mixing, op10_quality_rules, op11_embedding_whitening, op12_filter_audit, op13_byte_bpe)}
