@@ -36,13 +36,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dealgrid.llm.common import text_only
-from dealgrid.llm.text import spans
 
 # The functions of this module travel with the job: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_PIECES = 1 << 20  # pieces of a block: about 5 MB of text, or one longer text
-SEARCH_BYTES = 1 << 20  # bytes of words that are looked up at a time
+SEARCH_WORDS = 1 << 17  # words that are looked up at a time
 PLACE = 0x10000         # token id -> character: all of them take four bytes of UTF-8
 
 
@@ -168,8 +167,10 @@ def _split_blocks(pattern: str, tokens: list[bytes | None], mergeable: list[bool
             words = words.filter(pa.array(other))
             offsets = np.concatenate(([0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))))
             raw = np.frombuffer(b"".join(words.to_pylist()), dtype=np.uint8)
-            found = [(lo, *search.find(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]))
-                     for lo, hi in spans(offsets, SEARCH_BYTES)]
+            found = []
+            for lo in range(0, len(words), SEARCH_WORDS):
+                cut = offsets[lo:lo + SEARCH_WORDS + 1]
+                found.append((lo, *search.find(raw[cut[0]:cut[-1]], cut - cut[0])))
             word = np.concatenate([lo + w for lo, w, _ in found]) if found else np.zeros(0, np.int64)
             rank = np.concatenate([r for _, _, r in found]) if found else np.zeros(0, np.int64)
             start = pa.StringArray.from_buffers(len(words), pa.py_buffer((offsets * 4).astype(np.int32)),
