@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 
 from dealgrid.operators import features as fe
 from dealgrid.operators import insights as ins
+from dealgrid.operators import ivf
 from dealgrid.operators import metrics as me
 from dealgrid.operators import ml
 from dealgrid.operators import presentation as pr
@@ -460,6 +461,26 @@ def _q(c): return rv.chunk_stats(rv.documents_view(c.extra["tables"].documents),
 def _q(c): return rv.vector_hits(c.extra["tables"].embeddings)
 
 
+def _ivf(c: CRM):
+    """Questions: every vector whose id is divisible by 20, against all vectors."""
+    questions, corpus = rv.vector_split(c.extra["tables"].embeddings)
+    questions = questions.where(F.col("question_id") % 20 == 0)
+    return (*ivf.index_and_search(c.leads.sparkSession, corpus, questions, exclude_self=True), questions, corpus)
+
+
+@query("topk_cosine_ivf")
+def _q(c):
+    return _ivf(c)[1].withColumn("similarity", F.round("similarity", 6))
+
+
+@query("topk_cosine_ivf_recall")
+def _q(c):
+    index, hits, questions, corpus = _ivf(c)
+    measured = ivf.recall(hits, rv.topk_cosine(questions, corpus, exclude_self=True))
+    return measured.select(index.agg(F.count("*")).scalar().alias("indexed_rows"), "questions", F.col("wanted").cast("long").alias("wanted"),
+                           (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("retrieval_sources")
 def _q(c): return rv.retrieval_sources(rv.vector_hits(c.extra["tables"].embeddings))
 
