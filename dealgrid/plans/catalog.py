@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from dealgrid.operators import features as fe
 from dealgrid.operators import insights as ins
 from dealgrid.operators import ivf
+from dealgrid.operators import postings as po
 from dealgrid.operators import metrics as me
 from dealgrid.operators import ml
 from dealgrid.operators import presentation as pr
@@ -461,6 +462,22 @@ def _q(c): return rv.chunk_stats(rv.documents_view(c.extra["tables"].documents),
 def _q(c): return rv.vector_hits(c.extra["tables"].embeddings)
 
 
+def _postings(c: CRM):
+    chunks = rv.chunk_documents(rv.documents_view(c.extra["tables"].documents), source_col="source_file")
+    return po.build_postings(chunks)
+
+
+@query("embed_chunks_sparse")
+def _q(c):
+    return _postings(c)[0]
+
+
+@query("text_topk_sparse")
+def _q(c):
+    questions = c.extra["tables"].benchmark.select(F.col("item_id").alias("question_id"), "text")
+    return po.topk(questions, *_postings(c))
+
+
 def _ivf(c: CRM):
     """Questions: every vector whose id is divisible by 20, against all vectors."""
     questions, corpus = rv.vector_split(c.extra["tables"].embeddings)
