@@ -28,11 +28,14 @@ Steps (all shared state is written to the shared folder):
 3. the block keys of each class, grouped by key; keys held by one class are dropped.  Rows
    of common keys are dealt by key and class, so that no task holds a hot bucket;
 4. star: each class with the smallest class of its bucket, then components;
-5. of buckets that still hold several components, all pairs across components whose dense
-   sketches are close enough are verified; buckets of more than ``PART`` classes are cut
-   into parts that are compared part by part in different tasks, and the largest
-   component's parts meet only parts of the others;
-6. candidates are verified on the whole shingle sets; components again.
+5. of buckets that still hold several components, all pairs across components are compared
+   by their dense sketches; buckets of more than ``PART`` classes are cut into parts that are
+   compared part by part in different tasks, and the largest component's parts meet only
+   parts of the others.  A task hands out a spanning forest of the close pairs, the nearest
+   first: fewer rows than classes, however many pairs are close;
+6. these are verified on the whole shingle sets, and their components joined.  In groups
+   where one of them is no link, all close pairs that are still in different components are
+   verified; in the others the links have joined all that is close.
 
 A pair is skipped only if its classes are in one component already, so no link is lost.
 Classes are named by 64 bits of their identity; the few sets that share them (one pair is
@@ -252,59 +255,105 @@ def _groups(batches):
         yield held
 
 
+def _close(t: pa.Table, num: int, den: int):
+    """(i, j, apart): places in a table (group, node, root, n, side, sketch) of whole groups of
+    the pairs in different components that size and dense sketch allow."""
+    group, node, root, n, side = (t.column(i).to_numpy() for i in range(5))
+    raw = t.column(5).to_pylist()
+    # All sketches are folded to the shortest of the chunk's groups, group by group.
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(first, len(group)))
+    wide = np.repeat(np.minimum.reduceat([len(x) for x in raw], first), size)
+    end = np.repeat(first + size, size)
+    at = np.arange(len(group))
+    by_width = {}
+    for w in np.unique(wide).tolist():
+        rows = np.flatnonzero(wide == w)
+        m = np.empty((len(rows), w // 8), dtype=np.uint64)
+        for i, r in enumerate(rows.tolist()):
+            s = np.frombuffer(raw[r], dtype=np.uint64)
+            while len(s) > w // 8:
+                s = s[:len(s) // 2] ^ s[len(s) // 2:]
+            m[i] = s
+        by_width[w] = (rows, m)
+    place = np.empty(len(group), dtype=np.int64)
+    for rows, _ in by_width.values():
+        place[rows] = np.arange(len(rows))
+    out = [(np.zeros(0, np.int64),) * 3]
+    for step in range(1, int(size.max())):
+        i = at[at + step < end]
+        j = i + step
+        ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] < 0))
+        i, j = i[ok], j[ok]
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = small * den >= large * num
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        for w, (_, m) in by_width.items():
+            here = wide[i] == w
+            x, y = i[here], j[here]
+            for lo in range(0, len(x), 1 << 14):
+                p, q = x[lo:lo + (1 << 14)], y[lo:lo + (1 << 14)]
+                apart = np.bitwise_count(m[place[p]] ^ m[place[q]]).sum(axis=1, dtype=np.int64)
+                near = apart * (den + num) <= (n[p] + n[q]) * (den - num)
+                out.append((p[near], q[near], apart[near]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _close_pairs(num: int, den: int):
     """Pairs of a group in different components, by size and dense sketch."""
     def run(batches):
         for t in _groups(batches):
-            group, node, root, n, side = (t.column(i).to_numpy() for i in range(5))
-            raw = t.column(5).to_pylist()
-            # All sketches are folded to the shortest of the chunk's groups, group by group.
-            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            size = np.diff(np.append(first, len(group)))
-            wide = np.repeat(np.minimum.reduceat([len(x) for x in raw], first), size)
-            end = np.repeat(first + size, size)
-            at = np.arange(len(group))
-            by_width = {}
-            for w in np.unique(wide).tolist():
-                rows = np.flatnonzero(wide == w)
-                m = np.empty((len(rows), w // 8), dtype=np.uint64)
-                for i, r in enumerate(rows.tolist()):
-                    s = np.frombuffer(raw[r], dtype=np.uint64)
-                    while len(s) > w // 8:
-                        s = s[:len(s) // 2] ^ s[len(s) // 2:]
-                    m[i] = s
-                by_width[w] = (rows, m)
-            place = np.empty(len(group), dtype=np.int64)
-            for rows, _ in by_width.values():
-                place[rows] = np.arange(len(rows))
-            a_out, b_out = [], []
-            for step in range(1, int(size.max())):
-                i = at[at + step < end]
-                j = i + step
-                ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] < 0))
-                i, j = i[ok], j[ok]
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                ok = small * den >= large * num
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                for w, (_, m) in by_width.items():
-                    here = wide[i] == w
-                    x, y = i[here], j[here]
-                    for lo in range(0, len(x), 1 << 14):
-                        p, q = x[lo:lo + (1 << 14)], y[lo:lo + (1 << 14)]
-                        apart = np.bitwise_count(m[place[p]] ^ m[place[q]]).sum(axis=1, dtype=np.int64)
-                        near = apart * (den + num) <= (n[p] + n[q]) * (den - num)
-                        a_out.append(node[p[near]])
-                        b_out.append(node[q[near]])
-            a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
-            b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            node = t.column(1).to_numpy()
+            i, j, _ = _close(t, num, den)
+            if len(i):
+                pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
     return run
 
 
+def _spanning(i: np.ndarray, j: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest (Boruvka; edges come in the order of
+    their weights): fewer than there are components."""
+    component, left, chosen = component.copy(), np.arange(len(i)), []
+    while True:
+        left = left[component[i[left]] != component[j[left]]]
+        if not len(left):
+            return np.concatenate(chosen) if chosen else left
+        best = np.full(int(component.max()) + 1, len(i), dtype=np.int64)
+        np.minimum.at(best, component[i[left]], left)
+        np.minimum.at(best, component[j[left]], left)
+        edges = np.unique(best[best < len(i)])
+        chosen.append(edges)
+        low = np.arange(len(best))
+        for a, b in zip(component[i[edges]].tolist(), component[j[edges]].tolist()):
+            while low[a] != a:
+                a = low[a]
+            while low[b] != b:
+                b = low[b]
+            low[max(a, b)] = min(a, b)
+        while (low[low] != low).any():
+            low = low[low]
+        component = low[component]
+
+
+def _nearest_pairs(num: int, den: int):
+    """(group, a, b): of the close pairs of a group, a spanning forest over its components, the
+    nearest first: fewer rows than the group has classes, however many pairs are close."""
+    def run(batches):
+        for t in _groups(batches):
+            group, node, root = (t.column(c).to_numpy() for c in range(3))
+            i, j, apart = _close(t, num, den)
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            order = np.lexsort((b, a, apart))
+            component = np.unique(np.stack([group, root]), axis=1, return_inverse=True)[1].reshape(-1)
+            edges = order[_spanning(i[order], j[order], component)]
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(group[i[edges]]), pa.array(a[edges]), pa.array(b[edges])], ["g", "a", "b"])
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -393,6 +442,20 @@ def _meetings(docs: DataFrame, width: int, num: int, den: int, bits: int):
     return rows, sets, meet, sketches, verified
 
 
+def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after links between components: contracted to their roots and connected."""
+    if links.isEmpty():
+        return roots
+    lifted = (links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+              .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+              .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    joined = components(lifted)
+    top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lone = joined.join(roots, "node", "left_anti").select("node", "root")
+    return written(roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+                   .unionByName(lone), "jaccard-final")
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id.
 
@@ -429,21 +492,20 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                                                   else q + q_top - 1 end as bigint))""")))
              .select(F.expr("xxhash64(bucket, least(c, o), greatest(c, o))").alias("g"), "node", "root",
                      F.expr("if(c = o, -1, if(c < o, 0, 1))").alias("side")))
-    parts = (parts.join(sketches, "node").select("g", "node", "root", "n", F.col("side").cast("int"), "sketch")
-             .repartition("g").sortWithinPartitions("g"))
-    across = parts.mapInArrow(_close_pairs(num, den), "a long, b long").distinct()
-    more = verified(across)
-    # Links between components: contract them to their roots and connect again.
-    final = first
-    if not more.isEmpty():
-        lifted = (more.join(first.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-                  .join(first.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                  .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        joined = components(lifted)
-        top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        lone = joined.join(first, "node", "left_anti").select("node", "root")
-        final = written(first.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-                        .unionByName(lone), "jaccard-final")
+    parts = parts.withColumn("side", F.col("side").cast("int"))
+
+    def compared(rows_of: DataFrame, fn, schema: str) -> DataFrame:
+        return (rows_of.join(sketches, "node").select("g", "node", "root", "n", "side", "sketch")
+                .repartition("g").sortWithinPartitions("g").mapInArrow(fn, schema))
+    near = written(compared(parts, _nearest_pairs(num, den), "g long, a long, b long"), "jaccard-near")
+    links = verified(near.select("a", "b").distinct())
+    final = _contracted(first, links)
+    # Groups where a pair that looked close was no link: all that is still apart is verified.
+    open_groups = written(near.join(links, ["a", "b"], "left_anti").select("g").distinct(), "jaccard-open")
+    left = (parts.join(small_side(open_groups, 16), "g", "left_semi").join(final.select("node", F.col("root").alias("now")), "node", "left")
+            .select("g", "node", F.coalesce("now", "root").alias("root"), "side"))
+    across = compared(left, _close_pairs(num, den), "a long, b long").distinct()
+    final = _contracted(final, verified(across))
     grouped = sets.join(final, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = grouped.join(lowest, "root").select("node", F.col("low").alias("class_id"), "component_id")
@@ -461,13 +523,14 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     """(links, members): every linked pair of different sets, and the documents of the sets.
 
     links has one row (a, b), a < b, for each pair of classes that link; members one row per
-    input row: doc_id, n_shingles, node (the name of its set, null if it is empty) and n_links,
-    the number of other rows that it links with: those of its own class and of the linked ones.
-    Rows are counted as they come, also repeated ones and those with a null doc_id.
+    input row: doc_id, n_shingles, component_id (as in ``jaccard_classes``), node (the name of
+    its set, null if it is empty) and n_links, the number of other rows that it links with: those
+    of its own class and of the linked ones.  Rows are counted as they come, also repeated ones
+    and those with a null doc_id.
 
     All pairs of a bucket are compared, part by part, also inside a component: the work and
     the rows of links grow with the number of pairs that do link."""
-    rows, _, meet, sketches, verified = _meetings(docs, width, num, den, bits)
+    rows, sets, meet, sketches, verified = _meetings(docs, width, num, den, bits)
     meet = written(meet.select("bucket", "node"), "jaccard-meet")
     sizes = written(meet.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("q")), "jaccard-parts")
     parts = (meet.join(sizes, "bucket").withColumn("c", F.expr("cast(pmod(xxhash64(node), q) as int)"))
@@ -481,10 +544,13 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     held = written(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("size")), "jaccard-sizes")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = ends.join(held.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
-    named = held.join(others, F.col("node") == F.col("a"), "left").select(
-        "node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    grouped = sets.join(components(links), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = held.join(others, F.col("node") == F.col("a"), "left").join(grouped.join(lowest, "root").select("node", "component_id"), "node").select(
+        "node", "component_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     salts = 16
     salted = named.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
     out = rows.select("doc_id", "n", "node").withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {salts}) as int)"))
     return links, out.join(salted, ["node", "salt"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -31,7 +31,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))[1].select("doc_id", "n_shingles", "n_links")
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))[1].select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
