@@ -33,6 +33,20 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def in_tasks(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` in tasks: its fields are broadcast, its class travels with
+    the function, so workers need no copy of the package."""
+    if value is None:
+        return lambda: None
+    fields, cls = spark.sparkContext.broadcast(vars(value)), type(value)
+
+    def get():
+        made = cls.__new__(cls)
+        made.__dict__.update(fields.value)
+        return made
+    return get
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: T.StructType | str) -> DataFrame:
     return df.mapInArrow(fn, schema)

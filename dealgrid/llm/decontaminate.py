@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dealgrid.llm.common import text_only
+from dealgrid.llm.common import in_tasks, text_only
 from dealgrid.llm.text import shingle_sets, windows, word_hashes  # noqa: F401
 
 RADIUS = 7              # guaranteed by 4 blocks of 16 bits with one bit changed
@@ -211,11 +211,11 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 80, den:
     schema = "doc_id long, item_id long, similarity double, start_word long, n_words long"
     out = spark.createDataFrame([], schema)
     for index in item_blocks(items, num, den, width):
-        shared = spark.sparkContext.broadcast(index)
+        shared = in_tasks(spark, index)
 
         def run(batches, shared=shared):
+            index = shared()
             for batch in batches:
-                index = shared.value
                 rows = [(batch.column(0)[r].as_py(), index.ids[k], sim, at, len(index.shingles[k]) + width - 1)
                         for r, k, sim, at in _found(batch.column(1), index, width)]
                 yield pa.RecordBatch.from_arrays(
@@ -229,12 +229,13 @@ def without_leaks(docs: DataFrame, items: DataFrame, width: int = 5, num: int =
     """``docs`` (all columns, text among them) without the rows that hold an item."""
     out, text_at = docs, docs.columns.index("text")
     for index in item_blocks(items, num, den, width):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = in_tasks(docs.sparkSession, index)
 
         def run(batches, shared=shared):
+            index = shared()
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[r for r, *_ in _found(batch.column(text_at), shared.value, width)]] = False
+                keep[[r for r, *_ in _found(batch.column(text_at), index, width)]] = False
                 yield batch.filter(pa.array(keep))
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dealgrid.llm.common import text_only
+from dealgrid.llm.common import in_tasks, text_only
 from dealgrid.llm.text import _LOWER, _NOT_TERM, mix64, spans, text_buffer, _hashes
 
 BITS = 18
@@ -229,10 +229,10 @@ def identify(docs: DataFrame, field: WordField | None) -> DataFrame:
     with score 0 if the text is null, empty or has no letter, or if nothing was learned.  Ties
     go to the first label by code point.  Null doc_ids (never held out) and repeated rows are
     kept as they come; extra columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = in_tasks(docs.sparkSession, field)
 
     def run(batches):
-        field = shared.value
+        field = shared()
         for batch in batches:
             column, lang, score = batch.column(1), [], []
             for lo, hi, total in field.predict(column) if field is not None else ():

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dealgrid.llm.common import text_only
+from dealgrid.llm.common import in_tasks, text_only
 from dealgrid.llm.license_texts import TEXTS
 from dealgrid.llm.text import mix64, windows, word_hashes
 
@@ -215,10 +215,10 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, width: i
     equals), and the number of places.  Null and empty texts hold nothing; a template of under
     ``width`` words is held where these words follow one another.  Null doc_ids and repeated rows are
     kept as they come; an empty table gives no rows; extra columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(REGISTERED if texts is None else texts, width, share, miss))
+    shared = in_tasks(docs.sparkSession, Templates(REGISTERED if texts is None else texts, width, share, miss))
 
     def run(batches):
-        templates = shared.value
+        templates = shared()
         for batch in batches:
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             for lo, _, hashes, counts in word_hashes(batch.column(1)):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dealgrid.llm.common import text_only
+from dealgrid.llm.common import in_tasks, text_only
 from dealgrid.llm.text import word_hashes
 
 HASH_BITS = 20
@@ -149,11 +149,12 @@ def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
     Null and empty texts get the score of a text without any weighed term.  Null doc_ids (never
     held out) and repeated rows are kept as they come; extra columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = in_tasks(docs.sparkSession, machine)
 
     def run(batches):
+        machine = shared()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.scores(batch.column(1)))], ["doc_id", "score"])
     scored = text_only(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False)).alias("held_out"),
                          "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -161,9 +162,10 @@ def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
 def without_toxic(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
     """``docs`` (all columns, text among them) without the rows predicted toxic."""
-    shared, text_at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
+    shared, text_at = in_tasks(docs.sparkSession, machine), docs.columns.index("text")
 
     def run(batches):
+        machine = shared()
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column(text_at)) < 0.5))
+            yield batch.filter(pa.array(machine.scores(batch.column(text_at)) < 0.5))
     return docs.mapInArrow(run, docs.schema)
