@@ -16,7 +16,6 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from dealgrid.functions.core import count_if, half_up_ratio
 from dealgrid.operators.ranking import global_row_number
 from dealgrid.session import shared_dir
+from dealgrid.sources.versions import claim_version, list_versions, publish  # noqa: F401
 
 # The functions of this module travel with the job: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -256,60 +256,10 @@ def run_record(name: str, model: PipelineModel, train: DataFrame, test: DataFram
 # Versioned model store on the shared folder
 # ---------------------------------------------------------------------------
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-COMPLETE = "_COMPLETE"
-
-
-def list_versions(spark: SparkSession, base: str) -> list[int]:
-    """Versions that were written to their end."""
-    fs, p = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit() and fs.exists(_fs(spark, f"{base.rstrip('/')}/{name}/{COMPLETE}")[1]):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def _created(spark: SparkSession, path: str) -> bool:
-    """Creates an empty file; false if it is there already.  Shared stores refuse to create a
-    file twice; Hadoop's local file system does not, so there the file is made directly."""
-    fs, p = _fs(spark, path)
-    if fs.getUri().getScheme() == "file":
-        fs.mkdirs(p.getParent())
-        return spark.sparkContext._jvm.java.io.File(p.toUri().getPath()).createNewFile()
-    try:
-        fs.create(p, False).close()
-    except Py4JJavaError as e:
-        if fs.exists(p):
-            return False
-        raise e
-    return True
-
-
-def claim_version(spark: SparkSession, base: str) -> int:
-    """The next version number, this caller's alone: a claim file is created without
-    overwriting, and who comes second takes the number after it."""
-    n = (list_versions(spark, base) or [0])[-1] + 1
-    while not _created(spark, f"{base.rstrip('/')}/claims/{n}"):
-        n += 1
-    return n
-
-
 def save_model(model: PipelineModel, spark: SparkSession, base: str) -> str:
     """Register a new version ``base/v=N`` and return its path.  Two savers get two versions;
     a version counts once its completion marker is there."""
-    path = f"{base.rstrip('/')}/v={claim_version(spark, base)}"
-    model.save(path)
-    _created(spark, f"{path}/{COMPLETE}")
-    return path
+    return publish(spark, base, model.save)
 
 
 def load_latest(spark: SparkSession, base: str) -> PipelineModel:

@@ -641,6 +641,21 @@ def _q(c):
                     F.coalesce(F.sum(F.substring("row.value", 6, 20).cast("long")), F.lit(0)).alias("total")))
 
 
+@query("csv_load_constraints")
+def _q(c):
+    """CRM tables exported with faults and loaded as their constraints admit: leads missing,
+    leads twice, leads without an industry; their deals and events lose their parents."""
+    from dealgrid.plans import jobs
+    spark = c.leads.sparkSession
+    store, number = scratch_path(spark, "csv-faults"), F.substring("lead_id", 5, 20).cast("long")
+    leads = c.leads.where(number % 83 != 0)
+    leads = leads.unionByName(leads.where(number % 89 == 0)).withColumn("industry", F.when(number % 79 != 0, F.col("industry")))
+    for name, df in {**c.as_dict(), "leads": leads}.items():
+        io.write_csv(df, f"{store}/csv/{name}")
+    jobs.publish_csv(spark, f"{store}/csv", f"{store}/crm")
+    return jobs.load_outcome(spark, f"{store}/crm")
+
+
 @query("feature_table_replace")
 def _q(c):
     spark = c.leads.sparkSession

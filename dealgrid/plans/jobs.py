@@ -18,9 +18,12 @@ from dealgrid.operators import insights as ins
 from dealgrid.operators import ml
 from dealgrid.operators import quality as dq
 from dealgrid.operators import retrieval as rv
-from dealgrid.schemas import DEAL_FEATURE_COLS, LEAD_FEATURE_COLS
+from dealgrid.schemas import DEAL_FEATURE_COLS, LEAD_FEATURE_COLS, TABLE_SCHEMAS
+from dealgrid.session import scratch_path
 from dealgrid.sources import files as io
+from dealgrid.sources.constraints import judged
 from dealgrid.sources.crm import build_crm
+from dealgrid.sources.versions import current, exists, publish
 
 TABLES = io.LOAD_ORDER
 
@@ -30,7 +33,9 @@ def _p(base: str, name: str) -> str:
 
 
 def read_crm(spark: SparkSession, crm_dir: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(_p(crm_dir, n)) for n in TABLES}
+    """All tables of one load: of the newest complete version, if loads are published there."""
+    at = current(spark, crm_dir)
+    return {n: spark.read.parquet(_p(at, n)) for n in TABLES}
 
 
 def load_all(spark: SparkSession, source_dir: str, crm_dir: str) -> DataFrame:
@@ -40,19 +45,63 @@ def load_all(spark: SparkSession, source_dir: str, crm_dir: str) -> DataFrame:
     return io.full_refresh(spark, crm.as_dict(), crm_dir)
 
 
+def publish_all(spark: SparkSession, source_dir: str, crm_dir: str) -> DataFrame:
+    """``load_all`` into a new version below ``crm_dir``: readers change from the old tables to
+    the new ones at once, and stay on the old ones if a table fails."""
+    crm = build_crm(spark, source_dir).as_dict()
+    at = publish(spark, crm_dir, lambda path: io.full_refresh(spark, crm, path))
+    return io.reconcile(crm, {n: spark.read.parquet(_p(at, n)) for n in TABLES})
+
+
+def publish_csv(spark: SparkSession, csv_dir: str, crm_dir: str) -> DataFrame:
+    """CSV files to a new version of the CRM tables, holding what the tables' constraints
+    admit (see ``constraints.judged``); everything else goes to its ``rejected_<table>``
+    (at, row, reasons).  Returns (table_name, source_rows, loaded_rows, ok)."""
+    staged = {}
+
+    def write(path: str) -> None:
+        for name in TABLES:
+            store = scratch_path(spark, f"load-{name}")
+            io.write_parquet(io.read_placed(spark, _csv_path(spark, csv_dir, name), name), _p(store, "placed"))
+            placed = staged[name] = spark.read.parquet(_p(store, "placed"))
+            fits = placed.where(F.size("reasons") == 0).select("at", "row", "parsed.*")
+            rows = judged(fits, name, lambda parent: spark.read.parquet(_p(path, parent)))
+            io.write_parquet(rows, _p(store, "judged"))
+            rows = spark.read.parquet(_p(store, "judged"))
+            columns = [f.name for f in TABLE_SCHEMAS[name].fields]
+            io.write_parquet(rows.where(F.size("reasons") == 0).select(*columns), _p(path, name))
+            rejects = placed.where(F.size("reasons") > 0).select("at", "row", "reasons")
+            io.write_parquet(rejects.unionByName(rows.where(F.size("reasons") > 0).select("at", "row", "reasons")),
+                             _p(path, f"rejected_{name}"))
+    at = publish(spark, crm_dir, write)
+    return io.reconcile(staged, {n: spark.read.parquet(_p(at, n)) for n in TABLES})
+
+
+def load_outcome(spark: SparkSession, crm_dir: str) -> DataFrame:
+    """(table_name, outcome, rows) of the newest published CSV load: 'loaded', and each reason
+    with the number of rows rejected for it."""
+    at, parts = current(spark, crm_dir), None
+    for name in TABLES:
+        rejects = spark.read.parquet(_p(at, f"rejected_{name}")).select(F.explode("reasons").alias("outcome"))
+        part = (rejects.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
+                .unionByName(spark.read.parquet(_p(at, name)).agg(F.lit("loaded").alias("outcome"), F.count(F.lit(1)).alias("rows")))
+                .select(F.lit(name).alias("table_name"), "outcome", "rows"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def _csv_path(spark: SparkSession, csv_dir: str, name: str) -> str:
+    path = _p(csv_dir, name)
+    return path if exists(spark, path) else path + ".csv"
+
+
 def load_csv(spark: SparkSession, csv_dir: str, crm_dir: str) -> DataFrame:
     """CSV files (one folder or file ``<table>`` or ``<table>.csv`` each) to CRM tables.
     Rows that do not fit the schema go to ``rejected_<table>`` below ``crm_dir``.
     Returns (table_name, source_rows, loaded_rows, ok); rejects make ok false."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     loaded, source = {}, {}
     for name in TABLES:
-        path = _p(csv_dir, name)
-        at = fs_path(path)
-        if not at.getFileSystem(conf).exists(at):
-            path += ".csv"
-        rows, rejects = io.read_checked(spark, path, name)
+        rows, rejects = io.read_checked(spark, _csv_path(spark, csv_dir, name), name)
         io.write_parquet(rows, _p(crm_dir, name))
         io.write_parquet(rejects, _p(crm_dir, f"rejected_{name}"))
         loaded[name] = spark.read.parquet(_p(crm_dir, name))
@@ -138,14 +187,19 @@ def daily_insights(spark: SparkSession, crm_dir: str, scores_dir: str, insights_
 
 def ingest_documents(spark: SparkSession, docs: DataFrame, collection_path: str, dim: int = 512):
     """Chunk documents (doc_id, source_file, text), fit the embedder, rebuild the
-    vector collection.  Returns (model, number of chunks)."""
-    chunks = rv.chunk_documents(docs, source_col="source_file")
-    model = rv.fit_embedder(chunks, dim=dim)
-    coll = rv.embed(model, chunks).select("chunk_id", "source_file", "chunk_index", "document",
-                                          "embedding")
-    io.write_parquet(coll, collection_path)
-    model.write().overwrite().save(collection_path + "_embedder")
-    return model, spark.read.parquet(collection_path).count()
+    vector collection: chunks are cut once, and vectors and embedder change together, as one
+    published version.  Returns (model, number of chunks)."""
+    made = {}
+
+    def write(path: str) -> None:
+        io.write_parquet(rv.chunk_documents(docs, source_col="source_file"), scratch := scratch_path(spark, "chunks"))
+        chunks = spark.read.parquet(scratch)
+        made["model"] = model = rv.fit_embedder(chunks, dim=dim)
+        io.write_parquet(rv.embed(model, chunks).select("chunk_id", "source_file", "chunk_index", "document",
+                                                        "embedding"), _p(path, "chunks"))
+        model.write().save(_p(path, "embedder"))
+    at = publish(spark, collection_path, write)
+    return made["model"], spark.read.parquet(_p(at, "chunks")).count()
 
 
 def answer_batch(spark: SparkSession, collection_path: str, questions: DataFrame,
@@ -153,8 +207,9 @@ def answer_batch(spark: SparkSession, collection_path: str, questions: DataFrame
     """(question_id, sources, prompt) for a batch of questions (question_id, text):
     k nearest chunks by cosine, sources, and the grounded request text."""
     from pyspark.ml import PipelineModel
-    model = PipelineModel.load(collection_path + "_embedder")
-    coll = spark.read.parquet(collection_path)
+    at = current(spark, collection_path)
+    model = PipelineModel.load(_p(at, "embedder"))
+    coll = spark.read.parquet(_p(at, "chunks"))
     q = rv.embed(model, questions.select("question_id", F.col("text").alias("document")))
     hits = rv.topk_cosine(q, coll, k, carry=["source_file", "document"])
     return rv.context_assembly(hits, questions)

@@ -141,6 +141,10 @@ REQUIRED_FIELDS = {
 PRIMARY_KEYS = {"reps": "rep_id", "leads": "lead_id", "deals": "deal_id",
                 "engagement": "event_id", "customers": "customer_id"}
 
+# NOT NULL columns and foreign keys (column, parent table) enforced by a load
+NOT_NULL = {**REQUIRED_FIELDS, "deals": [*REQUIRED_FIELDS["deals"], "product"]}
+FOREIGN_KEYS = {"deals": [("lead_id", "leads"), ("rep_id", "reps")], "engagement": [("deal_id", "deals")]}
+
 LEAD_FEATURE_COLS = ["source_encoded", "company_size_encoded", "industry_encoded", "lead_month"]
 DEAL_FEATURE_COLS = ["days_since_last_contact", "deal_age_days", "engagement_count",
                      "meeting_count", "email_reply_rate", "deal_value"]

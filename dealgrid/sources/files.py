@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealgrid.schemas import DATE_COLUMNS, TABLE_SCHEMAS
+from dealgrid.sources.csv_records import csv_records
 
 LOAD_ORDER = ["reps", "leads", "deals", "engagement", "customers"]
 
 
-# Quoted fields may hold line breaks, commas and doubled quotes.  A file with such
-# fields cannot be split: export many files rather than one large one.
+# Quoted fields may hold line breaks, commas and doubled quotes.  ``csv_records`` reads
+# such files in splits.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
@@ -44,19 +45,29 @@ def read_checked(spark: SparkSession, path: str, name: str) -> tuple[DataFrame,
             rows.where(F.size(bad) > 0).select("row", bad.alias("reasons")))
 
 
+def read_placed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(at, row, parsed, reasons): every record with its place in file order, its fields as
+    text, typed, and what does not fit."""
+    rows, bad = _parsed(spark, path, name)
+    return rows.select("at", "row", "parsed", bad.alias("reasons"))
+
+
 def _parsed(spark: SparkSession, path: str, name: str):
     """Rows as text (``row``) and typed (``parsed``), and a column of what does not fit."""
     fields, dates = TABLE_SCHEMAS[name].fields, set(DATE_COLUMNS[name])
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields]
                         + [T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.schema(text).options(**CSV_OPTIONS, mode="PERMISSIVE").csv(path)
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"} | {"mode": "PERMISSIVE"}
+    df = (csv_records(spark, path).select("at", "closed", F.from_csv("record", text.simpleString(), options).alias("r"))
+          .select("at", "closed", "r.*"))
     typed = {f.name: F.to_date(F.try_to_timestamp(F.trim(F.col(f.name)))) if f.name in dates
              else F.col(f.name) if isinstance(f.dataType, T.StringType)
              else F.col(f.name).try_cast(f.dataType) for f in fields}
-    bad = [F.when(F.col("_corrupt_record").isNotNull(), F.lit("wrong number of fields"))]
+    bad = [F.when(~F.col("closed"), F.lit("a quote is never closed")),
+           F.when(F.col("_corrupt_record").isNotNull(), F.lit("wrong number of fields"))]
     bad += [F.when(F.col(f.name).isNotNull() & typed[f.name].isNull(), F.lit(f"{f.name} is not {f.dataType.simpleString()}"))
             for f in fields if f.name not in dates and not isinstance(f.dataType, T.StringType)]
-    rows = df.select(F.struct(*[F.col(f.name) for f in fields]).alias("row"),
+    rows = df.select("at", F.struct(*[F.col(f.name) for f in fields]).alias("row"),
                      F.struct(*[typed[f.name].alias(f.name) for f in fields]).alias("parsed"),
                      F.array_compact(F.array(*bad)).alias("_bad"))
     return rows, F.col("_bad")
