@@ -3,10 +3,12 @@
 A document's features are its distinct terms (runs of letters and digits, A-Z folded),
 hashed.  The machine adds to the linear weights a learned interaction of every two terms,
 the product of their factors, so that a term may weigh more beside another one.  It is
-fitted on a bounded sample of labelled rows (``max_rows``, taken by a hash of the id); the
-terms that it weighs are those that tell the labels apart best in the sample, so the scores
-of long texts do not drown in the noise of thousands of neutral terms.  The model is a few
-hundred kilobytes and every text is scored whole, in one pass, without a shuffle.
+fitted on a bounded sample of labelled rows (``max_rows``, taken by a hash of the id).  Every
+hashed term of the sample has a weight and factors in the fit; one that pulls no more to one
+side than chance would (its gradients' sum over the rows against the root of their squares' sum) stays at
+zero, so the scores of long texts do not drown in the noise of thousands of neutral terms, and
+terms that tell the labels apart only in pairs are learned too.  The machine keeps the terms
+that moved, at most 2^20.  Every text is scored whole, in one pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from dealgrid.llm.text import word_hashes
 
 HASH_BITS = 20
 MAX_ROWS = 20_000   # labelled rows that the machine is fitted on, at most
-MAX_TERMS = 1024    # hashed terms that it weighs, at most
 FACTORS = 4
 
 
@@ -61,35 +62,52 @@ class FactorizationMachine:
                 out[lo:hi] = self.logits(row - lo, slot, hi - lo)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, batch: int = 128,
-            rate: float = 0.3, decay: float = 1e-6) -> None:
-        """Adagrad on the logistic loss; the rarer label 1 weighs up to 4 times as much."""
-        rng = np.random.default_rng(5)
+    def fit(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 8, parts: int = 32,
+            rates: tuple[float, float] = (1.0, 0.5), chance: tuple[float, float] = (3.0, 3.0)) -> None:
+        """Follow-the-regularised-leader on the logistic loss, ``parts`` steps an epoch; the rarer
+        label 1 weighs up to 4 times as much.  ``flat`` holds the terms of all rows, ``sizes`` of
+        each.  A weight (factor) leaves its start once its gradients sum to more than ``chance``
+        deviations.  Terms that never leave it end at zero."""
+        rng, terms = np.random.default_rng(5), len(self.weights)
         heavy = min(4.0, max(1.0, (len(labels) - labels.sum()) / max(labels.sum(), 1)))
-        g_w, g_v, g_b = np.full(len(self.weights), 1e-6), np.full(self.factors.shape, 1e-6), 1e-6
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(order), batch):
-                take = order[at:at + batch]
-                row = np.repeat(np.arange(len(take)), [len(rows[i]) for i in take])
-                slot = np.concatenate([rows[i] for i in take]) if len(take) else np.zeros(0, int)
+        start = np.column_stack([self.weights, self.factors])
+        moved, pull, squares, spread = (np.zeros((terms, FACTORS + 1)) for _ in range(4))
+        rate, limit = (np.array([x[0]] + [x[1]] * FACTORS) for x in (rates, chance))
+        begin, bias_squares = np.cumsum(sizes) - sizes, 1.0
+        for epoch in range(epochs):
+            for take in np.array_split(rng.permutation(len(labels)), max(1, min(parts, len(labels) // 16))):
+                n = sizes[take]
+                row = np.repeat(np.arange(len(take)), n)
+                slot = flat[np.repeat(begin[take] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 miss = 1 / (1 + np.exp(-np.clip(self.logits(row, slot, len(take)), -30, 30))) - labels[take]
                 miss = miss * np.where(labels[take] > 0, heavy, 1.0)
-                d_b = miss.mean()
-                g_b += d_b * d_b
-                self.bias -= rate * d_b / np.sqrt(g_b)
+                bias_squares += miss.sum() ** 2
+                self.bias -= rate[0] * miss.sum() / np.sqrt(bias_squares)
                 if not len(slot):
                     continue
-                v = self.factors[slot]
-                total = np.stack([np.bincount(row, v[:, f], minlength=len(take)) for f in range(FACTORS)], axis=1)
-                share = miss[row] / len(take)
-                d_w = np.bincount(slot, share, minlength=len(self.weights)) + decay * self.weights
-                d_v = np.stack([np.bincount(slot, share * (total[row, f] - v[:, f]), minlength=len(self.weights))
-                                for f in range(FACTORS)], axis=1) + decay * self.factors
-                g_w += d_w * d_w
-                g_v += d_v * d_v
-                self.weights -= rate * d_w / np.sqrt(g_w)
-                self.factors -= 0.2 * rate * d_v / np.sqrt(g_v)
+                v, share = self.factors[slot], miss[row]
+                others = [np.bincount(row, v[:, f], minlength=len(take))[row] - v[:, f] for f in range(FACTORS)]
+                met = np.flatnonzero(np.bincount(slot, minlength=terms))
+                grad = np.stack([np.bincount(slot, share * x, minlength=terms)[met] for x in (1.0, *others)], axis=1)
+                spread[met] += np.stack([np.bincount(slot, np.square(share * x), minlength=terms)[met] for x in (1.0, *others)], axis=1)
+                before, now = np.sqrt(squares[met]), np.sqrt(squares[met] + grad * grad)
+                pull[met] += grad - (now - before) / rate * moved[met]
+                squares[met] += grad * grad
+                # The same rows pull again in each epoch, so chance grows with their number.
+                slack = np.abs(pull[met]) - limit * (1 + np.sqrt(spread[met])) * np.sqrt(epoch + 1)
+                moved[met] = np.where(slack > 0, -np.sign(pull[met]) * slack * rate / (1 + now), 0.0)
+                self.weights[met] = start[met, 0] + moved[met, 0]
+                self.factors[met] = start[met, 1:] + moved[met, 1:]
+        self.factors[~moved.any(axis=1) & (self.weights == 0)] = 0.0
+
+    def without_zeros(self) -> "FactorizationMachine":
+        """The same machine holding only the terms that weigh something."""
+        used = np.flatnonzero((self.weights != 0) | self.factors.any(axis=1))
+        place = np.full(len(self.weights) + 1, -1, dtype=np.int32)
+        place[used] = np.arange(len(used))
+        out = FactorizationMachine(place[self.slots], len(used), self.bias)  # slot -1 takes the last place, -1
+        out.weights, out.factors = self.weights[used], self.factors[used]
+        return out
 
 
 def _features(batches):
@@ -129,19 +147,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Facto
     rows, toxic = [rows[i] for i in order], toxic[order]
     n, pos = len(toxic), float(toxic.sum())
     base = (pos + 0.5) / (n + 2)
-    # Terms by the strength of their tie to the label (signed chi-square root).
-    seen = np.bincount(flat, minlength=1 << HASH_BITS)
-    bad = np.bincount(flat, np.repeat(sample.column("toxic").to_numpy().astype(float), sizes), minlength=1 << HASH_BITS) if n else seen
-    expected = seen * (pos / max(n, 1))
-    z = np.where(seen >= 5, np.abs(bad - expected) / np.sqrt(np.maximum(expected * (1 - pos / max(n, 1)), 0.5)), 0)
-    best = np.argsort(-z, kind="stable")[:MAX_TERMS]
-    best = np.sort(best[z[best] > 4])
+    flat, sizes = np.concatenate(rows) if len(rows) else flat, np.array([len(r) for r in rows], dtype=np.int64)
+    seen = np.unique(flat)
     slots = np.full(1 << HASH_BITS, -1, dtype=np.int32)
-    slots[best] = np.arange(len(best))
-    machine = FactorizationMachine(slots, len(best), float(np.log(base / (1 - base))))
+    slots[seen] = np.arange(len(seen))
+    machine = FactorizationMachine(slots, len(seen), float(np.log(base / (1 - base))))
     if n and 0 < pos < n:
-        machine.fit([slots[r][slots[r] >= 0] for r in rows], toxic)
-    return machine
+        machine.fit(slots[flat], sizes, toxic)
+        machine = machine.without_zeros()
+        # The terms that moved are fitted on without the hold that kept the others at zero.
+        slot = machine.slots[flat]
+        row = np.repeat(np.arange(n), sizes)[slot >= 0]
+        machine.fit(slot[slot >= 0], np.bincount(row, minlength=n), toxic, rates=(0.3, 0.15), chance=(0.0, 0.0))
+        return machine
+    machine.factors[:] = 0.0
+    return machine.without_zeros()
 
 
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
