@@ -1,8 +1,8 @@
 """Lead-conversion and deal-risk models with Spark ML.
 
 Training data never leaves the cluster: features are assembled with
-``VectorAssembler``, the split is a per-row hash (independent of partitioning),
-class imbalance is a weight column, the model is ``GBTClassifier``.  Metric
+``VectorAssembler``, the split is an exact share of each class by a per-row hash
+(independent of partitioning), class imbalance is a weight column, the model is ``GBTClassifier``.  Metric
 formulas (AUC by rank sum, confusion counts) are aggregations, so they also
 apply to any score column.
 """
@@ -13,6 +13,7 @@ import datetime as dt
 import os
 import sys
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dealgrid.functions.core import count_if, half_up_ratio
 from dealgrid.operators.ranking import global_row_number
-from dealgrid.session import shared_dir
+from dealgrid.session import scratch_path, shared_dir
 from dealgrid.sources.versions import claim_version, list_versions, publish  # noqa: F401
 
 # The functions of this module travel with the job: executors need no copy of the package.
@@ -56,23 +57,58 @@ def feature_matrix(features: DataFrame, feature_cols: list[str], label: str,
         id_col, "features", F.col(label).cast("double").alias("label"))
 
 
+HASH_BITS = 60
+DIGIT_BITS = 12  # 4,096 counts per class and pass
+
+
+def split_hash(id_col: str, seed: int = SEED) -> Column:
+    """60 bits of md5("seed:id") as a non-negative long, the same in every engine; a null id
+    hashes as an empty one."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def _class_cuts(hashed: DataFrame, parts: int) -> DataFrame:
+    """(_y, _cut): per class the hash of the row that fills its share (``parts`` ten
+    thousandths of its rows, half up), found exactly by descending into one bucket of
+    ``DIGIT_BITS`` more hash bits a pass.  Every pass leaves at most 4,096 counts per class."""
+    state = None
+    for shift in range(HASH_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+        bucket = F.shiftright("_h", shift)
+        if state is None:
+            counts = hashed.groupBy("_y", bucket.alias("_d")).agg(F.count(F.lit(1)).alias("_c")).withColumn(
+                "_rows", F.sum("_c").over(Window.partitionBy("_y"))).withColumn(
+                "_need", F.expr(f"(_rows * {parts} + 5000) div 10000"))
+        else:
+            # one row per class of the label
+            inside = hashed.join(F.broadcast(state), hashed._y.eqNullSafe(state._class)
+                                 & (F.shiftright("_h", shift + DIGIT_BITS) == F.col("_d0")))
+            counts = inside.groupBy("_y", "_need", bucket.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy("_y").orderBy("_d"))
+        state = counts.withColumn("_upto", upto).where("_upto >= _need and _upto - _c < _need").select(
+            F.col("_y").alias("_class"), (F.col("_need") - F.col("_upto") + F.col("_c")).alias("_need"),
+            F.col("_d").alias("_d0"))
+    return state.select(F.col("_class").alias("_y"), F.col("_d0").alias("_cut"))
+
+
 def stratified_split(df: DataFrame, id_col: str, test_size: float = TEST_SIZE,
                      seed: int = SEED, label: str | None = None) -> DataFrame:
     """Adds ``is_test`` from a hash of (seed, id), so a row's side does not depend
     on partitioning or order.  Without ``label`` the cut is the fixed share of
-    the hash range (each class gets the share in expectation); with ``label``
-    each class gets its own cut at the ``test_size`` quantile of its hashes
-    (``percentile_approx``, one row per class, broadcast), so every class is
-    split in the same proportion."""
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    the hash range (each class gets the share in expectation).  With ``label`` the rows of
+    each class whose rank by hash is at most the class's share (``test_size`` of its rows,
+    rounded half up) are test rows: exactly that many, except that rows with one id stay
+    together.  A null label is a class of its own.  The cuts, one row per class, are
+    broadcast: ``label`` must be a class label, not a measure."""
+    parts = int(round(test_size * 10000))
     if label is None:
-        cut = int(round(test_size * 10000))
-        return df.withColumn("is_test", F.pmod(h, F.lit(10000)) < cut)
-    hashed = df.withColumn("_h", h)
-    cuts = hashed.groupBy(F.col(label).alias("_y")).agg(
-        F.percentile_approx("_h", test_size, 100000).alias("_cut"))
-    j = hashed.join(F.broadcast(cuts), hashed[label].eqNullSafe(cuts._y), "left")
-    return j.withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_y", "_cut")
+        return df.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10000)) < parts)
+    h = split_hash(id_col, seed)
+    cuts = _class_cuts(df.select(F.col(label).alias("_y"), h.alias("_h")), parts).select(
+        F.col("_y").alias("__class"), F.col("_cut").alias("__cut"))
+    j = df.withColumn("__h", h).join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("__class")), "left")
+    return j.withColumn("is_test", F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False))).drop(
+        "__h", "__class", "__cut")
 
 
 def with_class_weight(train: DataFrame, label: str = "label") -> DataFrame:
@@ -204,6 +240,57 @@ def feature_importances(model: PipelineModel, feature_cols: list[str]) -> DataFr
                                  "feature string, importance double")
 
 
+ROWS_PER_RING = 1 << 16
+
+
+def with_next_row(df: DataFrame, id_col: str, cols: list[str], seed: int = SEED, name: str = "__next") -> DataFrame:
+    """Adds the ``cols`` of another row as a struct: rows are dealt by hash into rings of about
+    65,536 rows, ordered there by (hash, id, ``cols``), and each takes the row after it, the last the first.
+    No row gets its own values unless its ring has one row only, and every value is used once."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    ring = F.pmod(F.col("__h"), F.greatest(F.lit(1).cast("long"), F.floor(n / F.lit(ROWS_PER_RING)).cast("long")))
+    w = Window.partitionBy("__ring").orderBy("__h", id_col, *cols)
+    row = F.struct(*cols)
+    return df.withColumn("__h", split_hash(id_col, seed)).withColumn("__ring", ring).withColumn(
+        name, F.coalesce(F.lead(row).over(w), F.first(row).over(w))).drop("__h", "__ring")
+
+
+def permutation_importance(df: DataFrame, id_col: str, cols: list[str], label: str,
+                           scorer: Callable[[DataFrame], DataFrame], seed: int = SEED) -> DataFrame:
+    """(feature, base_auc, permuted_auc, importance): how much ROC-AUC a score loses when one
+    column takes the values of other rows (``with_next_row``), 6 places.  ``scorer`` adds
+    ``score`` (at most 4 places) to rows with ``cols``; it sees every row once per column and once unchanged,
+    in one pass, and the counts per (column, score) are summed before they are shuffled.  Rows
+    with a null label or score do not count.  No rows: no result rows."""
+    moved = with_next_row(df.select(id_col, F.col(label).alias("label"), *cols), id_col, cols, seed)
+    variants = [F.struct(F.lit(f).cast("string").alias("feature"),
+                         *[(F.col(f"__next.{c}") if c == f else F.col(c)).alias(c) for c in cols]) for f in [None, *cols]]
+    rows = moved.select(id_col, "label", F.explode(F.array(*variants)).alias("__v")).select(id_col, "label", "__v.*")
+    per = scorer(rows).where("score is not null").groupBy("feature", "score").agg(
+        count_if(F.col("label") == 1).alias("pos"), count_if(F.col("label") == 0).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("feature").orderBy("score").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    wide = "decimal(38,0)"
+    auc = per.withColumn("_below", below).groupBy("feature").agg(
+        F.sum(F.col("pos").cast(wide) * (2 * F.col("_below").cast(wide) + F.col("neg"))).alias("_num"),
+        F.sum("pos").cast(wide).alias("_p"), F.sum("neg").cast(wide).alias("_n")).select(
+        "feature", half_up_ratio("_num", "2 * _p * _n", 6).alias("auc"))
+    # one row per column of the model
+    base = F.max(F.when(F.col("feature").isNull(), F.col("auc"))).over(Window.partitionBy())
+    return auc.withColumn("base_auc", base).where("feature is not null").select(
+        "feature", "base_auc", F.col("auc").alias("permuted_auc"),
+        F.round(F.col("base_auc") - F.col("auc"), 6).alias("importance"))
+
+
+def model_scorer(model: PipelineModel, cols: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds the model's probability of class 1 (4 places) as ``score``."""
+    va = VectorAssembler(inputCols=cols, outputCol="features")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return model.transform(va.transform(rows)).withColumn("score", F.round(vector_to_array("probability")[1], 4))
+    return scored
+
+
 def evaluate(model: PipelineModel, test: DataFrame, id_col: str) -> DataFrame:
     """(metric, value): ROC-AUC (Spark evaluator), exact rank-sum AUC,
     precision, recall, F1 at 0.5."""
@@ -274,10 +361,18 @@ def load_latest(spark: SparkSession, base: str) -> PipelineModel:
 # End-to-end training and scoring
 # ---------------------------------------------------------------------------
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def train_model(features: DataFrame, feature_cols: list[str], label: str, id_col: str,
                 params: dict | None = None):
-    """Returns (model, train, test, metrics)."""
-    fm = stratified_split(feature_matrix(features, feature_cols, label, id_col), id_col, label="label")
+    """Returns (model, train, test, metrics).  The feature rows and then the split are written to
+    the shared folder: split, weights, boosting and metrics read those instead of the features' plan."""
+    spark = features.sparkSession
+    fm = _written(feature_matrix(features, feature_cols, label, id_col), scratch_path(spark, "matrix"))
+    fm = _written(stratified_split(fm, id_col, label="label"), scratch_path(spark, "split"))
     train = with_class_weight(fm.where(~F.col("is_test")))
     test = fm.where(F.col("is_test"))
     model = train_gbt(train, params)

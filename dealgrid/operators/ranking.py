@@ -1,7 +1,8 @@
 """Global ranking, rule scores and score ranking.
 
-Global ranks are computed without an un-partitioned window: rows are range
-partitioned on the full ordering key (score, id) -- a hot score value is split
+Scores of four places are ranked by counting (``counting_rank``, one lazy plan).  Ranks in
+any other order, or of rows that are dear to compute, are taken without an un-partitioned
+window too: rows are range partitioned on the full ordering key (score, id) -- a hot score value is split
 across partitions because the id breaks it up -- sorted within partitions and
 numbered there; the numbered frame is checkpointed to the shared folder so the
 numbers are fixed, and per-partition row counts (one row per partition) give
@@ -39,6 +40,42 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank") ->
                           .cast("long")).drop("_pos", "_part", "_off")
 
 
+BOUND_EVERY = 1 << 20  # one id in so many is a bound of an id range
+_STEPS = [1 << k for k in range(20, -1, -1)]
+
+
+def with_id_ranges(df: DataFrame, score: str, id_col: str, every: int = BOUND_EVERY) -> DataFrame:
+    """Adds ``__s``, the score with null as minus infinity, and ``__g``, a number that grows with
+    the id inside a score and cuts a hot score into ranges of about ``every`` rows.
+
+    The bounds are the rows whose id's hash is divisible by ``every``: a millionth of the rows, in
+    one sorted array in which every row finds its place by halving (2^21 bounds at most are used)."""
+    at = F.struct(F.col(score).alias("s"), F.col(id_col).alias("i"))
+    bounds = df.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).agg(F.array_sort(F.collect_set(at))).scalar()
+    place = F.aggregate(F.array(*[F.lit(k) for k in _STEPS]), F.lit(0),
+                        lambda pos, k: F.when(F.get(F.col("__bounds"), pos + k - 1) < at, pos + k).otherwise(pos))
+    return df.withColumn("__bounds", bounds).withColumn("__g", place).drop("__bounds").withColumn(
+        "__s", F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
+
+
+def counting_rank(df: DataFrame, score: str, id_col: str, name: str = "rank", every: int = BOUND_EVERY) -> DataFrame:
+    """Add the 1-based position by ``score`` descending, then ``id_col`` (unique): nothing runs
+    and nothing is written while the plan is built.
+
+    Rows are counted per (score, id range) and numbered inside; the running sum of the counts
+    is each group's offset.  ``score`` has few distinct values (4 places: 10,001), so the
+    offsets are a small table, one row per group.  The input is evaluated three times (bounds,
+    counts, rows): write it first if it is dear.  Null scores come last, null ids first within
+    their score."""
+    placed = with_id_ranges(df, score, id_col, every)
+    groups = placed.groupBy("__s", "__g").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.col("__s").desc(), F.col("__g")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select("__s", "__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy("__s", "__g").orderBy(id_col))
+    return placed.withColumn("__pos", inside).join(offsets, ["__s", "__g"]).withColumn(
+        name, (F.col("__off") + F.col("__pos")).cast("long")).drop("__s", "__g", "__pos", "__off")
+
+
 def dense_codes(df: DataFrame, col: str, name: str) -> DataFrame:
     """(value, code): 0-based position of each distinct non-NULL value in sorted order."""
     vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
@@ -137,7 +174,7 @@ def score_leads(leads: DataFrame, lead_ids: DataFrame | None = None) -> DataFram
     highest score, ties by lead_id."""
     scored = _restrict(leads, "lead_id", lead_ids).select(
         "lead_id", lead_rule_score().alias("score"))
-    return global_row_number(scored, [F.col("score").desc(), F.col("lead_id").asc()], "rank")
+    return counting_rank(scored, "score", "lead_id", "rank")
 
 
 def deal_risk_scores(deals: DataFrame, reps: DataFrame,
@@ -153,8 +190,7 @@ def deal_risk_scores(deals: DataFrame, reps: DataFrame,
 def score_deals(deals: DataFrame, reps: DataFrame, deal_ids: DataFrame | None = None) -> DataFrame:
     """(deal_id, risk_score, risk_rank) for closed deals (or the listed ones)."""
     scored = deal_risk_scores(deals, reps, deal_ids)
-    return global_row_number(scored, [F.col("risk_score").desc(), F.col("deal_id").asc()],
-                             "risk_rank")
+    return counting_rank(scored, "risk_score", "deal_id", "risk_rank")
 
 
 def score_open_deals(open_features: DataFrame, deals: DataFrame, reps: DataFrame) -> DataFrame:

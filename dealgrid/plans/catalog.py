@@ -765,6 +765,44 @@ def _q(c):
     return fm.groupBy("converted", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("split_rows_leads")
+def _q(c): return ml.stratified_split(_lead_labels(c), "lead_id", label="converted")
+
+
+@query("split_rows_deals")
+def _q(c):
+    closed = c.deals.where(F.col("outcome") != "open").select(
+        "deal_id", (F.col("outcome") == "closed_lost").cast("int").alias("is_at_risk"))
+    return ml.stratified_split(closed, "deal_id", label="is_at_risk")
+
+
+RULE_COLS = ["source", "company_size", "industry", "lead_month"]
+
+
+@query("permutation_importance_leads")
+def _q(c):
+    rows = c.leads.select("lead_id", F.col("converted").cast("int").alias("converted"), "source",
+                          "company_size", "industry", F.month("created_at").alias("lead_month"))
+    return ml.permutation_importance(
+        rows, "lead_id", RULE_COLS, "converted",
+        lambda d: d.withColumn("score", rk.lead_rule_score(month=F.col("lead_month"))))
+
+
+def _held_out_importance(c: CRM, which: str) -> DataFrame:
+    model, _, test, _, _, cols, idc = _trained(c, which)
+    x = vector_to_array("features")
+    rows = test.select(idc, "label", *[x[i].alias(col) for i, col in enumerate(cols)])
+    return ml.permutation_importance(rows, idc, cols, "label", ml.model_scorer(model, cols))
+
+
+@query("permutation_importance_leads_model")
+def _q(c): return _held_out_importance(c, "leads")
+
+
+@query("permutation_importance_deals_model")
+def _q(c): return _held_out_importance(c, "deals")
+
+
 @query("top10_leads_model")
 def _q(c):
     model, _, _, _, feats, cols, idc = _trained(c, "leads")

@@ -85,3 +85,51 @@ def test_exact_auc_range_partitioned(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == round(wins / (len(pos) * len(neg)), 6)
+
+
+def _share(n):
+    return (n * 2000 + 5000) // 10000
+
+
+def test_split_takes_the_exact_share_of_each_class(spark):
+    """Also of classes of one and three rows and of rows without a label; rows of one id stay together."""
+    sizes = {0: 7001, 1: 1003, 2: 3, 3: 1, None: 58}
+    rows = [(f"K{y}-{i}", y) for y, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, y int").repartition(9)
+    got = {(r["y"], r["is_test"]): r["n"] for r in ml.stratified_split(df, "k", label="y").groupBy("y", "is_test")
+           .agg(F.count("*").alias("n")).collect()}
+    for y, n in sizes.items():
+        assert got.get((y, True), 0) == _share(n) and got.get((y, False), 0) == n - _share(n)
+    hashes = {r["k"]: r["h"] for r in df.select("k", ml.split_hash("k").alias("h")).collect()}
+    one = sorted(hashes[f"K1-{i}"] for i in range(1003))[:_share(1003)]
+    test = {r["k"] for r in ml.stratified_split(df, "k", label="y").where("is_test and y = 1").collect()}
+    assert test == {k for k, h in hashes.items() if k.startswith("K1-") and h <= one[-1]}
+    twice = ml.stratified_split(df.unionByName(df).unionByName(df.where("k = 'K0-5'")), "k", label="y")
+    assert twice.groupBy("k").agg(F.count_distinct("is_test").alias("n")).where("n > 1").isEmpty()
+    assert ml.stratified_split(df.limit(0), "k", label="y").count() == 0
+
+
+def test_next_row_is_a_derangement(spark):
+    df = spark.range(500).select(F.format_string("K%03d", "id").alias("k"), F.col("id").alias("v"))
+    got = ml.with_next_row(df, "k", ["v"]).collect()
+    assert sorted(r["__next"]["v"] for r in got) == list(range(500))
+    assert all(r["__next"]["v"] != r["v"] for r in got)
+
+
+def test_permutation_importance_equals_pair_counts(spark):
+    """Score = a / 10: only column a matters; the loss of AUC equals the one counted over pairs."""
+    df = spark.range(200).select(F.format_string("K%03d", "id").alias("k"), (F.col("id") * 7 % 10).cast("int").alias("a"),
+                                 (F.col("id") * 3 % 4).cast("int").alias("b"),
+                                 ((F.col("id") * 7 % 10 > 4) != (F.col("id") % 9 == 0)).cast("int").alias("y"))
+    got = {r["feature"]: r for r in ml.permutation_importance(
+        df, "k", ["a", "b"], "y", lambda d: d.withColumn("score", F.col("a") / 10)).collect()}
+
+    def auc(pairs):
+        pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+        return sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    moved = ml.with_next_row(df, "k", ["a"]).collect()
+    base, permuted = auc([(r["a"], r["y"]) for r in moved]), auc([(r["__next"]["a"], r["y"]) for r in moved])
+    assert got["b"]["importance"] == 0.0 and abs(got["a"]["base_auc"] - base) < 1e-6
+    assert abs(got["a"]["permuted_auc"] - permuted) < 1e-6 and abs(got["a"]["importance"] - (base - permuted)) < 2e-6
+    assert ml.permutation_importance(df.limit(0), "k", ["a", "b"], "y",
+                                     lambda d: d.withColumn("score", F.col("a") / 10)).count() == 0

@@ -7,7 +7,8 @@ from oracle_check import compare, duck_conn, duck_rows, spark_rows
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"train_lead_model", "train_deal_model", "feature_importances_leads", "feature_importances_deals",
-        "score_leads_model", "score_deals_model", "score_open_deals_model", "model_save_load"}
+        "score_leads_model", "score_deals_model", "score_open_deals_model", "model_save_load",
+        "permutation_importance_leads_model", "permutation_importance_deals_model"}
 
 
 def _names():

@@ -80,3 +80,42 @@ def test_dense_codes_many_equal_single(spark):
     for col in ("p", "q"):
         one = sorted(tuple(r) for r in rk.dense_codes(df, col, "code").collect())
         assert sorted(tuple(r) for r in many[col].collect()) == one
+
+
+def test_counting_rank_splits_a_hot_score_and_orders_nulls(spark):
+    """A third of the rows on one score, cut into many id ranges; null scores last, null ids first."""
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") != 7, F.format_string("ID%05d", (F.col("id") * 7919) % n)).alias("key"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).when(F.col("id") % 101 != 0, F.round(F.rand(7), 2)).alias("score"))
+    rows = [tuple(r) for r in df.collect()]
+    df = spark.createDataFrame(rows, "key string, score double").repartition(5)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, r[0] or ""))
+    for every in (1, 16, rk.BOUND_EVERY):
+        got = {(r["key"], r["score"]): r["rank"] for r in rk.counting_rank(df, "score", "key", every=every).collect()}
+        assert got == {r: i + 1 for i, r in enumerate(want)}
+    assert rk.counting_rank(df.limit(0), "score", "key").count() == 0
+
+
+def test_every_window_of_the_counting_rank_is_cut_by_score_and_id_range(spark):
+    """The rows' window is partitioned by (score, id range); the other runs over the groups' counts."""
+    df = spark.range(20000).select(F.format_string("ID%06d", "id").alias("key"), F.lit(0.5).alias("score"))
+    placed = rk.with_id_ranges(df, "score", "key", every=500)
+    n, largest = placed.groupBy("__s", "__g").count().agg(F.count("*"), F.max("count")).first()
+    assert n > 20 and largest < 20000 / 4
+
+
+def test_ranking_starts_no_job_while_it_is_defined(spark, crm):
+    sc = spark.sparkContext
+    views = crm.leads, crm.deals, crm.reps  # opening the tables reads their footers
+    sc.setJobGroup("define-ranks", "ranks")
+    try:
+        leads, deals = rk.score_leads(views[0]), rk.score_deals(*views[1:])
+        assert list(sc.statusTracker().getJobIdsForGroup("define-ranks")) == []
+        leads.count()
+        assert list(sc.statusTracker().getJobIdsForGroup("define-ranks"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    for df in (leads, deals):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "ExistingRDD" not in plan and "RepartitionByExpression" not in plan
