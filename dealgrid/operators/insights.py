@@ -159,21 +159,47 @@ def _strip_fences(text):
     return F.when(t.startswith("```"), strip_ws(inner)).otherwise(t)
 
 
-def parse_insights(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows (response_id, position, insight_type, summary) and rejects
-    (response_id, reason): the text (code fence removed) must be a JSON array of
-    exactly three objects with both fields."""
-    parsed = responses.select("response_id", F.from_json(_strip_fences(F.col("text")), INSIGHT_SCHEMA)
-                              .alias("items"))
+def judged_responses(responses: DataFrame) -> DataFrame:
+    """The response rows with ``items`` (the parsed list) and ``reason`` (null when accepted): the
+    text (code fence removed) must be a JSON array of exactly three objects with both
+    fields.  A null or empty text is no JSON array."""
+    parsed = responses.withColumn("items", F.from_json(_strip_fences(F.col("text")), INSIGHT_SCHEMA))
     complete = F.forall("items", lambda x: x["insight_type"].isNotNull() & x["summary"].isNotNull())
     ok = F.col("items").isNotNull() & (F.size("items") == 3) & F.coalesce(complete, F.lit(False))
-    good = parsed.where(ok).select("response_id", F.posexplode("items").alias("p", "x")).select(
+    return parsed.withColumn("reason", F.when(F.col("items").isNull(), "not a JSON array").when(
+        ~ok, F.format_string("expected 3 insights, got %d", F.size("items"))))
+
+
+def parse_insights(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows (response_id, position, insight_type, summary) and rejects
+    (response_id, reason) of ``judged_responses``."""
+    judged = judged_responses(responses.select("response_id", "text"))
+    good = judged.where("reason is null").select("response_id", F.posexplode("items").alias("p", "x")).select(
         "response_id", (F.col("p") + 1).alias("position"), F.col("x.insight_type").alias("insight_type"),
         F.col("x.summary").alias("summary"))
-    bad = parsed.where(~ok).select("response_id", F.when(F.col("items").isNull(), "not a JSON array")
-                                   .otherwise(F.format_string("expected 3 insights, got %d",
-                                                              F.size("items"))).alias("reason"))
-    return good, bad
+    return good, judged.where("reason is not null").select("response_id", "reason")
+
+
+def response_rows(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Insight rows and rejects of a response log (response_id, generated_at, text, data_snapshot).
+
+    A day takes all three insights of its latest accepted response (ties: the largest
+    response_id) and nothing of any other; earlier accepted responses are rejects with the
+    reason ``superseded``.  An id is the day (yyyymmdd) followed by the position.  Responses
+    without a time have no day: they are rejects.  Per day one response leaves the
+    map side of the aggregation."""
+    judged = judged_responses(responses).withColumn("run_date", F.to_date("generated_at")).withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("run_date").isNull(), "no time")))
+    found = F.struct(F.col("generated_at").cast("timestamp_ntz").alias("generated_at"), "response_id", "items", "data_snapshot")
+    best = judged.where("reason is null").groupBy("run_date").agg(F.max(found).alias("r"))
+    day = F.date_format("run_date", "yyyyMMdd").cast("long") * 1000
+    rows = best.select("run_date", "r.*").select("*", F.posexplode("items").alias("p", "x")).select(
+        (day + F.col("p") + 1).alias("id"), "generated_at", F.col("x.insight_type").alias("insight_type"),
+        F.col("x.summary").alias("summary"), "data_snapshot", "run_date")
+    taken = best.select(F.col("run_date").alias("_day"), F.col("r.response_id").alias("_taken"))
+    left = judged.join(taken, F.col("run_date") == F.col("_day"), "left").withColumn("reason", F.coalesce(
+        "reason", F.when(~F.col("response_id").eqNullSafe(F.col("_taken")), "superseded")))
+    return rows, left.where("reason is not null").select("response_id", "generated_at", "reason", "run_date")
 
 
 def append_insights(existing: DataFrame, new: DataFrame, snapshot_text: DataFrame,

@@ -247,6 +247,12 @@ def retrieval_sources(hits: DataFrame) -> DataFrame:
     return hits.groupBy("question_id").agg(F.array_sort(F.collect_set("source_file")).alias("sources"))
 
 
+def supported(hits: DataFrame, min_similarity: float) -> DataFrame:
+    """The hits that are near enough to be evidence.  A question without any keeps its row in
+    ``context_assembly`` with an empty context, so that it can be declined."""
+    return hits.where(F.col("similarity") >= min_similarity)
+
+
 def context_assembly(hits: DataFrame, questions: DataFrame, q_text: str = "text") -> DataFrame:
     """(question_id, sources, prompt): ``[Source: f]\\n<chunk>`` blocks in rank
     order joined by a rule line, then the request text with the question.  A

@@ -534,14 +534,23 @@ def _q(c):
     return rv.context_assembly(hits, qtext)
 
 
-@query("context_assembly_vectors")
-def _q(c):
-    """Request texts over the vector corpus; a vector's text is its id."""
+def _vector_requests(c: CRM) -> tuple[DataFrame, DataFrame]:
+    """Hits and questions over the vector corpus; a vector's text is its id."""
     e = c.extra["tables"].embeddings
     hits = rv.vector_hits(e).withColumn("document", F.concat(F.lit("vector "), F.col("chunk_id").cast("string")))
-    asked = e.select(F.col("vec_id").alias("question_id"),
-                     F.concat(F.lit("neighbours of "), F.col("vec_id").cast("string")).alias("text"))
-    return rv.context_assembly(hits, asked)
+    return hits, e.select(F.col("vec_id").alias("question_id"),
+                          F.concat(F.lit("neighbours of "), F.col("vec_id").cast("string")).alias("text"))
+
+
+@query("context_assembly_vectors")
+def _q(c): return rv.context_assembly(*_vector_requests(c))
+
+
+@query("context_supported_vectors")
+def _q(c):
+    """Only neighbours of similarity 0.35 or more are evidence; the other questions get an empty context."""
+    hits, asked = _vector_requests(c)
+    return rv.context_assembly(rv.supported(hits, 0.35), asked)
 
 
 # -- 2.L snapshot and insights ---------------------------------------------------------
@@ -586,6 +595,33 @@ def _q(c): return ins.parse_insights(ins.render_responses(ins.rule_insights(_sna
 def _q(c): return ins.parse_insights(ins.render_responses(ins.rule_insights(_snapshot(c))))[1]
 
 
+def _response_log(c: CRM) -> DataFrame:
+    """A log of texts to parse, from the given tables: the insights of every ten minutes as a fenced
+    JSON reply, and every assistant turn of the conversations (none of them JSON)."""
+    item = F.struct("id", "insight_type", "summary")
+    by_window = c.insights.groupBy(F.window(F.col("generated_at").cast("timestamp"), "10 minutes")["start"].alias("at")).agg(
+        F.array_sort(F.collect_list(item)).alias("i"))
+    told = F.to_json(F.transform("i", lambda x: F.struct(x["insight_type"].alias("insight_type"), x["summary"].alias("summary"))))
+    replies = by_window.select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("response_id"), F.col("at").alias("generated_at"),
+                               F.concat(F.lit("```json\n"), told, F.lit("\n```")).alias("text"), told.alias("data_snapshot"))
+    turns = c.extra["tables"].conversations.where("role = 'assistant'")
+    return replies.unionByName(turns.select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"),
+        F.lit(None).cast("timestamp").alias("generated_at"), "text", F.lit(None).cast("string").alias("data_snapshot")))
+
+
+@query("response_log_insights")
+def _q(c): return ins.parse_insights(_response_log(c))[0]
+
+
+@query("response_log_rejects")
+def _q(c): return ins.parse_insights(_response_log(c))[1]
+
+
+@query("response_log_days")
+def _q(c): return ins.response_rows(_response_log(c))[0]
+
+
 def _appended(c: CRM) -> DataFrame:
     spark = c.leads.sparkSession
     path = scratch_path(spark, "insights")

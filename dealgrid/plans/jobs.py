@@ -185,6 +185,21 @@ def daily_insights(spark: SparkSession, crm_dir: str, scores_dir: str, insights_
     return spark.read.parquet(insights_path).where(F.col("run_date") == F.lit(run_date))
 
 
+def response_insights(spark: SparkSession, responses: DataFrame, insights_path: str,
+                      rejects_path: str) -> tuple[DataFrame, DataFrame]:
+    """A log of response texts (response_id, generated_at, text, data_snapshot) -> the insights
+    table that ``daily_insights`` writes, all three insights of a day or none, and the rejects
+    with their reasons.  Both are replaced day by day (dynamic partition overwrite): a repeated run
+    changes nothing, and days without an accepted response keep the rows they had.  The log is written
+    once before it is judged.  Returns (insight rows, rejects) of the run."""
+    path = scratch_path(spark, "responses")
+    io.write_parquet(responses.select("response_id", "generated_at", "text", "data_snapshot"), path)
+    rows, rejects = ins.response_rows(spark.read.parquet(path))
+    for part, out in ((rows, insights_path), (rejects, rejects_path)):
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(out)
+    return rows, rejects
+
+
 def ingest_documents(spark: SparkSession, docs: DataFrame, collection_path: str, dim: int = 512):
     """Chunk documents (doc_id, source_file, text), fit the embedder, rebuild the
     vector collection: chunks are cut once, and vectors and embedder change together, as one
@@ -203,13 +218,15 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, collection_path: str,
 
 
 def answer_batch(spark: SparkSession, collection_path: str, questions: DataFrame,
-                 k: int = 5) -> DataFrame:
+                 k: int = 5, min_similarity: float | None = None) -> DataFrame:
     """(question_id, sources, prompt) for a batch of questions (question_id, text):
-    k nearest chunks by cosine, sources, and the grounded request text."""
+    k nearest chunks by cosine, sources, and the grounded request text.  With
+    ``min_similarity`` only hits at least that near count: a question that the documents do not
+    cover gets no sources and an empty context."""
     from pyspark.ml import PipelineModel
     at = current(spark, collection_path)
     model = PipelineModel.load(_p(at, "embedder"))
     coll = spark.read.parquet(_p(at, "chunks"))
     q = rv.embed(model, questions.select("question_id", F.col("text").alias("document")))
     hits = rv.topk_cosine(q, coll, k, carry=["source_file", "document"])
-    return rv.context_assembly(hits, questions)
+    return rv.context_assembly(hits if min_similarity is None else rv.supported(hits, min_similarity), questions)

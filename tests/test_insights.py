@@ -79,3 +79,33 @@ def test_snapshot_json_carries_every_leaf(spark, crm):
             assert node == leaf["text_value"]
         else:
             assert math.isclose(float(node), leaf["num_value"], rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_response_job_takes_one_reply_a_day_whole_or_none(spark, tmp_path):
+    """The latest accepted reply of a day counts; short, broken and superseded ones are rejects;
+    a repeated run changes nothing; a day without an accepted reply keeps its rows."""
+    import datetime as dt
+
+    from dealgrid.plans import jobs
+    at = lambda d, h: dt.datetime(2024, 5, d, h)
+    later = ITEMS.replace('"a"', '"later"')
+    log = [("r1", at(1, 8), ITEMS, "{}"), ("r2", at(1, 9), "```json\n" + later + "\n```", "{}"), ("r3", at(1, 10), ITEMS[:-2], "{}"),
+           ("r4", at(2, 8), "[]", "{}"), ("r5", at(2, 9), None, None), ("r6", at(3, 8), ITEMS, None),
+           ("r7", None, ITEMS, "{}"), ("r8", at(2, 10), "", "{}")]
+    schema = "response_id string, generated_at timestamp, text string, data_snapshot string"
+    out, bad = str(tmp_path / "insights"), str(tmp_path / "rejects")
+    runs = []
+    for _ in range(2):
+        jobs.response_insights(spark, spark.createDataFrame(log, schema).repartition(3), out, bad)
+        runs.append(sorted(tuple(r) for r in spark.read.parquet(out).select("id", "insight_type", "summary").collect()))
+    assert runs[0] == runs[1] == [
+        (20240501001, "mrr", "later"), (20240501002, "churn", "b"), (20240501003, "leads", "c"),
+        (20240503001, "mrr", "a"), (20240503002, "churn", "b"), (20240503003, "leads", "c")]
+    assert {r["response_id"]: r["reason"] for r in spark.read.parquet(bad).collect()} == {
+        "r1": "superseded", "r3": "not a JSON array", "r4": "expected 3 insights, got 0", "r5": "not a JSON array",
+        "r7": "no time", "r8": "not a JSON array"}
+    only_bad = spark.createDataFrame([("r9", at(3, 9), "[1]", "{}")], schema)
+    jobs.response_insights(spark, only_bad, out, bad)
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("id", "insight_type", "summary").collect()) == runs[0]
+    rows, rejects = jobs.response_insights(spark, spark.createDataFrame([], schema), out, bad)
+    assert rows.count() == rejects.count() == 0
