@@ -16,10 +16,12 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealgrid.llm.common import text_only, written
+from dealgrid.llm.common import BROADCAST_BYTES, text_only, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+KEY_BYTES = 40  # of a frequent key in a broadcast
+HOT_SHARE = 1 << 16
 BLANK = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RUN = ["h1", "h2"]
@@ -100,9 +102,28 @@ class LineRuns:
                 self.levels[i + 1].append(self._run(self._merged(rows)))
                 self.levels[i] = []
 
+    def counted(self, min_docs: int) -> DataFrame:
+        """(h1, h2, n_docs, holder) of the keys held by ``min_docs`` documents or more."""
+        return written(self._merged(self.runs()).where(F.col("n_docs") >= min_docs), "line-frequent")
+
     def frequent(self, min_docs: int) -> DataFrame:
-        """(h1, h2, holder) of the keys held by ``min_docs`` documents or more."""
-        return written(self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select(*_RUN, "holder"), "line-frequent")
+        """``counted`` without the counts: (h1, h2, holder)."""
+        return self.counted(min_docs).select(*_RUN, "holder")
+
+
+def _held(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, holder): the lines with a frequent key.  Few frequent keys are broadcast.  Of more,
+    those that hold 1/HOT_SHARE of all such lines or more, of which there can be only
+    HOT_SHARE, are broadcast, and the lines of all others meet their keys in a shuffle join: no
+    partition of it gets a hot key."""
+    cols = ["doc_id", *_RUN, "holder"]
+    keys, rows = frequent.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    if keys * KEY_BYTES <= BROADCAST_BYTES:
+        return lines.join(F.broadcast(frequent), _RUN).select(*cols)
+    is_hot = F.col("n_docs") >= -(-rows // HOT_SHARE)
+    hot, cold = frequent.where(is_hot), frequent.where(~is_hot)
+    rest = lines.join(F.broadcast(hot.select(*_RUN)), _RUN, "left_anti")
+    return lines.join(F.broadcast(hot), _RUN).select(*cols).unionByName(rest.join(cold.hint("merge"), _RUN).select(*cols))
 
 
 def _losses(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
@@ -117,12 +138,8 @@ def _losses(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> Dat
     runs = LineRuns(docs.sparkSession)
     for i in range(len(cuts) + 1):
         runs.add(all_lines.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
-    frequent = runs.frequent(min_docs)
-    # A key in a third of all documents is one row of ``frequent``: salted over the shuffle.
-    salts = 32
-    spread = frequent.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
-    return (all_lines.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {salts}) as int)"))
-            .join(spread, [*_RUN, "salt"]).where("doc_id <> holder")
+    frequent = runs.counted(min_docs)
+    return (_held(all_lines, frequent).where("doc_id <> holder")
             .groupBy(F.col("doc_id").alias("loss_id")).agg(F.collect_list(F.struct(*_RUN)).alias("loss_keys")))
 
 

@@ -217,3 +217,18 @@ def test_runs_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", SCRIPT, ROOT, SF], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0 and "shipped" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("share", [1, 3, 1 << 16])
+def test_line_dedup_without_room_for_a_broadcast(spark, monkeypatch, share):
+    """Frequent keys beyond the broadcast bound: hot ones are broadcast, the rest is shuffled; same rows."""
+    from dealgrid.llm import line_dedup
+    hot = "a line that a third of all the documents hold, word for word"
+    rows = [(i, "\n".join(([hot] if i % 3 == 0 else []) + [f"line {i % 11} that some of the documents hold, word for word",
+                                                            f"own line {i} of this document that nobody else has at all"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in line_dedup.line_dedup_report(docs, batches=3).collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+    assert sorted(tuple(r) for r in line_dedup.line_dedup_report(docs, batches=3).collect()) == want
+    assert sum(r[2] for r in want) == 39 + 120 - 11
