@@ -54,7 +54,8 @@ def with_id_ranges(df: DataFrame, score: str, id_col: str, every: int = BOUND_EV
     bounds = df.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).agg(F.array_sort(F.collect_set(at))).scalar()
     place = F.aggregate(F.array(*[F.lit(k) for k in _STEPS]), F.lit(0),
                         lambda pos, k: F.when(F.get(F.col("__bounds"), pos + k - 1) < at, pos + k).otherwise(pos))
-    return df.withColumn("__bounds", bounds).withColumn("__g", place).drop("__bounds").withColumn(
+    # never null: the join on it adds no filter that would evaluate the search a second time
+    return df.withColumn("__bounds", bounds).withColumn("__g", F.coalesce(place, F.lit(0))).drop("__bounds").withColumn(
         "__s", F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
 
 
