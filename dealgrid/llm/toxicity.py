@@ -23,6 +23,7 @@ from dealgrid.llm.text import word_hashes
 HASH_BITS = 20
 MAX_ROWS = 20_000   # labelled rows that the machine is fitted on, at most
 FACTORS = 4
+PIECES = 64         # passes over the sample's terms on the driver go piece by piece
 
 
 def term_slots(column, slots: np.ndarray | None = None):
@@ -124,6 +125,22 @@ def _features(batches):
                                          ["toxic", "slots"])
 
 
+def _in_order(lists: pa.ChunkedArray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all rows as one int32 array and the number of each row.  The order of the
+    collected rows depends on the tasks: they (and ``toxic``, in place) are sorted by content."""
+    if not len(toxic):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    rows = []
+    for chunk in lists.chunks:  # views of the collected buffers
+        rows += np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])[:len(chunk)]
+    sizes, order = np.array([len(r) for r in rows], dtype=np.int64), []
+    by_size = np.argsort(sizes, kind="stable")
+    for same in np.split(by_size, np.flatnonzero(np.diff(sizes[by_size])) + 1):
+        order += sorted(same.tolist(), key=lambda i: (rows[i].tobytes(), toxic[i]))
+    toxic[:] = toxic[order]
+    return np.concatenate([rows[i] for i in order]), sizes[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> FactorizationMachine:
     """The machine fitted on at most ``max_rows`` labelled documents, whole texts.
 
@@ -137,28 +154,32 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Facto
     sample = (text_only(docs).join(F.broadcast(learn), "doc_id").select("toxic", "text")
               .mapInArrow(_features, "toxic int, slots array<int>").toArrow())
     toxic = sample.column("toxic").to_numpy().astype(float)
-    lists = sample.column("slots").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    flat = np.asarray(lists.flatten()).astype(np.int64) if len(toxic) else np.zeros(0, np.int64)
-    sizes = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64) if len(toxic) else np.zeros(0, np.int64)
-    # The order of the collected rows depends on the tasks: sort them by content.
-    rows = np.split(flat, np.cumsum(sizes)[:-1]) if len(toxic) else []
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), toxic[i]))
-    rows, toxic = [rows[i] for i in order], toxic[order]
+    flat, sizes = _in_order(sample.column("slots"), toxic)
+    del sample
     n, pos = len(toxic), float(toxic.sum())
     base = (pos + 0.5) / (n + 2)
-    flat, sizes = np.concatenate(rows) if len(rows) else flat, np.array([len(r) for r in rows], dtype=np.int64)
-    seen = np.unique(flat)
+    met = np.zeros(1 << HASH_BITS, dtype=bool)
+    for part in np.array_split(flat, PIECES):
+        met[part] = True
+    seen = np.flatnonzero(met)
     slots = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     slots[seen] = np.arange(len(seen))
     machine = FactorizationMachine(slots, len(seen), float(np.log(base / (1 - base))))
     if n and 0 < pos < n:
-        machine.fit(slots[flat], sizes, toxic)
+        for part in np.array_split(flat, PIECES):  # views: the terms become places among the seen ones
+            part[:] = slots[part]
+        machine.fit(flat, sizes, toxic)
         machine = machine.without_zeros()
         # The terms that moved are fitted on without the hold that kept the others at zero.
-        slot = machine.slots[flat]
-        row = np.repeat(np.arange(n), sizes)[slot >= 0]
-        machine.fit(slot[slot >= 0], np.bincount(row, minlength=n), toxic, rates=(0.3, 0.15), chance=(0.0, 0.0))
+        place, ends = machine.slots[seen], np.cumsum(sizes)
+        left = np.zeros(n, dtype=np.int64)
+        kept = []
+        for rows in np.array_split(np.arange(n), min(n, PIECES)):
+            lo, hi = ends[rows[0]] - sizes[rows[0]], ends[rows[-1]]
+            slot = place[flat[lo:hi]]
+            left[rows] = np.bincount(np.repeat(np.arange(len(rows)), sizes[rows])[slot >= 0], minlength=len(rows))
+            kept.append(slot[slot >= 0])
+        machine.fit(np.concatenate(kept), left, toxic, rates=(0.3, 0.15), chance=(0.0, 0.0))
         return machine
     machine.factors[:] = 0.0
     return machine.without_zeros()

@@ -45,3 +45,17 @@ def test_null_empty_long_and_repeated_texts(spark):
     assert len(rows) == len(texts) + 1 and all(0 <= r.score <= 1 for r in rows)
     assert {r.predicted for r in rows if r.doc_id is not None and r.doc_id < 20} == {1}
     assert {r.predicted for r in rows if r.doc_id is not None and 20 <= r.doc_id < 40} == {0}
+
+
+def test_training_holds_few_copies_of_the_terms(spark):
+    """The sample's terms take 4 bytes each on the driver, and passes over them go in pieces."""
+    import tracemalloc
+    rng, terms = np.random.default_rng(6), 800
+    texts = [" ".join(f"w{j}" for j in rng.choice(4000, terms, replace=False)) + (" bad" if i % 4 == 0 else "") for i in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2500)], "doc_id long, toxic int")
+    tracemalloc.start()
+    toxicity.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * 2000 * terms
