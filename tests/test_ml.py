@@ -133,3 +133,30 @@ def test_permutation_importance_equals_pair_counts(spark):
     assert abs(got["a"]["permuted_auc"] - permuted) < 1e-6 and abs(got["a"]["importance"] - (base - permuted)) < 2e-6
     assert ml.permutation_importance(df.limit(0), "k", ["a", "b"], "y",
                                      lambda d: d.withColumn("score", F.col("a") / 10)).count() == 0
+
+
+def test_equal_training_rows_are_merged_with_their_whole_weight(spark):
+    rows = spark.range(6000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"),
+                                    (F.col("id") % 5 == 0).cast("int").alias("y"))
+    train = ml.with_class_weight(ml.feature_matrix(rows, ["a", "b"], "y", "k"))
+    merged = ml.merged_rows(train, "k", above=1000)
+    assert merged.count() <= 6 * 2 * ml.SHARES < train.count()
+    per = [{(r[0], r[1]): r[2] for r in d.groupBy("features", "label").agg(F.sum("weight")).collect()} for d in (train, merged)]
+    assert per[0].keys() == per[1].keys() and all(abs(per[1][k] - w) < 1e-6 * w for k, w in per[0].items())
+    assert ml.merged_rows(train, "k") is train
+    single = ml.with_class_weight(ml.feature_matrix(rows.withColumn("a", F.col("k").cast("int")), ["a", "b"], "y", "k"))
+    assert ml.merged_rows(single, "k", above=1000) is single
+
+
+def test_scoring_reads_the_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def watched(x):
+        seen.add(1)
+        return x
+    rows = spark.range(300).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).cast("int").alias("a"),
+                                   (F.col("id") % 7 > 3).cast("int").alias("y"))
+    model = ml.train_gbt(ml.with_class_weight(ml.feature_matrix(rows, ["a"], "y", "k")), {"maxIter": 2})
+    out = ml.score(model, rows.repartition(4).withColumn("a", watched.asNondeterministic()("a")), ["a"], "k", "score", "rank").collect()
+    assert sorted(r["rank"] for r in out) == list(range(1, 301)) and seen.value == 300
