@@ -51,13 +51,21 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS: dict[str, np.ndarray] = {}
+class _Local(dict):
+    """Kept by one process: functions that use it travel to tasks with an empty one."""
+
+    def __reduce__(self):
+        return type(self), ()
+
+
+_POWERS: dict[str, np.ndarray] = _Local()
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK + 1)
-        _POWERS["up"], _POWERS["down"] = _powers(_BASE, size), _powers(_BASE_INV, size)
+    if n > CHUNK + 1:  # one long text: not kept
+        return _powers(_BASE, n), _powers(_BASE_INV, n)
+    if not _POWERS:
+        _POWERS["up"], _POWERS["down"] = _powers(_BASE, CHUNK + 1), _powers(_BASE_INV, CHUNK + 1)
     return _POWERS["up"], _POWERS["down"]
 
 
