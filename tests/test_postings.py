@@ -78,3 +78,33 @@ def test_no_dense_vectors_and_empty_sides(spark):
     assert po.topk(q.limit(0), postings, table).count() == 0
     none = po.build_postings(c.limit(0))
     assert none[0].count() == 0 == po.topk(q, *none).count()
+
+
+def test_repeated_ids_are_one_text_over_batches_and_partitions(spark):
+    chunks = [("a", "one two"), ("a", "two three"), ("b", "two"), (None, "one"), ("c", None)] + [(f"x{i}", f"word{i} one") for i in range(30)]
+    rows = spark.createDataFrame(chunks, "chunk_id string, document string").repartition(9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        lists = po._count_lists(rows, "chunk_id", "document").collect()
+        postings, _ = po.build_postings(rows)
+        got = {(r.term, r.chunk_id, r.weight) for r in postings.where("chunk_id in ('a', 'b')").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(len(r.terms) == len(set(r.terms)) for r in lists) and {r.id for r in lists} == {c for c, _ in chunks if c}
+    idf = {t: round(1000 * math.log(34 / (n + 1))) for t, n in (("one", 31), ("two", 2), ("three", 1))}
+    assert got == {("one", "a", idf["one"]), ("two", "a", 2 * idf["two"]), ("three", "a", idf["three"]), ("two", "b", idf["two"])}
+
+
+def test_a_block_of_chunks_gives_only_the_best_of_each_question(spark, monkeypatch):
+    chunks, questions = corpus()
+    c, q = frames(spark, chunks, questions)
+    monkeypatch.setattr(po, "BLOCK_LISTS", 2000)
+    monkeypatch.setattr(po, "BLOCK_QUESTIONS", 60)
+    postings, table = po.build_postings(c)
+    terms = po.question_terms(q, table)
+    split = po.split_terms(terms, spark.createDataFrame([], "question_id long, floor double"))
+    blocks = -(-postings.join(terms.select("term").distinct(), "term").count() // 2000)
+    found = po._candidates(split, postings, 5).groupBy("question_id").count().collect()
+    assert blocks > 2 and found and all(r["count"] <= 5 * blocks for r in found)
+    rows = po.topk(q, postings, table, 5).collect()
+    assert {(r.question_id, r["rank"], r.chunk_id, r.score) for r in rows} == brute(questions, chunks, 5)
