@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.schemas import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
+from dealgrid.session import scratch_path
 
 
 def judged(rows: DataFrame, name: str, parents: Callable[[str], DataFrame]) -> DataFrame:
@@ -18,21 +19,29 @@ def judged(rows: DataFrame, name: str, parents: Callable[[str], DataFrame]) -> D
     A row is judged as an insert would be, in file order: required values, then parents
     (``parents(table)`` gives that table's admitted rows), then its key, which the first
     row without another fault takes.  Of rows with one key and one place, all but one are
-    not told apart.  Foreign keys meet the parents' unique keys in a join that AQE can
-    split; keys are counted before any row is shuffled for them, and only keys found
-    twice meet the rows again.  ``rows`` is read twice: give a written table.
+    not told apart.  Only keys are shuffled: those without a parent, and those found twice, are
+    written, so that their measured size decides how they meet the rows.  ``rows`` is read
+    once a key and once for the result: give a written table.
     """
+    spark = rows.sparkSession
+
+    def written(keys: DataFrame, what: str) -> DataFrame:
+        store = scratch_path(spark, f"judged-{name}-{what}")
+        keys.write.parquet(store)
+        return spark.read.schema(keys.schema).parquet(store)
+
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in NOT_NULL[name]]))
     out, faults = rows, [missing]
     for column, parent in FOREIGN_KEYS.get(name, []):
         key = parents(parent).select(F.col(PRIMARY_KEYS[parent]).alias(f"__{column}"))
-        out = out.join(key, F.col(column) == F.col(f"__{column}"), "left")
-        lost = F.col(column).isNotNull() & F.col(f"__{column}").isNull()
-        faults.append(F.array_compact(F.array(F.when(lost, F.lit(f"{column} is not in {parent}")))))
+        lost = rows.where(F.col(column).isNotNull()).select(F.col(column).alias(f"__{column}")).distinct()
+        lost = written(lost.join(key, f"__{column}", "left_anti"), column)
+        out = out.join(lost, F.col(column) == F.col(f"__{column}"), "left")
+        faults.append(F.array_compact(F.array(F.when(F.col(f"__{column}").isNotNull(), F.lit(f"{column} is not in {parent}")))))
     key = PRIMARY_KEYS[name]
     out = out.select(*rows.columns, F.concat(*faults).alias("__faults"))
     twice = (out.where(F.size("__faults") == 0).groupBy(F.col(key).alias("__key"))
              .agg(F.min("at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
-    out = out.join(twice, F.col(key) == F.col("__key"), "left")
+    out = out.join(written(twice, key), F.col(key) == F.col("__key"), "left")
     again = (F.size("__faults") == 0) & F.col("__first").isNotNull() & (F.col("at") != F.col("__first"))
     return out.select(*rows.columns, F.when(again, F.array(F.lit(f"{key} repeats"))).otherwise(F.col("__faults")).alias("reasons"))

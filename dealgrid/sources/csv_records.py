@@ -37,12 +37,13 @@ def _scan(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        place = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        cuts = [0] + [i for i in range(1, len(place)) if place[i] != place[i - 1]] + [len(place)]
+        files, blocks = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), batch.num_rows]
         own = np.asarray(batch.column(2)).astype(np.int64)
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if place[lo] != at:
-                at, line, quotes, openers = place[lo], 0, 0, [-1, -1]
+            place = (batch.column(0)[lo].as_py(), int(blocks[lo]))
+            if place != at:
+                at, line, quotes, openers = place, 0, 0, [-1, -1]
             total = quotes + np.cumsum(own[lo:hi])
             inside, odd = (total - own[lo:hi]) % 2 == 1, own[lo:hi] % 2 == 1
             number = line + np.arange(hi - lo)
@@ -85,6 +86,12 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
                     quotes.cast("long").alias("quotes"), "value"))
 
 
+def _content(records: DataFrame) -> DataFrame:
+    """Without headers, blank lines and the ``\\r`` before the line break that ends a record."""
+    records = records.withColumn("record", F.regexp_replace("record", "\r$", ""))
+    return records.where("not (at.block = 0 and at.line = 0) and (record is null or record <> '')")
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(at: struct(file, block, line), record, closed) of the CSV files at ``path``.
 
@@ -101,11 +108,11 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     begins = F.coalesce(F.sum(F.col("odd").cast("int")).over(before) % 2 == 1, F.lit(False))
     splits = splits.withColumn("begins_inside", begins)
     opener = F.when(F.col("begins_inside"), F.col("opener_odd")).otherwise(F.col("opener_even"))
-    splits = splits.select("file", "block", "begins_inside", "odd",
+    splits = splits.select("file", "block", "begins_inside", "odd", (F.greatest("opener_even", "opener_odd") >= 0).alias("breaks"),
                            F.when(opener >= 0, F.struct("block", opener.alias("line"))).alias("opener"))
     whole_file = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     splits = splits.select(
-        F.col("file").alias("s_file"), F.col("block").alias("s_block"), "begins_inside",
+        F.col("file").alias("s_file"), F.col("block").alias("s_block"), "begins_inside", "breaks",
         F.last("opener", True).over(before).alias("continues"),
         F.when(F.sum(F.col("odd").cast("int")).over(whole_file) % 2 == 1, F.last("opener", True).over(whole_file)).alias("unclosed"))
     # Written: its measured size decides how it is joined.
@@ -125,13 +132,17 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
                            (~F.col("continued") & ~F.col("odd")).alias("whole"))
     at = F.struct("file", F.col("begin.block").alias("block"), F.col("begin.line").alias("line")).alias("at")
     whole = placed.where("whole").select(at, F.col("value").alias("record"), F.lit(True).alias("closed"))
+    if splits.where("breaks").isEmpty():  # no line has an odd number of quotes: every line is whole
+        return _content(whole)
+    # Written: two kinds of records are made of them.
+    store = scratch_path(spark, "csv-parts")
     parts = placed.where("not whole")
+    parts.write.parquet(store)
+    parts = spark.read.schema(parts.schema).parquet(store)
     open_ended = F.col("begin").eqNullSafe(F.col("unclosed"))
     pieces = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
     joined = (parts.where(~open_ended).groupBy("file", "begin").agg(pieces.alias("pieces"))
               .select(at, F.array_join("pieces.value", "\n").alias("record"), F.lit(True).alias("closed")))
     broken = (parts.where(open_ended & (F.struct("block", "line") == F.col("begin")))
               .select(at, F.lit(None).cast("string").alias("record"), F.lit(False).alias("closed")))
-    records = whole.unionByName(joined).unionByName(broken)
-    records = records.withColumn("record", F.regexp_replace("record", "\r$", ""))
-    return records.where("not (at.block = 0 and at.line = 0) and (record is null or record <> '')")
+    return _content(whole.unionByName(joined).unionByName(broken))

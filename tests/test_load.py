@@ -107,3 +107,23 @@ def test_reader_of_a_place_without_a_complete_version(spark, tmp_path):
         publish(spark, str(tmp_path / "x"), lambda path: (_ for _ in ()).throw(RuntimeError("first load")))
     with pytest.raises(FileNotFoundError):
         current(spark, str(tmp_path / "x"))
+
+
+def test_rows_meet_only_written_keys(spark, tmp_path):
+    parents = spark.createDataFrame([("LEAD1",), ("LEAD2",)], "lead_id string")
+    rows = spark.range(1, 5).selectExpr(
+        "concat('DEAL', id % 3) as deal_id", "nullif(concat('LEAD', id), 'LEAD4') as lead_id", *[
+            f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in TABLE_SCHEMAS["deals"].fields if f.name not in ("deal_id", "lead_id")],
+        "id as at")
+    io.write_parquet(rows, str(tmp_path / "rows"))
+    out = judged(spark.read.parquet(str(tmp_path / "rows")), "deals", lambda name: parents if name == "leads" else spark.range(0).selectExpr("'REP1' as rep_id"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert [("lead_id is not in leads" in r.reasons) for r in out.orderBy("at").collect()] == [False, False, True, False]
+
+
+def test_csv_without_line_breaks_is_not_searched_for_parts(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x, ""y"""\n\n2,z\r\n')
+    got = csv_records(spark, str(tmp_path))
+    assert [r.record for r in got.orderBy("at").collect()] == ['1,"x, ""y"""', "2,z"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
