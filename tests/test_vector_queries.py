@@ -53,3 +53,10 @@ def test_topk_cosine_asks_every_vector(spark, folder):
         got.setdefault(r["question_id"], []).append(r["chunk_id"])
     assert got == {i: [c for c, _ in near] for i, near in nearest().items()}
     assert differs_from_sql(df, folder, "topk_cosine") is None
+
+
+def test_retrieval_sources_of_every_vector(spark, folder):
+    df = result(spark, folder, "retrieval_sources")
+    assert {r["question_id"]: r["sources"] for r in df.collect()} == {
+        i: sorted({str(c % 7) for c, _ in near}) for i, near in nearest().items()}
+    assert differs_from_sql(df, folder, "retrieval_sources") is None
