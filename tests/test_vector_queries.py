@@ -60,3 +60,15 @@ def test_retrieval_sources_of_every_vector(spark, folder):
     assert {r["question_id"]: r["sources"] for r in df.collect()} == {
         i: sorted({str(c % 7) for c, _ in near}) for i, near in nearest().items()}
     assert differs_from_sql(df, folder, "retrieval_sources") is None
+
+
+def prompts(floor):
+    """id -> context text of its neighbours of at least that similarity, and the question."""
+    return {i: "Context:\n" + "\n\n---\n\n".join(f"[Source: {c % 7}]\nvector {c}" for c, s in near if s >= floor)
+            + f"\n\nQuestion: neighbours of {i}" for i, near in nearest().items()}
+
+
+def test_context_assembly_of_every_vector(spark, folder):
+    df = result(spark, folder, "context_assembly_vectors")
+    assert {r["question_id"]: r["prompt"] for r in df.collect()} == prompts(-1)
+    assert differs_from_sql(df, folder, "context_assembly_vectors") is None
