@@ -72,3 +72,9 @@ def test_context_assembly_of_every_vector(spark, folder):
     df = result(spark, folder, "context_assembly_vectors")
     assert {r["question_id"]: r["prompt"] for r in df.collect()} == prompts(-1)
     assert differs_from_sql(df, folder, "context_assembly_vectors") is None
+
+
+def test_context_supported_of_every_vector(spark, folder):
+    df = result(spark, folder, "context_supported_vectors")
+    assert {r["question_id"]: r["prompt"] for r in df.collect()} == {**prompts(0.35), None: None}
+    assert differs_from_sql(df, folder, "context_supported_vectors") is None
