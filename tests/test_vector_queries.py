@@ -78,3 +78,32 @@ def test_context_supported_of_every_vector(spark, folder):
     df = result(spark, folder, "context_supported_vectors")
     assert {r["question_id"]: r["prompt"] for r in df.collect()} == {**prompts(0.35), None: None}
     assert differs_from_sql(df, folder, "context_supported_vectors") is None
+
+
+def test_block_pair_equals_brute_force_on_odd_vectors():
+    """Repeated ids, equal vectors, zero vectors and vectors with gaps, in more rows than one group of maxima has."""
+    import pyarrow as pa
+
+    from dealgrid.operators import retrieval as rv
+    rng = np.random.default_rng(8)
+    schema = pa.schema([("_qid", pa.int64()), ("_cid", pa.int64()), ("_sim", pa.float64())])
+    for odd in (False, True):
+        c, q = rng.normal(size=(3000, 4)), rng.normal(size=(40, 4))
+        c[rng.integers(0, 3000, 400)] = c[7]
+        q[0] = c[7]
+        if odd:
+            c[5], c[6, 1], q[3] = 0, np.nan, 0
+        cid = rng.integers(0, 1500, 3000)
+        want = []
+        with np.errstate(invalid="ignore"):
+            sims = np.round((q @ c.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)), 12)
+        for i in range(40):
+            best = {}
+            for j in np.flatnonzero((cid != i) & np.isfinite(sims[i])):
+                best[cid[j]] = max(best.get(cid[j], -2), sims[i, j])
+            want += [(i, x, s) for x, s in sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5]]
+        vectors_of = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+        got = rv._block_pair(5, True, schema)((pa.scalar(4),), pa.table({"_qid": np.arange(40), "_vec": vectors_of(q)}),
+                                              pa.table({"_cid": cid, "_vec": vectors_of(c)})).to_pydict()
+        assert list(zip(got["_qid"], got["_cid"])) == [w[:2] for w in want]
+        assert np.allclose(got["_sim"], [w[2] for w in want], atol=1e-11)
